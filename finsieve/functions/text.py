@@ -54,48 +54,46 @@ def listing_ticker(c: Column) -> Column:
     return F.regexp_replace(F.trim(c), r"\.", "-")
 
 
-def release_number(text: Column) -> Column:
-    return F.regexp_extract(text, RELEASE_NO, 1).try_cast("int")
+def release_hits(text: Column, prefix: str) -> list[Column]:
+    """First hit of every release pattern, as columns ``<prefix>no``, ``d0``.., ``r0``.."""
+    return [
+        F.regexp_extract(text, RELEASE_NO, 1).alias(f"{prefix}no"),
+        *[F.regexp_replace(F.regexp_extract(text, p, 1), ",", "").alias(f"{prefix}d{i}") for i, p in enumerate(DATES)],
+        *[F.trim(F.regexp_extract(text, p, 1)).alias(f"{prefix}r{i}") for i, p in enumerate(RESPONDENTS)],
+    ]
 
 
-def release_date(text: Column) -> Column:
-    """Date of a release: first hit of each pattern in order, first that parses.
+def release_number(prefix: str) -> Column:
+    return F.col(f"{prefix}no").try_cast("int")
+
+
+def release_date(prefix: str) -> Column:
+    """Date from the pattern hits: first in order that parses.
 
     A hit no format accepts (month 13, "page 12 2001") falls to the next
     pattern. Two-digit years 69-99 are 19xx and 00-68 are 20xx.
     """
-    worded, slashed, iso = (F.regexp_replace(F.regexp_extract(text, p, 1), ",", "") for p in DATES)
-    words = F.initcap(F.trim(F.regexp_replace(worded, r"\s+", " ")))
-    # the first token may carry a glued prefix; only letters can name a month
+    words = F.initcap(F.regexp_replace(F.col(f"{prefix}d0"), r"\s+", " "))
     full = F.when(words.rlike(r"^[A-Za-z]+ \d{1,2} \d{4}$"), words)
-
-    def parsed(value: Column, fmt: str) -> Column:
-        return F.try_to_timestamp(value, F.lit(fmt)).cast("date")
-
-    parts = F.split(slashed, "/")
-    month, day, year = (F.try_element_at(parts, F.lit(i)).try_cast("int") for i in (1, 2, 3))
-    digits = F.length(F.try_element_at(parts, F.lit(3)))
-    century = F.when(digits == 4, year).when((digits == 2) & (year >= 69), 1900 + year).when(digits == 2, 2000 + year)
+    parts = F.split(F.col(f"{prefix}d1"), "/")
+    month, day, year = (F.get(parts, i).try_cast("int") for i in range(3))
+    digits = F.length(F.get(parts, 2))
+    whole_year = (
+        F.when(digits == 4, year).when((digits == 2) & (year >= 69), 1900 + year).when(digits == 2, 2000 + year)
+    )
+    slashed = F.format_string("%04d-%02d-%02d", whole_year, month, day)
     return F.coalesce(
-        parsed(full, "MMMM d yyyy"), parsed(full, "MMM d yyyy"),
-        F.try_to_date(F.format_string("%04d-%02d-%02d", century, month, day), "yyyy-MM-dd"),
-        F.try_to_date(F.when(iso != "", iso), "yyyy-MM-dd"),
+        F.try_to_timestamp(full, F.lit("MMMM d yyyy")).cast("date"),
+        F.try_to_timestamp(full, F.lit("MMM d yyyy")).cast("date"),
+        F.try_to_date(slashed, "yyyy-MM-dd"),
+        F.try_to_date(F.nullif(F.col(f"{prefix}d2"), F.lit("")), "yyyy-MM-dd"),
     )
 
 
-def respondent(text: Column) -> Column:
-    hits = [F.trim(F.regexp_extract(text, p, 1)) for p in RESPONDENTS]
-    first = F.coalesce(*[F.nullif(h, F.lit("")) for h in hits])
-    return F.btrim(first, F.lit(" .,;"))
-
-
-def parse_release(text: Column, url: Column) -> Column:
-    """Struct (aaer_no, fraud_date, raw_name, url), NULL without name or date."""
-    name, date = F.nullif(respondent(text), F.lit("")), release_date(text)
-    record = F.struct(
-        release_number(text).alias("aaer_no"), date.alias("fraud_date"), name.alias("raw_name"), url.alias("url")
-    )
-    return F.when(name.isNotNull() & date.isNotNull(), record)
+def respondent(prefix: str) -> Column:
+    """Name from the pattern hits, stripped of edge punctuation, or NULL."""
+    first = F.coalesce(*[F.nullif(F.col(f"{prefix}r{i}"), F.lit("")) for i in range(len(RESPONDENTS))])
+    return F.nullif(F.btrim(first, F.lit(" .,;")), F.lit(""))
 
 
 def unescape(text: Column) -> Column:
@@ -114,8 +112,11 @@ def html_text(html: Column) -> Column:
 
 
 def fixed(v: Column, decimals: int) -> Column:
-    """Decimal text with a fixed number of places, ties to even."""
-    return F.format_string(f"%.{decimals}f", F.bround(v, decimals))
+    """Decimal text with a fixed number of places, ties to even. A negative
+    value that rounds to nothing keeps its sign."""
+    rounded = F.bround(v, decimals)
+    sign = F.when((v < 0) & (rounded == 0), "-").otherwise("")
+    return F.concat(sign, F.format_string(f"%.{decimals}f", rounded))
 
 
 def money(v: Column) -> Column:

@@ -16,6 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from finsieve.functions.text import normalise_name, strip_registry_noise, token_sorted
 
@@ -52,7 +53,7 @@ def ratio(a: str, b: str) -> float:
     return 200.0 * lcs_length(a, b) / total if total else 100.0
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def sorted_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratio of two token-sorted names per row; missing names score 0."""
     return pd.Series([ratio(x, y) if x is not None and y is not None else 0.0 for x, y in zip(a, b)])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finsieve.functions.text import parse_release
+from finsieve.functions.text import release_date, release_hits, release_number, respondent
 from finsieve.operators import features as fea
 from finsieve.operators import ingest, labels as lab, match
 from finsieve.operators.panel import company_year
@@ -54,13 +54,30 @@ def parse_releases(entries: DataFrame) -> DataFrame:
     where the index text lacks a name or date. The first entry of a release
     number stays; entries without a number all stay.
     """
-    parsed = parse_release(F.col("raw_text"), F.col("url"))
-    if "detail_text" in entries.columns:
-        parsed = F.coalesce(parsed, parse_release(F.col("detail_text"), F.col("url")))
-    rows = entries.select("entry_no", parsed.alias("r")).filter("r is not null").select("entry_no", "r.*")
+    texts = [t for t in ("raw_text", "detail_text") if t in entries.columns]
+    # patterns run once per text; the next projection reads their hits
+    hits = entries.select("entry_no", "url", *[h for t in texts for h in release_hits(F.col(t), f"{t}_")])
+    fields = hits.select(
+        "entry_no", "url",
+        *[
+            F.struct(
+                release_number(f"{t}_").alias("aaer_no"), release_date(f"{t}_").alias("fraud_date"),
+                respondent(f"{t}_").alias("raw_name"),
+            ).alias(t)
+            for t in texts
+        ],
+    )
+    readable = [
+        F.when(F.col(f"{t}.fraud_date").isNotNull() & F.col(f"{t}.raw_name").isNotNull(), F.col(t)) for t in texts
+    ]
+    # exploding the one-or-none record drops unreadable rows without repeating the parsing in a filter
+    rows = fields.select(
+        "entry_no", "url", F.explode(F.array_compact(F.array(F.coalesce(*readable)))).alias("r")
+    ).select("entry_no", "r.*", "url")
     kept = F.struct("entry_no", "fraud_date", "raw_name", "url")
     numbered = (
-        rows.filter("aaer_no is not null").groupBy("aaer_no").agg(F.min_by(kept, "entry_no").alias("k")).select("k.entry_no", "aaer_no", "k.fraud_date", "k.raw_name", "k.url")
+        rows.filter("aaer_no is not null").groupBy("aaer_no").agg(F.min_by(kept, "entry_no").alias("k"))
+        .select("k.entry_no", "aaer_no", "k.fraud_date", "k.raw_name", "k.url")
     )
     return numbered.unionByName(rows.filter("aaer_no is null"))
 

@@ -268,7 +268,7 @@ def window_list(c: str) -> str:
 
 
 def list_slope(c: str) -> str:
-    mean = f"(list_sum(list_transform(w_{c}, v -> abs(v))) / len(w_{c}))"
+    mean = f"(list_sum(list_transform(w_{c}, lambda v: abs(v))) / len(w_{c}))"
     rise = f"((w_{c}[-1] - w_{c}[1]) / (len(w_{c}) - 1))"
     return f"case when len(w_{c}) >= 2 then {rise} / (case when {mean} = 0 then 1 else {mean} end) end"
 
@@ -607,6 +607,9 @@ SQL: dict[str, str] = {
     "evaluation_summary": _w(HOLDOUT + "," + _bench("is_fraud", "f_") + "," + _bench("is_bankrupt", "d_"),
         "select 'fraud' as task, model, auc_roc, auc_pr, precision_at_20, recall_at_5pct from f_bench union all "
         "select 'distress', model, auc_roc, auc_pr, precision_at_20, recall_at_5pct from d_bench"),
+    "class_weight": _w(LABELLED, " union all ".join(
+        f"select '{t}' as target, cast(sum({t}) as bigint) as pos, round((count(*) - sum({t})) / greatest(sum({t}), 1)::double, 6) as weight from lab"
+        for t in ("is_fraud", "is_bankrupt"))),
     "page_links": """select page_id, case when starts_with(h, '/') then 'https://www.sec.gov' || h else h end as url from
         (select page_id, unnest(regexp_extract_all(html, '<a\\s[^>]*?href\\s*=\\s*"([^"]*)"[^>]*>(.*?)</a>', 1, 'is')) as h from pages)""",
     "page_text": f"select page_id, {_HTML.format(h='html')} as text from pages",

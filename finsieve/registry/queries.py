@@ -9,7 +9,7 @@ from finsieve.functions import numeric as num
 from finsieve.functions import text as tx
 from finsieve.operators import features as fea
 from finsieve.operators import flags as flg
-from finsieve.operators import ingest, labels as lab, match, ranking as rk
+from finsieve.operators import ingest, isolation, labels as lab, match, models, ranking as rk, smote
 from finsieve.operators import panel as pan
 from finsieve.operators import scores as sc
 from finsieve.plans import evaluation as ev
@@ -532,3 +532,63 @@ def seed_resolve(spark, d):
         F.make_date((F.lit(1999) + key % 3).cast("int"), F.lit(6), F.lit(15)).alias("bankruptcy_date"),
     )
     return match.resolve_seeds(seeds, master, filers, "bankruptcy_date")
+
+
+# learning --------------------------------------------------------------------------------
+
+def _array_rows(spark: SparkSession, d: str) -> DataFrame:
+    """(cik, year, y, features): the reported ratios, missing ones as 0."""
+    table = _labelled(spark, d)
+    zeros = {f: 0.0 for f in fea.RATIO}
+    return materialize(
+        table.select("cik", "year", F.col("is_fraud").alias("y"), models.feature_array(list(fea.RATIO), zeros).alias("features")),
+        "rows",
+    )
+
+
+def class_weight(spark, d):
+    y = _labelled(spark, d).select("is_fraud", "is_bankrupt").unpivot([], ["is_fraud", "is_bankrupt"], "target", "y")
+    pos = F.sum("y")
+    return rounded(y.groupBy("target").agg(
+        pos.alias("pos"), ((F.count(F.lit(1)) - pos) / F.greatest(pos, F.lit(1))).alias("weight")
+    ))
+
+
+def smote_rows(spark, d):
+    rows = _array_rows(spark, d)
+    n, pos = smote.class_counts(rows)
+    made = smote.synthetic_rows(rows.filter("y = 1"), n - 2 * pos, pos)
+    return made.select("cik", "year", "copy", "nb", F.round("gap", 6).alias("gap"), F.round(F.get("features", F.lit(0)), 6).alias("f_current_ratio"))
+
+
+def iso_scores(spark, d):
+    rows = _array_rows(spark, d)
+    n, _ = smote.class_counts(rows)
+    arrays = isolation.forest_arrays(isolation.grow_forest(rows, n))
+    return rows.select("cik", "year", F.round(isolation.anomaly(arrays, n, F.col("features")), 6).alias("anomaly"))
+
+
+def _small_fraud_model() -> models.RiskModel:
+    return models.fraud_model(trees=20, learning_rate=0.1)
+
+
+def gbt_scores(spark, d):
+    train, test = lab.holdout_split(materialize(_labelled(spark, d), "labelled"), CUTOFF)
+    fitted = _small_fraud_model().fit(train)
+    return rounded(fitted.predict(test, explain=False).select("cik", "year", "is_fraud", "score", "xgb_prob", "iso_score"))
+
+
+def attribution_top3(spark, d):
+    train, test = lab.holdout_split(materialize(_labelled(spark, d), "labelled"), CUTOFF)
+    fitted = _small_fraud_model().fit(train)
+    return fitted.predict(test).select("cik", "year", F.inline("top3"))
+
+
+def feature_importance(spark, d):
+    train, test = lab.holdout_split(materialize(_labelled(spark, d), "labelled"), CUTOFF)
+    return _small_fraud_model().fit(train).importance(test)
+
+
+def oof_metrics(spark, d):
+    labelled = materialize(_labelled(spark, d), "labelled")
+    return ev.walk_forward(_small_fraud_model(), labelled, 3, 2, 2)["folds"]
