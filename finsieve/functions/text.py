@@ -112,11 +112,9 @@ def html_text(html: Column) -> Column:
 
 
 def fixed(v: Column, decimals: int) -> Column:
-    """Decimal text with a fixed number of places, ties to even. A negative
-    value that rounds to nothing keeps its sign."""
-    rounded = F.bround(v, decimals)
-    sign = F.when((v < 0) & (rounded == 0), "-").otherwise("")
-    return F.concat(sign, F.format_string(f"%.{decimals}f", rounded))
+    """Decimal text with a fixed number of places: exact value, ties to even,
+    and a negative value that rounds to nothing keeps its sign."""
+    return F.replace(F.format_number(v, decimals), F.lit(","), F.lit(""))
 
 
 def money(v: Column) -> Column:
@@ -127,7 +125,7 @@ def money(v: Column) -> Column:
         F.when(size >= 1e12, F.concat(fixed(size / 1e12, 2), F.lit("T")))
         .when(size >= 1e9, F.concat(fixed(size / 1e9, 2), F.lit("B")))
         .when(size >= 1e6, F.concat(fixed(size / 1e6, 1), F.lit("M")))
-        .otherwise(F.format_number(F.rint(size), 0))
+        .otherwise(F.format_number(size, 0))
     )
     return F.when(v.isNull(), "N/A").otherwise(F.concat(sign, F.lit("$"), shown))
 
