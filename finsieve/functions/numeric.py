@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -47,17 +45,33 @@ def ensemble(prob: Column, anomaly: Column) -> Column:
     return F.lit(0.65) * prob + F.lit(0.35) * anomaly
 
 
+# Expressions over column names are written as SQL text: one parsed expression
+# instead of dozens of driver calls per feature.
+
+COMPANY = "partition by cik order by year"
+
+
 def by_company() -> WindowSpec:
     """Rows of one company in year order (at most one row per year)."""
     return Window.partitionBy("cik").orderBy("year")
 
 
-def previous(c: Column, rows: int = 1) -> Column:
+def div(top: str, bottom: str) -> str:
+    """SQL of a quotient that is NULL for a zero or missing divisor."""
+    return f"(({top}) / nullif({bottom}, 0))"
+
+
+def ratio(top: str, bottom: str, times: int = 1) -> Column:
+    text = div(top, bottom)
+    return F.expr(text if times == 1 else f"{text} * {times}")
+
+
+def previous(name: str, rows: int = 1) -> str:
     """Value ``rows`` rows earlier: positional, a missing calendar year is skipped."""
-    return F.lag(c, rows).over(by_company())
+    return f"lag({name}, {rows}) over ({COMPANY})"
 
 
-def growth(c: Column, pad: bool = True, inf_mode: str = "null") -> Column:
+def growth(name: str, pad: bool = True, inf_mode: str = "null") -> Column:
     """Year-over-year change.
 
     ``pad`` carries the last reported value over gaps first, on both sides of
@@ -65,32 +79,31 @@ def growth(c: Column, pad: bool = True, inf_mode: str = "null") -> Column:
     yields signed infinity (and NULL for 0/0).
     """
     if pad:
-        prev = F.last(c, ignorenulls=True).over(
-            by_company().rowsBetween(Window.unboundedPreceding, -1)
-        )
-        curr = F.coalesce(c, prev)
+        prev = f"last_value({name}, true) over ({COMPANY} rows between unbounded preceding and 1 preceding)"
+        curr = f"coalesce({name}, {prev})"
     else:
-        prev, curr = previous(c), c
-    change = safe_div(curr, prev) - F.lit(1.0)
+        prev, curr = previous(name), name
+    change = f"{div(curr, prev)} - 1"
     if inf_mode == "null":
-        return change
-    infinite = F.when(curr > 0, F.lit(float("inf"))).when(curr < 0, F.lit(float("-inf")))
-    return F.when(prev == 0, infinite).otherwise(change)
+        return F.expr(change)
+    return F.expr(
+        f"case when {prev} = 0 then case when {curr} > 0 then double('Infinity') "
+        f"when {curr} < 0 then double('-Infinity') end else {change} end"
+    )
 
 
-def rolling_slope(c: Column) -> Column:
+def rolling_slope(name: str) -> Column:
     """OLS slope over the last three rows, divided by their mean magnitude.
 
     Missing values drop out and the rest are re-indexed 0..n-1, so for two or
     three points the slope is (last - first) / (n - 1). Needs two points; a
     zero mean magnitude divides by one.
     """
-    now, before, oldest = c, previous(c, 1), previous(c, 2)
-    points = (oldest, before, now)
-    n = reduce(lambda a, b: a + b, (p.isNotNull().cast("int") for p in points))
-    rise = (F.coalesce(now, before) - F.coalesce(oldest, before)) / (n - 1)
-    magnitude = reduce(lambda a, b: a + b, (zero_if_null(F.abs(p)) for p in points)) / n
-    return F.when(n >= 2, rise / F.when(magnitude == 0, F.lit(1.0)).otherwise(magnitude))
+    before, oldest = previous(name, 1), previous(name, 2)
+    n = " + ".join(f"int({p} is not null)" for p in (oldest, before, name))
+    rise = f"(coalesce({name}, {before}) - coalesce({oldest}, {before})) / ({n} - 1)"
+    mean = "(" + " + ".join(f"coalesce(abs({p}), 0)" for p in (oldest, before, name)) + f") / ({n})"
+    return F.expr(f"case when {n} >= 2 then ({rise}) / coalesce(nullif({mean}, 0), 1) end")
 
 
 def array_slope(values: Column) -> Column:

@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from finsieve.functions.numeric import (
-    clip, growth, indicator, previous, rolling_slope, safe_div, zero_if_null,
-)
+from finsieve.functions.numeric import clip, div, growth, previous, ratio, rolling_slope
 from finsieve.operators.panel import with_columns_or_null
 from finsieve.operators.quantiles import exact_quantiles
 from finsieve.sources.sample import CONCEPTS
@@ -38,114 +36,98 @@ FEATURES = RATIO + YOY + TREND + INTERACTION + ACCRUAL + BENEISH + ALTMAN
 TRAINED = tuple(f for f in FEATURES if f != "f_z_x4")
 
 
+_YOY_OF = {
+    "f_yoy_revenue": "revenue", "f_yoy_cfo": "cfo", "f_yoy_receivables": "receivables",
+    "f_yoy_assets": "total_assets", "f_yoy_net_income": "net_income", "f_yoy_debt": "total_liabilities",
+}
+_TREND_OF = {
+    "f_trend_current_ratio": "f_current_ratio", "f_trend_gross_margin": "f_gross_margin",
+    "f_trend_net_margin": "f_net_margin", "f_trend_cfo_ni": "f_cfo_ni", "f_trend_debt_equity": "f_debt_equity",
+    "f_trend_roa": "f_roa", "f_trend_dso": "f_dso", "f_trend_cfo_rev": "f_cfo_revenue",
+}
+_PRIOR = ("receivables", "revenue", "gross_profit", "current_assets", "total_assets", "da", "sga", "total_liabilities")
+
+
 def feature_table(wide: DataFrame, pad: bool = True, inf_mode: str = "null") -> DataFrame:
-    """All 53 features, not winsorised. Two layers of windows over one sort by
+    """All 53 features, not winsorised. Two layers over one sort by
     (cik, year); interactions read the unclipped values of the same row."""
-    w = with_columns_or_null(wide, CONCEPTS)
-    c = F.col
-    base = w.select(
+    base = with_columns_or_null(wide, CONCEPTS).select(
         *IDS, *CONCEPTS,
-        safe_div(c("current_assets"), c("current_liabilities")).alias("f_current_ratio"),
-        safe_div(c("current_assets") - zero_if_null(c("inventory")), c("current_liabilities")).alias("f_quick_ratio"),
-        safe_div(c("cash"), c("current_liabilities")).alias("f_cash_ratio"),
-        safe_div(
-            zero_if_null(c("long_term_debt")) + zero_if_null(c("short_term_debt")), c("equity")
-        ).alias("f_debt_equity"),
-        safe_div(c("total_liabilities"), c("total_assets")).alias("f_debt_assets"),
-        safe_div(c("operating_income"), F.abs(c("interest_expense"))).alias("f_interest_coverage"),
-        safe_div(c("gross_profit"), c("revenue")).alias("f_gross_margin"),
-        safe_div(c("operating_income"), c("revenue")).alias("f_ebit_margin"),
-        safe_div(c("net_income"), c("revenue")).alias("f_net_margin"),
-        safe_div(c("net_income"), c("total_assets")).alias("f_roa"),
-        safe_div(c("net_income"), c("equity")).alias("f_roe"),
-        safe_div(c("revenue"), c("total_assets")).alias("f_asset_turnover"),
-        (safe_div(c("receivables"), c("revenue")) * 365).alias("f_dso"),
-        (safe_div(c("inventory"), c("cogs")) * 365).alias("f_dio"),
-        safe_div(c("cfo"), c("net_income")).alias("f_cfo_ni"),
-        safe_div(c("cfo"), c("revenue")).alias("f_cfo_revenue"),
-        safe_div(F.abs(c("capex")), c("revenue")).alias("f_capex_revenue"),
-        safe_div(
-            zero_if_null(c("goodwill")) + zero_if_null(c("intangibles")), c("total_assets")
-        ).alias("f_goodwill_assets"),
+        ratio("current_assets", "current_liabilities").alias("f_current_ratio"),
+        ratio("current_assets - coalesce(inventory, 0)", "current_liabilities").alias("f_quick_ratio"),
+        ratio("cash", "current_liabilities").alias("f_cash_ratio"),
+        ratio("coalesce(long_term_debt, 0) + coalesce(short_term_debt, 0)", "equity").alias("f_debt_equity"),
+        ratio("total_liabilities", "total_assets").alias("f_debt_assets"),
+        ratio("operating_income", "abs(interest_expense)").alias("f_interest_coverage"),
+        ratio("gross_profit", "revenue").alias("f_gross_margin"),
+        ratio("operating_income", "revenue").alias("f_ebit_margin"),
+        ratio("net_income", "revenue").alias("f_net_margin"),
+        ratio("net_income", "total_assets").alias("f_roa"),
+        ratio("net_income", "equity").alias("f_roe"),
+        ratio("revenue", "total_assets").alias("f_asset_turnover"),
+        ratio("receivables", "revenue", 365).alias("f_dso"),
+        ratio("inventory", "cogs", 365).alias("f_dio"),
+        ratio("cfo", "net_income").alias("f_cfo_ni"),
+        ratio("cfo", "revenue").alias("f_cfo_revenue"),
+        ratio("abs(capex)", "revenue").alias("f_capex_revenue"),
+        ratio("coalesce(goodwill, 0) + coalesce(intangibles, 0)", "total_assets").alias("f_goodwill_assets"),
     )
     moved = base.select(
         "*",
-        *[
-            growth(c(source), pad, inf_mode).alias(name)
-            for name, source in (
-                ("f_yoy_revenue", "revenue"), ("f_yoy_cfo", "cfo"), ("f_yoy_receivables", "receivables"),
-                ("f_yoy_assets", "total_assets"), ("f_yoy_net_income", "net_income"),
-                ("f_yoy_debt", "total_liabilities"),
-            )
-        ],
-        *[
-            rolling_slope(c(source)).alias(name)
-            for name, source in (
-                ("f_trend_current_ratio", "f_current_ratio"), ("f_trend_gross_margin", "f_gross_margin"),
-                ("f_trend_net_margin", "f_net_margin"), ("f_trend_cfo_ni", "f_cfo_ni"),
-                ("f_trend_debt_equity", "f_debt_equity"), ("f_trend_roa", "f_roa"),
-                ("f_trend_dso", "f_dso"), ("f_trend_cfo_rev", "f_cfo_revenue"),
-            )
-        ],
-        *[
-            previous(c(name)).alias(f"_prev_{name}")
-            for name in (
-                "receivables", "revenue", "gross_profit", "current_assets", "total_assets", "da",
-                "sga", "total_liabilities",
-            )
-        ],
+        *[growth(source, pad, inf_mode).alias(name) for name, source in _YOY_OF.items()],
+        *[rolling_slope(source).alias(name) for name, source in _TREND_OF.items()],
+        *[F.expr(previous(name)).alias(f"p_{name}") for name in _PRIOR],
     )
+    accruals = ratio("net_income - cfo", "total_assets")
     return moved.select(
-        *IDS, *RATIO, *YOY[:-1],
-        (zero_if_null(c("f_yoy_revenue")) - zero_if_null(c("f_yoy_cfo"))).alias("f_rev_cfo_divergence"),
+        *IDS, *RATIO, *_YOY_OF,
+        F.expr("coalesce(f_yoy_revenue, 0) - coalesce(f_yoy_cfo, 0)").alias("f_rev_cfo_divergence"),
         *TREND,
-        (indicator(c("f_yoy_revenue") > 0.05) * indicator(c("f_yoy_cfo") < -0.05)).alias("f_interact_rev_up_cfo_dn"),
-        (indicator(c("f_trend_dso") > 0) * indicator(c("f_yoy_revenue") > 0.03)).alias("f_interact_dso_rev"),
-        (indicator(c("net_income") > 0) * indicator(c("cfo") < 0)).alias("f_interact_ni_pos_cfo_neg"),
-        (indicator(c("f_trend_debt_equity") > 0) * indicator(c("f_interest_coverage") < 3)).alias("f_interact_lev_cov"),
-        safe_div(c("net_income") - c("cfo"), c("total_assets")).alias("f_sloan_accrual"),
-        safe_div(c("net_income") - c("cfo"), c("total_assets")).alias("f_total_accruals"),
-        safe_div(c("cfo") - c("net_income"), c("total_assets")).alias("f_cash_roa_gap"),
-        *_manipulation_indices(),
-        safe_div(c("current_assets") - c("current_liabilities"), c("total_assets")).alias("f_z_x1"),
-        safe_div(c("retained_earnings"), c("total_assets")).alias("f_z_x2"),
-        safe_div(c("operating_income"), c("total_assets")).alias("f_z_x3"),
+        _both("f_yoy_revenue > 0.05D", "f_yoy_cfo < -0.05D").alias("f_interact_rev_up_cfo_dn"),
+        _both("f_trend_dso > 0", "f_yoy_revenue > 0.03D").alias("f_interact_dso_rev"),
+        _both("net_income > 0", "cfo < 0").alias("f_interact_ni_pos_cfo_neg"),
+        _both("f_trend_debt_equity > 0", "f_interest_coverage < 3").alias("f_interact_lev_cov"),
+        accruals.alias("f_sloan_accrual"), accruals.alias("f_total_accruals"),
+        ratio("cfo - net_income", "total_assets").alias("f_cash_roa_gap"),
+        *_manipulation_indices(), accruals.alias("f_b_tata"),
+        ratio("current_assets - current_liabilities", "total_assets").alias("f_z_x1"),
+        ratio("retained_earnings", "total_assets").alias("f_z_x2"),
+        ratio("operating_income", "total_assets").alias("f_z_x3"),
         F.lit(None).cast("double").alias("f_z_x4"),
-        safe_div(c("revenue"), c("total_assets")).alias("f_z_x5"),
+        ratio("revenue", "total_assets").alias("f_z_x5"),
     )
 
 
+def _both(first: str, second: str) -> Column:
+    """1.0 when both comparisons hold; a missing operand counts as false."""
+    return F.expr(f"case when {first} and {second} then 1.0D else 0.0D end")
+
+
 def _manipulation_indices() -> list[Column]:
-    """This year's ratio against the previous row's, per index."""
-    c = F.col
-
-    def now(top: str, bottom: str) -> Column:
-        return safe_div(c(top), c(bottom))
-
-    def before(top: str, bottom: str) -> Column:
-        # a zero prior base is an infinite prior ratio: as a divisor the index is 0
-        return safe_div(c(f"_prev_{top}"), c(f"_prev_{bottom}"))
-
-    def over_prior(curr: Column, top: str, bottom: str) -> Column:
-        infinite = (c(f"_prev_{bottom}") == 0) & (c(f"_prev_{top}") != 0)
-        return F.when(infinite & curr.isNotNull(), F.lit(0.0)).otherwise(safe_div(curr, before(top, bottom)))
-
-    share_now = F.lit(1.0) - now("current_assets", "total_assets")
-    share_before = F.lit(1.0) - before("current_assets", "total_assets")
-    no_prior_assets = (c("_prev_total_assets") == 0) & (c("_prev_current_assets") != 0)
-    wear_now = safe_div(c("da"), c("da") + c("total_assets"))
-    wear_before = safe_div(c("_prev_da"), c("_prev_da") + c("_prev_total_assets"))
-    return [
-        over_prior(now("receivables", "revenue"), "receivables", "revenue").alias("f_b_dsri"),
-        safe_div(before("gross_profit", "revenue"), now("gross_profit", "revenue")).alias("f_b_gmi"),
-        F.when(no_prior_assets & share_now.isNotNull(), F.lit(0.0))
-        .otherwise(safe_div(share_now, share_before)).alias("f_b_aqi"),
-        safe_div(c("revenue"), c("_prev_revenue")).alias("f_b_sgi"),
-        safe_div(wear_before, wear_now).alias("f_b_depi"),
-        over_prior(now("sga", "revenue"), "sga", "revenue").alias("f_b_sgai"),
-        over_prior(now("total_liabilities", "total_assets"), "total_liabilities", "total_assets").alias("f_b_lvgi"),
-        safe_div(c("net_income") - c("cfo"), c("total_assets")).alias("f_b_tata"),
-    ]
+    """This year's ratio against the previous row's, per index.
+
+    A zero prior base is an infinite prior ratio, so as a divisor it gives an
+    index of 0.
+    """
+    def over_prior(now: str, before: str, top: str, bottom: str) -> str:
+        infinite = f"p_{bottom} = 0 and p_{top} <> 0 and ({now}) is not null"
+        return f"case when {infinite} then 0.0D else {div(now, before)} end"
+
+    def change(top: str, bottom: str) -> str:
+        return over_prior(div(top, bottom), div(f"p_{top}", f"p_{bottom}"), top, bottom)
+
+    share = "1 - " + div("current_assets", "total_assets")
+    prior_share = "(1 - " + div("p_current_assets", "p_total_assets") + ")"
+    indices = {
+        "f_b_dsri": change("receivables", "revenue"),
+        "f_b_gmi": div(div("p_gross_profit", "p_revenue"), div("gross_profit", "revenue")),
+        "f_b_aqi": over_prior(share, prior_share, "current_assets", "total_assets"),
+        "f_b_sgi": div("revenue", "p_revenue"),
+        "f_b_depi": div(div("p_da", "p_da + p_total_assets"), div("da", "da + total_assets")),
+        "f_b_sgai": change("sga", "revenue"),
+        "f_b_lvgi": change("total_liabilities", "total_assets"),
+    }
+    return [F.expr(text).alias(name) for name, text in indices.items()]
 
 
 def winsor_bounds(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from finsieve.functions.text import clean_ticker, pad_cik
@@ -36,8 +36,11 @@ def pick_tags(filed: DataFrame, tag_policy: str = "per_company") -> DataFrame:
         return filed.groupBy("cik", "concept", "year").agg(
             F.min_by("value", "priority").alias("value"), F.max("company_name").alias("company_name")
         )
-    chosen = filed.groupBy("cik", "concept").agg(F.min("priority").alias("priority"))
-    return filed.join(chosen, ["cik", "concept", "priority"]).select("cik", "concept", "year", "value", "company_name")
+    # a company and concept holds at most tags x years rows here
+    best = F.min("priority").over(Window.partitionBy("cik", "concept"))
+    return filed.withColumn("_best", best).filter("priority = _best").select(
+        "cik", "concept", "year", "value", "company_name"
+    )
 
 
 def min_years(long: DataFrame, years: int) -> DataFrame:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from finsieve.functions.numeric import array_slope, by_company, growth, safe_div
+from finsieve.functions.numeric import COMPANY, array_slope, growth, ratio
 from finsieve.sources.sample import CONCEPTS
 
 RATIOS = (
@@ -77,48 +77,48 @@ def ratio_rows(wide: DataFrame, pad: bool = True, inf_mode: str = "null") -> Dat
     exchange and one sort by (cik, year).
     """
     w = with_columns_or_null(wide, CONCEPTS)
-    company = by_company().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    whole = f"over ({COMPANY} rows between unbounded preceding and unbounded following)"
     ever = w.select(
         "*",
-        F.max(F.col("inventory").isNotNull()).over(company).alias("_has_inventory"),
-        F.max(F.col("short_term_debt").isNotNull()).over(company).alias("_has_std"),
+        F.expr(f"max(inventory is not null) {whole}").alias("_has_inventory"),
+        F.expr(f"max(short_term_debt is not null) {whole}").alias("_has_std"),
     )
-    c = F.col
-    quick_top = F.when(c("_has_inventory"), c("current_assets") - c("inventory")).otherwise(
-        c("current_assets") - c("cash")
-    )
-    debt = F.when(c("_has_std"), c("long_term_debt") + c("short_term_debt")).otherwise(c("long_term_debt"))
+    debt = "case when _has_std then long_term_debt + short_term_debt else long_term_debt end"
     panel = ever.select(
         *wide.columns,
-        safe_div(c("current_assets"), c("current_liabilities")).alias("current_ratio"),
-        F.when(c("cash").isNotNull(), safe_div(quick_top, c("current_liabilities"))).alias("quick_ratio"),
-        safe_div(c("cash"), c("current_liabilities")).alias("cash_ratio"),
-        safe_div(debt, c("equity")).alias("debt_equity"),
-        F.when(c("equity").isNotNull(), debt).alias("total_debt"),
-        safe_div(c("total_liabilities"), c("total_assets")).alias("debt_assets"),
-        safe_div(c("operating_income"), F.abs(c("interest_expense"))).alias("interest_coverage"),
-        safe_div(c("gross_profit"), c("revenue")).alias("gross_margin"),
-        safe_div(c("operating_income"), c("revenue")).alias("ebit_margin"),
-        safe_div(c("net_income"), c("revenue")).alias("net_margin"),
-        safe_div(c("net_income"), c("total_assets")).alias("roa"),
-        safe_div(c("net_income"), c("equity")).alias("roe"),
-        safe_div(c("cfo"), c("net_income")).alias("cfo_ni_ratio"),
-        safe_div(c("cfo"), c("revenue")).alias("cfo_revenue"),
-        *[c(n) for n in PASSED_THROUGH if n not in wide.columns],
-        (safe_div(c("receivables"), c("revenue")) * 365).alias("dso"),
-        (safe_div(c("inventory"), c("cogs")) * 365).alias("dio"),
-        safe_div(c("revenue"), c("total_assets")).alias("asset_turnover"),
+        ratio("current_assets", "current_liabilities").alias("current_ratio"),
+        ratio(
+            "case when cash is not null then current_assets - case when _has_inventory then inventory else cash end end",
+            "current_liabilities",
+        ).alias("quick_ratio"),
+        ratio("cash", "current_liabilities").alias("cash_ratio"),
+        ratio(debt, "equity").alias("debt_equity"),
+        F.expr(f"case when equity is not null then {debt} end").alias("total_debt"),
+        ratio("total_liabilities", "total_assets").alias("debt_assets"),
+        ratio("operating_income", "abs(interest_expense)").alias("interest_coverage"),
+        ratio("gross_profit", "revenue").alias("gross_margin"),
+        ratio("operating_income", "revenue").alias("ebit_margin"),
+        ratio("net_income", "revenue").alias("net_margin"),
+        ratio("net_income", "total_assets").alias("roa"),
+        ratio("net_income", "equity").alias("roe"),
+        ratio("cfo", "net_income").alias("cfo_ni_ratio"),
+        ratio("cfo", "revenue").alias("cfo_revenue"),
+        *[n for n in PASSED_THROUGH if n not in wide.columns],
+        ratio("receivables", "revenue", 365).alias("dso"),
+        ratio("inventory", "cogs", 365).alias("dio"),
+        ratio("revenue", "total_assets").alias("asset_turnover"),
     )
-    flagged = panel.select("*", F.coalesce(*[c(r) for r in RATIOS]).isNotNull().alias("has_metric"))
+    flagged = panel.select("*", F.expr(f"coalesce({', '.join(RATIOS)}) is not null").alias("has_metric"))
     # margins compare with the previous year that has any metric at all
-    earlier = F.last(F.when(c("has_metric"), F.struct("gross_margin")), ignorenulls=True).over(
-        by_company().rowsBetween(Window.unboundedPreceding, -1)
+    earlier = (
+        "last_value(case when has_metric then struct(gross_margin) end, true) "
+        f"over ({COMPANY} rows between unbounded preceding and 1 preceding)"
     )
     return flagged.select(
         "*",
-        growth(c("revenue"), pad, inf_mode).alias("revenue_growth"),
-        growth(c("cfo"), pad, inf_mode).alias("cfo_growth"),
-        (c("gross_margin") - earlier["gross_margin"]).alias("gm_delta"),
+        growth("revenue", pad, inf_mode).alias("revenue_growth"),
+        growth("cfo", pad, inf_mode).alias("cfo_growth"),
+        F.expr(f"gross_margin - {earlier}.gross_margin").alias("gm_delta"),
     )
 
 
@@ -144,18 +144,18 @@ def history(wide: DataFrame, pad: bool = True, inf_mode: str = "null") -> DataFr
     )
 
 
-def reported(h: Column, name: str) -> Column:
-    """Non-missing values of one column in year order."""
-    return F.array_compact(h.getField(name))
+def reported(name: str) -> str:
+    """SQL of the non-missing values of one history column in year order."""
+    return f"array_compact(h.{name})"
 
 
-def latest(h: Column, name: str) -> Column:
-    """Last non-missing value."""
-    return F.try_element_at(reported(h, name), F.lit(-1))
+def latest(name: str) -> str:
+    """SQL of the last non-missing value."""
+    return f"try_element_at({reported(name)}, -1)"
 
 
-def tail(values: Column, n: int) -> Column:
-    return F.slice(values, F.greatest(F.size(values) - n + 1, F.lit(1)), F.lit(n))
+def tail(values: str, n: int) -> str:
+    return f"slice({values}, greatest(size({values}) - {n - 1}, 1), {n})"
 
 
 def trend_of(last3: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from finsieve.functions.numeric import array_slope, logistic, safe_div
+from finsieve.functions.numeric import array_slope, div, logistic, safe_div
 from finsieve.operators.panel import GROWTH, RATIOS, col_or_null, latest, reported, tail
 
 DISTRESS, SAFE = 1.81, 2.99
@@ -86,20 +86,16 @@ def company_signals(histories: DataFrame, market_cap: DataFrame | None = None) -
         df = df.join(market_cap.select("cik", F.col("market_cap").cast("double").alias("market_cap")), "cik", "left")
     else:
         df = df.select("*", F.lit(None).cast("double").alias("market_cap"))
-    h = F.col("h")
     names = dict.fromkeys(_ALTMAN_INPUTS + RATIOS + GROWTH + ("capex",))
-    picked = df.select(
+    picked = df.selectExpr(
         *df.columns,
-        *[latest(h, n).alias(f"last_{n}") for n in names],
-        *[tail(reported(h, n), 3).alias(f"last3_{n}") for n in TRENDS],
-        _last_complete_pair(h).alias("pair"),
-        ((F.size(reported(h, "net_income")) >= 2) & (F.size(reported(h, "cfo")) >= 2)).alias("two_years"),
+        *[f"{latest(n)} as last_{n}" for n in names],
+        *[f"{tail(reported(n), 3)} as last3_{n}" for n in TRENDS],
+        f"{tail(COMPLETE_YEARS, 2)} as pair",
+        f"size({reported('net_income')}) >= 2 and size({reported('cfo')}) >= 2 as two_years",
     )
-    p, t = F.get("pair", F.lit(0)), F.get("pair", F.lit(1))
-    split = picked.select(
-        "*",
-        *[p[n].alias(f"p_{n}") for n in _BENEISH_INPUTS],
-        *[t[n].alias(f"t_{n}") for n in _BENEISH_INPUTS],
+    split = picked.selectExpr(
+        "*", *[f"get(pair, {i}).{n} as {y}_{n}" for i, y in enumerate("pt") for n in _BENEISH_INPUTS]
     )
     indexed = split.select("*", *beneish_indices(), altman_of().alias("altman_z"))
     m = m_value(*[F.col(i) for i in ("dsri", "gmi", "aqi", "sgi", "depi", "sgai", "lvgi", "tata")])
@@ -121,14 +117,11 @@ def altman_of() -> Column:
     )
 
 
-def _last_complete_pair(h: Column) -> Column:
-    """Last two years with revenue, receivables, gross profit and assets."""
-    complete = F.filter(
-        h,
-        lambda y: y["revenue"].isNotNull() & y["receivables"].isNotNull()
-        & y["gross_profit"].isNotNull() & y["total_assets"].isNotNull(),
-    )
-    return tail(complete, 2)
+# years with revenue, receivables, gross profit and assets
+COMPLETE_YEARS = (
+    "filter(h, y -> y.revenue is not null and y.receivables is not null "
+    "and y.gross_profit is not null and y.total_assets is not null)"
+)
 
 
 def beneish_indices() -> list[Column]:
@@ -138,37 +131,27 @@ def beneish_indices() -> list[Column]:
     default to 1 and accruals to 0; accruals also need two reported years of
     income and of cash flow.
     """
-    c = F.col
-
-    def ratio(year: str, top: str, bottom: str) -> Column:
-        return safe_div(c(f"{year}_{top}"), c(f"{year}_{bottom}"))
-
-    def nonzero(x: Column) -> Column:
-        return F.nullif(x, F.lit(0.0))
-
-    def noncurrent(year: str) -> Column:
-        assets = c(f"{year}_total_assets")
-        return safe_div(assets - c(f"{year}_current_assets"), assets)
-
-    def wear(year: str) -> Column:
-        da, assets = nonzero(c(f"{year}_da")), nonzero(c(f"{year}_total_assets"))
-        return nonzero(safe_div(da, da + assets))
-
-    one = F.lit(1.0)
-    tata = F.when(c("two_years"), safe_div(c("t_net_income") - c("t_cfo"), c("t_total_assets")))
-    return [
-        safe_div(ratio("t", "receivables", "revenue"), ratio("p", "receivables", "revenue")).alias("dsri"),
-        safe_div(ratio("p", "gross_profit", "revenue"), ratio("t", "gross_profit", "revenue")).alias("gmi"),
-        F.coalesce(safe_div(noncurrent("t"), noncurrent("p")), one).alias("aqi"),
-        safe_div(c("t_revenue"), c("p_revenue")).alias("sgi"),
-        F.coalesce(safe_div(wear("p"), wear("t")), one).alias("depi"),
-        F.coalesce(safe_div(ratio("t", "sga", "revenue"), ratio("p", "sga", "revenue")), one).alias("sgai"),
-        F.coalesce(
-            safe_div(ratio("t", "total_liabilities", "total_assets"), ratio("p", "total_liabilities", "total_assets")),
-            one,
-        ).alias("lvgi"),
-        F.coalesce(tata, F.lit(0.0)).alias("tata"),
-    ]
+    def change(top: str, bottom: str) -> str:
+        return div(div(f"t_{top}", f"t_{bottom}"), div(f"p_{top}", f"p_{bottom}"))
+
+    def noncurrent(year: str) -> str:
+        return div(f"{year}_total_assets - {year}_current_assets", f"{year}_total_assets")
+
+    def wear(year: str) -> str:
+        da, assets = f"nullif({year}_da, 0)", f"nullif({year}_total_assets, 0)"
+        return f"nullif({div(da, f'{da} + {assets}')}, 0)"
+
+    indices = {
+        "dsri": change("receivables", "revenue"),
+        "gmi": div(div("p_gross_profit", "p_revenue"), div("t_gross_profit", "t_revenue")),
+        "aqi": f"coalesce({div(noncurrent('t'), noncurrent('p'))}, 1)",
+        "sgi": div("t_revenue", "p_revenue"),
+        "depi": f"coalesce({div(wear('p'), wear('t'))}, 1)",
+        "sgai": f"coalesce({change('sga', 'revenue')}, 1)",
+        "lvgi": f"coalesce({change('total_liabilities', 'total_assets')}, 1)",
+        "tata": f"coalesce(case when two_years then {div('t_net_income - t_cfo', 't_total_assets')} end, 0)",
+    }
+    return [F.expr(text).alias(name) for name, text in indices.items()]
 
 
 WEIGHTS = {

@@ -33,14 +33,11 @@ def header(signals: DataFrame, trend_penalty: str = "off") -> DataFrame:
     join and no exchange beyond the per-company history.
     """
     scored = sc.company_scores(signals, trend_penalty)
-    h = F.col("h")
     shown = []
     for metric, (_, formatter) in KEY_METRICS.items():
         shown.append(formatter(F.col(f"last_{metric}")).alias(metric))
-        values = reported(h, metric)
-        shown.append(
-            change_text(F.try_element_at(values, F.lit(-1)), F.get(values, F.size(values) - 2)).alias(f"{metric}_change")
-        )
+        before = F.expr(f"try_element_at({reported(metric)}, -2)")
+        shown.append(change_text(F.col(f"last_{metric}"), before).alias(f"{metric}_change"))
     main = scored.select(
         "cik", "ticker", "company_name", money(F.col("market_cap")).alias("market_cap"),
         "overall", "label", "color", "altman_z", "beneish_m", *shown,

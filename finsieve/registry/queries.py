@@ -24,8 +24,8 @@ CUTOFF = 1999
 
 def rounded(df: DataFrame, digits: int = 6, skip: tuple[str, ...] = ()) -> DataFrame:
     """Doubles rounded for comparison across engines."""
-    return df.select(*[
-        F.round(c, digits).alias(c) if t == "double" and c not in skip else F.col(c) for c, t in df.dtypes
+    return df.selectExpr(*[
+        f"round(`{c}`, {digits}) as `{c}`" if t == "double" and c not in skip else f"`{c}`" for c, t in df.dtypes
     ])
 
 

@@ -108,7 +108,9 @@ def parse_facts(docs: DataFrame, column: str = "json", concepts: dict[str, list[
     """Documents already landed as text in a table column."""
     schema = facts_schema(all_tags(concepts)).add("_corrupt", T.StringType())
     parsed = F.from_json(column, schema, {"columnNameOfCorruptRecord": "_corrupt"})
-    return docs.select(*[c for c in docs.columns if c not in (column, "cik")], parsed.alias("_d")).select(
+    # through explode, so that later filters do not repeat the parsing
+    kept = [c for c in docs.columns if c not in (column, "cik")]
+    return docs.select(*kept, F.explode(F.array(parsed)).alias("_d")).select(
         "*", "_d.entityName", pad_cik(F.col("_d.cik")).alias("cik"), "_d.facts", "_d._corrupt"
     ).drop("_d")
 

@@ -93,23 +93,16 @@ def company_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
         "o_orderkey as orderkey", "o_custkey as custkey", "year(o_orderdate) as year"
     )
     sums = [
-        F.sum(F.expr(measure if cond is None else f"case when {cond} then {measure} end")).alias(name)
+        F.expr(f"sum({measure if cond is None else f'case when {cond} then {measure} end'}) as {name}")
         for name, (measure, cond) in _SUMS.items()
     ]
     summed = items.join(orders, "orderkey").groupBy("custkey", "year").agg(*sums)
-    exact = summed.select(
+    exact = summed.selectExpr(
         "custkey", "year",
-        *[
-            (F.col(name).cast("decimal(20,0)") * F.lit("0.01" if m == "p" else "0.0001").cast("decimal(5,4)")).alias(name)
-            for name, (m, _) in _SUMS.items()
-        ],
+        *[f"cast({name} as decimal(20,0)) * {'0.01BD' if m == 'p' else '0.0001BD'} as {name}" for name, (m, _) in _SUMS.items()],
     )
-    combined = exact.select(
-        "custkey", "year",
-        *[
-            F.expr(expr).cast("double").alias(concept)
-            for concept, expr in _COMBINE.items()
-        ],
+    combined = exact.selectExpr(
+        "custkey", "year", *[f"double({expr}) as {concept}" for concept, expr in _COMBINE.items()]
     )
     names = table(spark, sf_dir, "customer").selectExpr("c_custkey as custkey", "c_name as company_name")
     return combined.join(names, "custkey").select(

@@ -31,11 +31,11 @@ def test_pivot_of_unpivot_is_identity(spark):
 
 def test_growth_pads_gaps_and_skips_missing_years(spark):
     df = spark.createDataFrame([("1", 2015, 100.0), ("1", 2016, None), ("1", 2019, 150.0), ("1", 2020, 0.0), ("1", 2021, 5.0)], "cik string, year int, v double")
-    got = [r["g"] for r in df.select("year", num.growth(F.col("v")).alias("g")).orderBy("year").collect()]
+    got = [r["g"] for r in df.select("year", num.growth("v").alias("g")).orderBy("year").collect()]
     assert got == [None, 0.0, 0.5, -1.0, None]
-    ieee = [r["g"] for r in df.select("year", num.growth(F.col("v"), inf_mode="ieee").alias("g")).orderBy("year").collect()]
+    ieee = [r["g"] for r in df.select("year", num.growth("v", inf_mode="ieee").alias("g")).orderBy("year").collect()]
     assert ieee[-1] == math.inf
-    bare = [r["g"] for r in df.select("year", num.growth(F.col("v"), pad=False).alias("g")).orderBy("year").collect()]
+    bare = [r["g"] for r in df.select("year", num.growth("v", pad=False).alias("g")).orderBy("year").collect()]
     assert bare == [None, None, None, -1.0, None]
 
 
@@ -45,7 +45,7 @@ def test_growth_pads_gaps_and_skips_missing_years(spark):
 ])
 def test_rolling_slope(spark, values, expected):
     df = spark.createDataFrame([("1", i, v) for i, v in enumerate(values)], "cik string, year int, v double")
-    got = df.select("year", num.rolling_slope(F.col("v")).alias("s")).orderBy("year").collect()[-1]["s"]
+    got = df.select("year", num.rolling_slope("v").alias("s")).orderBy("year").collect()[-1]["s"]
     assert got == (expected if expected is None else pytest.approx(expected))
 
 
