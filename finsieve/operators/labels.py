@@ -75,7 +75,7 @@ def attach_gone_dark(features: DataFrame) -> DataFrame:
         last_two.select("cik", "year", F.max("year").over(both).alias("last_year"), hits.alias("hits"))
         .join(F.broadcast(latest))
         .filter((F.col("last_year") <= F.col("max_year") - 3) & (F.col("hits") >= 2))
-        .select("cik", "year", F.lit(1).alias("is_bankrupt"))
+        .select(pad_cik(F.col("cik")).alias("cik"), "year", F.lit(1).alias("is_bankrupt"))
     )
     return _flagged(features, dark, "is_bankrupt")
 
