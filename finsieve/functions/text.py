@@ -81,7 +81,7 @@ def release_date(prefix: str) -> Column:
     whole_year = (
         F.when(digits == 4, year).when((digits == 2) & (year >= 69), 1900 + year).when(digits == 2, 2000 + year)
     )
-    slashed = F.format_string("%04d-%02d-%02d", whole_year, month, day)
+    slashed = F.when(whole_year.isNotNull(), F.format_string("%04d-%02d-%02d", whole_year, month, day))
     return F.coalesce(
         F.try_to_timestamp(full, F.lit("MMMM d yyyy")).cast("date"),
         F.try_to_timestamp(full, F.lit("MMM d yyyy")).cast("date"),

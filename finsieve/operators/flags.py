@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from finsieve.functions.text import fixed
 from finsieve.operators.panel import trend_of
+from finsieve.operators.scores import TRENDS
 
 SEVERITY_RANK = {"HIGH": 0, "MEDIUM": 1, "LOW": 2}
 EMOJI = {"HIGH": "🔴", "MEDIUM": "🟡", "LOW": "🟢"}
@@ -112,16 +113,12 @@ def _filled(template: str, args: tuple) -> Column:
     return F.concat(*parts)
 
 
-def detect_flags(signals: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Long table (cik, rule_no, severity, category, title, detail, emoji).
-
-    Rules are evaluated in one projection per company and exploded; only fired
-    rules leave the row, so the output is as long as the number of flags.
-    """
+def with_flags(signals: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Adds ``flags``, the array of fired rules of each company in rule order."""
     ready = signals.select(
         "*",
-        *[trend_of(F.col(f"last3_{n}")).alias(f"trend_{n}") for n in ("current_ratio", "debt_equity", "gross_margin", "cfo_revenue", "dso")],
-        (F.col("last_revenue_growth") - F.col("last_cfo_growth")).alias("divergence"),
+        *[trend_of(F.col(f"last3_{n}")).alias(f"trend_{n}") for n in TRENDS],
+        F.expr("last_revenue_growth - last_cfo_growth").alias("divergence"),
         F.abs("last_cfo_growth").alias("cfo_fall"),
     )
     fired = [
@@ -136,8 +133,21 @@ def detect_flags(signals: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFra
         )
         for r in rules
     ]
-    exploded = ready.select("cik", F.explode(F.array_compact(F.array(*fired))).alias("f"))
-    return exploded.select("cik", "f.*")
+    return ready.select(*signals.columns, F.array_compact(F.array(*fired)).alias("flags"))
+
+
+def detect_flags(signals: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Long table (cik, rule_no, severity, category, title, detail, emoji).
+
+    Rules are evaluated in one projection per company and exploded; only fired
+    rules leave the row, so the output is as long as the number of flags.
+    """
+    return with_flags(signals, rules).select("cik", F.explode("flags").alias("f")).select("cik", "f.*")
+
+
+def severity_count(severity: str) -> Column:
+    """Fired rules of one severity in a row that carries ``flags``."""
+    return F.size(F.filter("flags", lambda f: f["severity"] == severity)).cast("bigint")
 
 
 def sorted_flags(flags: DataFrame) -> DataFrame:

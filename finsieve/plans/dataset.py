@@ -13,6 +13,8 @@ from finsieve.session import materialize
 from finsieve.sources import facts as fx
 from finsieve.sources import masters, sinks
 
+MAX_LISTED = 100_000
+
 
 def long_facts(docs: DataFrame, profile: str = "bulk", tag_policy: str = "per_company", as_of: str | None = None) -> DataFrame:
     """(cik, concept, year, value, company_name) of every company in ``docs``."""
@@ -27,9 +29,14 @@ def raw_table(
 ) -> DataFrame:
     """Long company-year table of the wanted tickers (all of the master by
     default) with enough years on file."""
-    companies = master if tickers is None else ingest.restrict_to(master, tickers)
-    wanted = docs.join(ingest.company_of(companies).select("cik"), "cik", "left_semi")
-    return ingest.min_years(ingest.with_ticker(long_facts(wanted, **options), companies), min_years)
+    companies = master
+    if tickers is not None:
+        companies = ingest.restrict_to(master, tickers)
+        ciks = ingest.company_of(companies).select("cik")
+        if ciks.limit(MAX_LISTED + 1).count() <= MAX_LISTED:
+            # a short list drops documents before they are taken apart
+            docs = docs.join(F.broadcast(ciks), "cik", "left_semi")
+    return ingest.min_years(ingest.with_ticker(long_facts(docs, **options), companies), min_years)
 
 
 def financial_data(docs: DataFrame, master: DataFrame) -> DataFrame:
@@ -54,26 +61,15 @@ def parse_releases(entries: DataFrame) -> DataFrame:
     where the index text lacks a name or date. The first entry of a release
     number stays; entries without a number all stay.
     """
-    texts = [t for t in ("raw_text", "detail_text") if t in entries.columns]
-    # patterns run once per text; the next projection reads their hits
-    hits = entries.select("entry_no", "url", *[h for t in texts for h in release_hits(F.col(t), f"{t}_")])
-    fields = hits.select(
-        "entry_no", "url",
-        *[
-            F.struct(
-                release_number(f"{t}_").alias("aaer_no"), release_date(f"{t}_").alias("fraud_date"),
-                respondent(f"{t}_").alias("raw_name"),
-            ).alias(t)
-            for t in texts
-        ],
-    )
-    readable = [
-        F.when(F.col(f"{t}.fraud_date").isNotNull() & F.col(f"{t}.raw_name").isNotNull(), F.col(t)) for t in texts
-    ]
+    rows = _released(entries.withColumn("_text", F.col("raw_text")))
+    if "detail_text" in entries.columns:
+        # the page text is searched only where the index text was not readable
+        rest = rows.withColumn("_text", F.when(F.col("_r").isNull(), F.col("detail_text"))).withColumnRenamed("_r", "_index")
+        rows = _released(rest).withColumn("_r", F.coalesce("_index", "_r"))
     # exploding the one-or-none record drops unreadable rows without repeating the parsing in a filter
-    rows = fields.select(
-        "entry_no", "url", F.explode(F.array_compact(F.array(F.coalesce(*readable)))).alias("r")
-    ).select("entry_no", "r.*", "url")
+    rows = rows.select("entry_no", "url", F.explode(F.array_compact(F.array("_r"))).alias("r")).select(
+        "entry_no", "r.*", "url"
+    )
     kept = F.struct("entry_no", "fraud_date", "raw_name", "url")
     numbered = (
         rows.filter("aaer_no is not null").groupBy("aaer_no").agg(F.min_by(kept, "entry_no").alias("k"))
@@ -82,6 +78,18 @@ def parse_releases(entries: DataFrame) -> DataFrame:
     return numbered.unionByName(rows.filter("aaer_no is null"))
 
 
+def _released(rows: DataFrame) -> DataFrame:
+    """Adds ``_r`` (aaer_no, fraud_date, raw_name) read from ``_text``, NULL
+    without name or date. Patterns run once; the next projections read their hits."""
+    hits = rows.select("*", *release_hits(F.col("_text"), "_h_"))
+    fields = hits.select(
+        *rows.columns, release_number("_h_").alias("_no"), release_date("_h_").alias("_date"), respondent("_h_").alias("_name")
+    )
+    record = F.struct(F.col("_no").alias("aaer_no"), F.col("_date").alias("fraud_date"), F.col("_name").alias("raw_name"))
+    readable = F.col("_date").isNotNull() & F.col("_name").isNotNull()
+    return fields.select(*[c for c in rows.columns if c != "_text"], F.when(readable, record).alias("_r"))
+
+
 def fraud_labels(
     firm_years: DataFrame | None = None,
     releases: DataFrame | None = None,

@@ -29,10 +29,9 @@ PERCENT_WORDS = ("margin", "growth", "ratio", "roa", "roe")
 def header(signals: DataFrame, trend_penalty: str = "off") -> DataFrame:
     """One row per company: scores, flag counts and six key metrics as text.
 
-    Flags are counted inside the same projection chain, so the header needs no
-    join and no exchange beyond the per-company history.
+    A projection of the company's signals: no join and no exchange of its own.
     """
-    scored = sc.company_scores(signals, trend_penalty)
+    scored = sc.company_scores(flg.with_flags(signals), trend_penalty)
     shown = []
     for metric, (_, formatter) in KEY_METRICS.items():
         shown.append(formatter(F.col(f"last_{metric}")).alias(metric))
@@ -41,13 +40,9 @@ def header(signals: DataFrame, trend_penalty: str = "off") -> DataFrame:
     main = scored.select(
         "cik", "ticker", "company_name", money(F.col("market_cap")).alias("market_cap"),
         "overall", "label", "color", "altman_z", "beneish_m", *shown,
+        *[flg.severity_count(s).alias(f"{s.lower()}_flags") for s in flg.SEVERITY_RANK],
     )
-    counts = flg.counts_by_severity(flg.detect_flags(signals))
-    zero = {f"{s.lower()}_flags": 0 for s in flg.SEVERITY_RANK}
-    return (
-        main.join(counts, "cik", "left").fillna(zero, list(zero))
-        .withColumn("clean", (F.col("high_flags") == 0) & (F.col("medium_flags") == 0))
-    )
+    return main.withColumn("clean", (F.col("high_flags") == 0) & (F.col("medium_flags") == 0))
 
 
 def indexed_series(panel: DataFrame) -> DataFrame:
