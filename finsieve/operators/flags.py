@@ -142,7 +142,9 @@ def detect_flags(signals: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFra
     Rules are evaluated in one projection per company and exploded; only fired
     rules leave the row, so the output is as long as the number of flags.
     """
-    return with_flags(signals, rules).select("cik", F.explode("flags").alias("f")).select("cik", "f.*")
+    # the outer form keeps the optimiser from repeating the rules in a filter on the array
+    fired = with_flags(signals, rules).select("cik", F.explode_outer("flags").alias("f"))
+    return fired.filter("f is not null").select("cik", "f.*")
 
 
 def severity_count(severity: str) -> Column:

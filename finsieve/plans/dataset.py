@@ -66,16 +66,16 @@ def parse_releases(entries: DataFrame) -> DataFrame:
         # the page text is searched only where the index text was not readable
         rest = rows.withColumn("_text", F.when(F.col("_r").isNull(), F.col("detail_text"))).withColumnRenamed("_r", "_index")
         rows = _released(rest).withColumn("_r", F.coalesce("_index", "_r"))
-    # exploding the one-or-none record drops unreadable rows without repeating the parsing in a filter
-    rows = rows.select("entry_no", "url", F.explode(F.array_compact(F.array("_r"))).alias("r")).select(
+    # through explode, so that the filter on unreadable rows does not repeat the parsing
+    rows = rows.select("entry_no", "url", F.explode_outer(F.array("_r")).alias("r")).filter("r is not null").select(
         "entry_no", "r.*", "url"
     )
     kept = F.struct("entry_no", "fraud_date", "raw_name", "url")
-    numbered = (
-        rows.filter("aaer_no is not null").groupBy("aaer_no").agg(F.min_by(kept, "entry_no").alias("k"))
-        .select("k.entry_no", "aaer_no", "k.fraud_date", "k.raw_name", "k.url")
+    # entries without a number form a group of their own
+    alone = F.when(F.col("aaer_no").isNull(), F.col("entry_no"))
+    return rows.groupBy("aaer_no", alone.alias("_alone")).agg(F.min_by(kept, "entry_no").alias("k")).select(
+        "k.entry_no", "aaer_no", "k.fraud_date", "k.raw_name", "k.url"
     )
-    return numbered.unionByName(rows.filter("aaer_no is null"))
 
 
 def _released(rows: DataFrame) -> DataFrame:

@@ -110,7 +110,7 @@ def parse_facts(docs: DataFrame, column: str = "json", concepts: dict[str, list[
     parsed = F.from_json(column, schema, {"columnNameOfCorruptRecord": "_corrupt"})
     # through explode, so that later filters do not repeat the parsing
     kept = [c for c in docs.columns if c not in (column, "cik")]
-    return docs.select(*kept, F.explode(F.array(parsed)).alias("_d")).select(
+    return docs.select(*kept, F.explode_outer(F.array(parsed)).alias("_d")).select(
         "*", "_d.entityName", pad_cik(F.col("_d.cik")).alias("cik"), "_d.facts", "_d._corrupt"
     ).drop("_d")
 
