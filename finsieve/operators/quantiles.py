@@ -87,5 +87,6 @@ def _in_brackets(long: DataFrame, todo: dict, count: dict[str, int]) -> dict:
     for i, (c, p) in enumerate(cells):
         if i in low and i in high:
             position = (count[c] - 1) * p
-            found[(c, p)] = low[i] + (high[i] - low[i]) * (position - math.floor(position))
+            gap = 0.0 if high[i] == low[i] else high[i] - low[i]  # equal infinities have no gap
+            found[(c, p)] = low[i] + gap * (position - math.floor(position))
     return found

@@ -62,5 +62,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 
 def with_checkpoint_dir(spark: SparkSession) -> None:
-    """Point RDD checkpoints (used by tree training) at the shared folder."""
-    spark.sparkContext.setCheckpointDir(f"{shared_dir(spark)}/rdd")
+    """Point RDD checkpoints (used by tree training) at the shared folder, unless
+    the session already has a checkpoint folder."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(f"{shared_dir(spark)}/rdd")
