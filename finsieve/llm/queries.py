@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from finsieve.llm import exact_dedup, kd_sharding
+from finsieve.llm import exact_dedup, kd_sharding, line_dedup, ngram_join
 from finsieve.llm.shared import documents
 
 
@@ -16,7 +17,17 @@ def op6_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_sharding.shard(documents(spark, sf_dir), 40)
 
 
-QUERIES = {f.__name__: f for f in (op4_exact_dedup, op6_kd_sharding)}
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.classes(documents(spark, sf_dir)).select("doc_id", "class_id", "n_links", "class_size")
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup(documents(spark, sf_dir).select("doc_id", "text")).select(
+        "doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op4_exact_dedup, op6_kd_sharding, op8_ngram_jaccard_join, op10_line_dedup)}
 
 SQL = {
     "op4_exact_dedup": """
