@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finsieve.llm import exact_dedup, kd_sharding, line_dedup, ngram_join
-from finsieve.llm.shared import documents
+from finsieve.llm import decontaminate, exact_dedup, kd_sharding, line_dedup, ngram_join, pieces
+from finsieve.llm.shared import documents, table
+
+
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +21,10 @@ def op6_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_sharding.shard(documents(spark, sf_dir), 40)
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(documents(spark, sf_dir), pieces.read_vocabulary())
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.classes(documents(spark, sf_dir)).select("doc_id", "class_id", "n_links", "class_size")
 
@@ -27,7 +35,9 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op4_exact_dedup, op6_kd_sharding, op8_ngram_jaccard_join, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (
+    op1_benchmark_decontamination, op4_exact_dedup, op6_kd_sharding, op7_sentencepiece, op8_ngram_jaccard_join, op10_line_dedup,
+)}
 
 SQL = {
     "op4_exact_dedup": """
