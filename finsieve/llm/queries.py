@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finsieve.llm import decontaminate, exact_dedup, kd_sharding, line_dedup, ngram_join, pieces
+from finsieve.llm import decontaminate, exact_dedup, kd_sharding, line_dedup, ngram_join, pieces, quality, toxicity
 from finsieve.llm.shared import documents, table
 
 
@@ -17,6 +17,11 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.classes(documents(spark, sf_dir))
 
 
+def op5_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.score(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "text_score", "page_score", "quality_score", (F.col("quality_score") >= 0.5).alias("kept"))
+
+
 def op6_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_sharding.shard(documents(spark, sf_dir), 40)
 
@@ -29,6 +34,10 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.classes(documents(spark, sf_dir)).select("doc_id", "class_id", "n_links", "class_size")
 
 
+def op9_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup(documents(spark, sf_dir).select("doc_id", "text")).select(
         "doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"),
@@ -36,7 +45,8 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_benchmark_decontamination, op4_exact_dedup, op6_kd_sharding, op7_sentencepiece, op8_ngram_jaccard_join, op10_line_dedup,
+    op1_benchmark_decontamination, op4_exact_dedup, op5_quality_cotraining, op6_kd_sharding, op7_sentencepiece,
+    op8_ngram_jaccard_join, op9_toxicity_cnn, op10_line_dedup,
 )}
 
 SQL = {
