@@ -3,23 +3,54 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from finsieve.llm import exact_dedup
+from finsieve.llm import decontaminate, exact_dedup, ngram_join, pieces, quality
+from finsieve.llm.shared import table
 from finsieve.session import materialize
 
 
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose combined co-trained score is 0.5 or more stay."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest id stays."""
     return exact_dedup.keep_unique(docs)
 
 
-STAGES = [("exact dedup", exact_dedup_stage)]
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of documents linked at five-word Jaccard 0.8 or more the smallest id stays."""
+    return ngram_join.keep_one_per_class(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark passage go."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def sentencepiece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Adds piece ids, their number, and whether they decode to the text."""
+    vocabulary = pieces.read_vocabulary()
+    both = pieces.decode(pieces.encode(docs, vocabulary), vocabulary)
+    return both.withColumns({"n_pieces": F.size("ids"), "restored": F.col("decoded").eqNullSafe(F.col("text"))}).drop("decoded")
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("exact dedup", exact_dedup_stage),
+    ("n-gram Jaccard join", near_dedup_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("SentencePiece encoding", sentencepiece_stage),
+]
 
-#: A stage learns from labels, so the rows cannot be had from SQL.
+#: The first stage is a trained classifier, so SQL cannot give the rows; tests compare every stage with brute force instead.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = materialize(stage(spark, docs, sf_dir), "stage-" + name.lower().replace(" ", "-"))
     return docs
