@@ -153,7 +153,7 @@ def shingles(hashes: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndar
     np.cumsum(n, out=begin[1:])
     total = np.zeros(len(hashes) + width, np.uint64)
     for k in range(width):
-        total[:len(hashes)] += np.concatenate([hashes[k:], np.zeros(k, np.uint64)]) * _STEPS[k]
+        total[:max(0, len(hashes) - k)] += hashes[k:] * _STEPS[k]
     at = np.arange(begin[-1]) - np.repeat(begin[:-1] - first[:-1], n)
     out = mix(total[at])
     for row in np.flatnonzero((counts > 0) & (counts < width)):
