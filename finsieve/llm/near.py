@@ -17,7 +17,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from finsieve.llm.components import connected
-from finsieve.llm.marks import mark, marked
 from finsieve.llm.shared import ranged, runs
 from finsieve.llm.tokens import mix
 from finsieve.session import materialize
@@ -25,6 +24,7 @@ from finsieve.session import materialize
 BLOCK = 512
 _COLUMNS = 4096
 _CACHE = 1 << 16
+_PENDING = 1 << 20
 
 
 def choose_banding(threshold: float, recall: float, max_hashes: int) -> tuple[int, int]:
@@ -142,40 +142,89 @@ def _linked(node: np.ndarray, parent: np.ndarray, links: np.ndarray) -> pa.Recor
     return pa.RecordBatch.from_arrays([pa.array(node), pa.array(parent), pa.array(links.astype(np.int64))], names=["node", "parent", "links"])
 
 
-def _members(items: DataFrame, heads: DataFrame) -> DataFrame:
-    """(node, key) of the buckets that hold more than one node; a bitmap keeps the others from being shuffled again."""
-    bitmap = mark(heads, "key")
+def _packed(slots: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(slot, entries, ties): bucket entries as pairs of uint64, and nodes tied to the smallest of their bucket seen here.
+
+    Of the nodes that share a bucket within ``_PENDING`` entries only the smallest travels on under the bucket's key; the others
+    are tied to it at once and travel under their own. So a bucket with a large part of all nodes sends a few entries.
+    """
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            pairs = np.concatenate(held)
+            pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+            fresh = np.ones(len(pairs), bool)
+            fresh[1:] = pairs[1:, 0] != pairs[:-1, 0]
+            head = pairs[fresh][np.cumsum(fresh) - 1, 1]
+            tied = ~fresh & (pairs[:, 1] != head)
+            parts = [pairs[fresh], np.stack([pairs[tied, 1], head[tied]], axis=1)]
+            cut = []
+            for x in parts:
+                slot = (x[:, 0] >> np.uint64(11)) % np.uint64(slots)
+                order = np.argsort(slot, kind="stable")
+                cut.append((x[order], np.searchsorted(slot[order], np.arange(slots + 1))))
+            blobs = [[x[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)] for x, at in cut]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.arange(slots), pa.int32()), pa.array(blobs[0], pa.binary()), pa.array(blobs[1], pa.binary())],
+                names=["slot", "entries", "ties"],
+            )
 
-    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lists = b.column("buckets")
-            keys = lists.flatten().to_numpy(zero_copy_only=False)
-            if len(keys) == 0:
-                continue
-            counts = np.diff(lists.offsets.to_numpy())
-            node = np.repeat(b.column("node").to_numpy(zero_copy_only=False), counts)
-            on = marked(bitmap.value, keys)
-            yield pa.RecordBatch.from_arrays([pa.array(node[on]), pa.array(keys[on])], names=["node", "key"])
-
-    return items.select("node", "buckets").mapInArrow(hits, "node long, key long")
+            keys = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            node = np.repeat(b.column("node").to_numpy(zero_copy_only=False).view(np.uint64), np.diff(lists.offsets.to_numpy()))
+            if len(keys):
+                held.append(np.stack([keys, node], axis=1))
+                size += len(keys)
+            if size >= _PENDING:
+                yield flush()
+                held, size = [], 0
+        if size:
+            yield flush()
+
+    return pack
+
+
+def _tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(u, v): every node of a bucket of this partition with the bucket's smallest node."""
+    entries, ties = [], []
+    for b in batches:
+        for column, held in (("entries", entries), ("ties", ties)):
+            held += [np.frombuffer(x.as_buffer(), np.uint64).reshape(-1, 2) for x in b.column(column)]
+    if not entries:
+        return
+    pairs = np.concatenate(entries)
+    pairs = pairs[np.lexsort((pairs[:, 1].view(np.int64), pairs[:, 0]))]
+    fresh = np.ones(len(pairs), bool)
+    fresh[1:] = pairs[1:, 0] != pairs[:-1, 0]
+    head = pairs[fresh][np.cumsum(fresh) - 1, 1]
+    other = pairs[:, 1] != head
+    found = np.unique(np.concatenate([np.stack([pairs[other, 1], head[other]], axis=1), *ties]), axis=0).view(np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["u", "v"])
+
+
+def bucket_ties(items: DataFrame, count: int) -> DataFrame:
+    """(u, v) so that nodes that share a bucket are connected; ``count`` is about the number of bucket entries.
+
+    A partition takes about ``_PENDING`` entries of 16 bytes, whatever the size of the input.
+    """
+    slots = ranged(count, _PENDING, 4 * items.sparkSession.sparkContext.defaultParallelism)
+    packed = items.select("node", "buckets").mapInArrow(_packed(slots), "slot int, entries binary, ties binary")
+    return packed.filter("length(entries) > 0 or length(ties) > 0").repartition(slots, "slot").mapInArrow(_tie, "u long, v long").distinct()
 
 
 def near_classes(
-    items: DataFrame, nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], threshold: float
+    items: DataFrame, bands: int, nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], threshold: float
 ) -> DataFrame:
     """(node, root, links) of every node that may have a partner.
 
-    ``items``: (node long, buckets array<long>), repeats allowed. ``nodes``: (node, copies) once per node. ``sets_of`` gives
+    ``items``: (node long, buckets array<long> of ``bands`` keys), repeats allowed, read once. ``nodes``: (node, copies) once per node. ``sets_of`` gives
     (node, elements binary of ascending uint64) for the candidates it is handed, repeats allowed. Links count the copies of the
     partners at ``threshold`` or above; root is the smallest node of the class. Nodes that never share a bucket are absent.
     """
-    heads = materialize(
-        items.select("node", F.explode("buckets").alias("key")).groupBy("key").agg(
-            F.min("node").alias("head"), F.max("node").alias("last")
-        ).filter("head <> last").select("key", "head"),
-        "near-heads",
-    )
-    ties = _members(items, heads).join(heads, "key").select(F.col("node").alias("u"), F.col("head").alias("v")).distinct()
+    ties = bucket_ties(items, bands * nodes.count())
     groups = materialize(connected(ties), "near-groups")
     sizes = materialize(groups.groupBy("root").agg(F.count(F.lit(1)).alias("size")), "near-sizes")
     found = groups.join(sizes, "root").join(nodes.select("node", "copies"), "node")
