@@ -32,9 +32,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def sentencepiece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Adds piece ids, their number, and whether they decode to the text."""
-    vocabulary = pieces.read_vocabulary()
-    both = pieces.decode(pieces.encode(docs, vocabulary), vocabulary)
-    return both.withColumns({"n_pieces": F.size("ids"), "restored": F.col("decoded").eqNullSafe(F.col("text"))}).drop("decoded")
+    return pieces.encode(docs, pieces.read_vocabulary(), restored="restored").withColumn("n_pieces", F.size("ids"))
 
 
 STAGES = [

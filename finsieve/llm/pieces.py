@@ -28,8 +28,8 @@ from finsieve.llm import tokens
 MARKER = "▁"
 UNKNOWN = 10.0
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-CHUNK = 1 << 22
-_LANES = 1 << 21
+CHUNK = 1 << 20
+_LANES = 1 << 19
 
 
 @dataclass
@@ -258,10 +258,14 @@ def automaton(broadcast) -> Automaton:
     return _held[key]
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str = "ids") -> DataFrame:
-    """``docs`` with a column of piece ids; a column of that name is replaced."""
+def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str = "ids", restored: str | None = None) -> DataFrame:
+    """``docs`` with a column of piece ids; a column of that name is replaced.
+
+    ``restored`` names a further column: whether decoding the ids gives the text back. It is found in the same task.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # tens of thousands of short pieces, fixed by the model file
-    docs = docs.drop(ids)
+    added = [T.StructField(ids, T.ArrayType(T.IntegerType()))] + ([T.StructField(restored, T.BooleanType())] if restored else [])
+    docs = docs.drop(*[f.name for f in added])
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,10 +274,25 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str
             column = b.column(names.index(text))
             absent = column.is_null().to_numpy(zero_copy_only=False)
             for lo, hi, flat, first in machine.encode(column):
-                lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(flat), mask=pa.array(absent[lo:hi]))
-                yield pa.RecordBatch.from_arrays([c.slice(lo, hi - lo) for c in b.columns] + [lists], names=[*names, ids])
+                new = [pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(flat), mask=pa.array(absent[lo:hi]))]
+                if restored:
+                    new.append(pa.array(_same(column.slice(lo, hi - lo), *machine.decode(flat, first))))
+                yield pa.RecordBatch.from_arrays(
+                    [c.slice(lo, hi - lo) for c in b.columns] + new, names=[*names, *(f.name for f in added)]
+                )
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
+
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
+def _same(column: pa.Array, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Which rows of a text column equal the decoded bytes."""
+    own, own_offsets = tokens.text_buffers(column)
+    if np.array_equal(own_offsets, offsets) and np.array_equal(own, data):
+        return np.ones(len(column), bool)
+    return np.array([
+        np.array_equal(own[a:b], data[c:d])
+        for a, b, c, d in zip(own_offsets[:-1], own_offsets[1:], offsets[:-1], offsets[1:], strict=True)
+    ], bool)
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -303,5 +322,5 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, ids: str = "ids", out: st
 
 def round_trip(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """(doc_id, ids, n_pieces, restored): piece ids and whether their decoding gives the text back."""
-    both = decode(encode(docs.select("doc_id", "text"), vocabulary), vocabulary)
-    return both.select("doc_id", "ids", F.size("ids").alias("n_pieces"), F.col("decoded").eqNullSafe(F.col("text")).alias("restored"))
+    both = encode(docs.select("doc_id", "text"), vocabulary, restored="restored")
+    return both.select("doc_id", "ids", F.size("ids").alias("n_pieces"), "restored")

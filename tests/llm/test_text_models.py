@@ -143,6 +143,7 @@ def test_public_model_round_trip(spark):
     both = pieces.decode(encoded, v).collect()
     assert all(r.text == r.decoded for r in both) and len(both) == len(fx.texts())
     assert all((r.ids is None) == (r.text is None) for r in both)
+    assert all(r.restored for r in pieces.round_trip(docs, v).collect())
     assert pieces.round_trip(fx.empty(spark), v).count() == 0
 
 
