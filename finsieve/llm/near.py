@@ -22,6 +22,7 @@ from finsieve.llm.tokens import mix
 from finsieve.session import materialize
 
 BLOCK = 512
+Signer = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 _COLUMNS = 4096
 _CACHE = 1 << 16
 _PENDING = 1 << 20
@@ -205,26 +206,28 @@ def _tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["u", "v"])
 
 
-def bucket_ties(items: DataFrame, count: int) -> DataFrame:
+def bucket_ties(items: DataFrame, sign: Signer, count: int) -> DataFrame:
     """(u, v) so that nodes that share a bucket are connected; ``count`` is about the number of bucket entries.
 
     A partition takes about ``_PENDING`` entries of 16 bytes, whatever the size of the input.
     """
     slots = ranged(count, _PENDING, 4 * items.sparkSession.sparkContext.defaultParallelism)
-    packed = items.select("node", "buckets").mapInArrow(_packed(slots), "slot int, entries binary, ties binary")
+    pack = _packed(slots)
+    packed = items.mapInArrow(lambda batches: pack(sign(batches)), "slot int, entries binary, ties binary")
     return packed.filter("length(entries) > 0 or length(ties) > 0").repartition(slots, "slot").mapInArrow(_tie, "u long, v long").distinct()
 
 
 def near_classes(
-    items: DataFrame, bands: int, nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], threshold: float
+    items: DataFrame, sign: Signer, bands: int, nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], threshold: float
 ) -> DataFrame:
     """(node, root, links) of every node that may have a partner.
 
-    ``items``: (node long, buckets array<long> of ``bands`` keys), repeats allowed, read once. ``nodes``: (node, copies) once per node. ``sets_of`` gives
+    ``sign`` turns batches of ``items`` into (node int64, buckets list of ``bands`` int64 keys), repeats allowed, in the same
+    task that packs them. ``nodes``: (node, copies) once per node. ``sets_of`` gives
     (node, elements binary of ascending uint64) for the candidates it is handed, repeats allowed. Links count the copies of the
     partners at ``threshold`` or above; root is the smallest node of the class. Nodes that never share a bucket are absent.
     """
-    ties = bucket_ties(items, bands * nodes.count())
+    ties = bucket_ties(items, sign, bands * nodes.count())
     groups = materialize(connected(ties), "near-groups")
     sizes = materialize(groups.groupBy("root").agg(F.count(F.lit(1)).alias("size")), "near-sizes")
     found = groups.join(sizes, "root").join(nodes.select("node", "copies"), "node")

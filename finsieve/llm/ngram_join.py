@@ -115,7 +115,7 @@ def classes(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, r
         reps = candidates.select("node").join(nodes.select("node", F.col("first.id").alias("rep")), "node")
         return _sets(docs, reps.mapInArrow(_with_pick, "pick long"), width)
 
-    linked = materialize(near.near_classes(items, bands, nodes, sets_of, threshold), "ngram-linked")
+    linked = materialize(near.near_classes(items.select("node", "buckets"), iter, bands, nodes, sets_of, threshold), "ngram-linked")
     known = materialize(nodes.join(linked, "node", "left").select(
         "node", "first", "copies", F.coalesce("root", "node").alias("root"),
         (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
