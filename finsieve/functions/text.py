@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -96,12 +98,44 @@ def respondent(prefix: str) -> Column:
     return F.nullif(F.btrim(first, F.lit(" .,;")), F.lit(""))
 
 
+_COMMON = (("amp", "&"), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("nbsp", " "), ("apos", "'"))
+
+
+def _entity_map() -> Column:
+    """All named entities as one literal map, from the standard table of names."""
+    names = sorted(n[:-1] for n in html5 if n.endswith(";"))
+    return F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.array(*[F.lit(" " if n == "nbsp" else html5[n + ";"]) for n in names]))
+
+
+def _entity(body: Column) -> Column:
+    """The character an entity stands for, without & and ;. NULL if there is none."""
+    number = F.coalesce(
+        F.conv(F.nullif(F.regexp_extract(body, r"^#[xX]([0-9a-fA-F]{1,6})$", 1), F.lit("")), 16, 10).try_cast("int"),
+        F.nullif(F.regexp_extract(body, r"^#([0-9]{1,7})$", 1), F.lit("")).try_cast("int"),
+    )
+    # a code point as UTF-16: one unit, or a surrogate pair
+    high, low = F.lit(0xD800) + F.floor((number - 0x10000) / 0x400), F.lit(0xDC00) + (number - 0x10000) % 0x400
+    units = F.when(number < 0x10000, F.lpad(F.hex(number), 4, "0")).otherwise(F.concat(F.hex(high.cast("int")), F.hex(low.cast("int"))))
+    valid = (number > 0) & (number < 0x110000) & ~number.between(0xD800, 0xDFFF)
+    return F.when(valid, F.when(number == 160, F.lit(" ")).otherwise(F.decode(F.unhex(units), "UTF-16BE")))
+
+
 def unescape(text: Column) -> Column:
-    """The five common entities and the non-breaking space; ampersand last."""
-    out = text
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    return out
+    """Numeric, hexadecimal and named entities replaced by their characters, a non-breaking space by a space.
+
+    The text is taken apart at ampersands once; only texts that hold one are. An entity is read once, so ``&amp;lt;`` gives ``&lt;``.
+    """
+    def piece(part: Column) -> Column:
+        body = F.regexp_extract(part, r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});", 1)
+        char = F.when(body.startswith("#"), _entity(body))
+        for name, value in _COMMON:  # spares most entities the search of the long table
+            char = char.when(body == name, F.lit(value))
+        char = char.when(body != "", F.try_element_at(_entity_map(), body))
+        return F.when(char.isNotNull(), F.concat(char, F.substr(part, F.length(body) + 2))).otherwise(F.concat(F.lit("&"), part))
+
+    parts = F.split(text, "&")
+    resolved = F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), piece), ""))
+    return F.when(text.contains("&"), resolved).otherwise(text)
 
 
 def html_text(html: Column) -> Column:

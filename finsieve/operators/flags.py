@@ -39,62 +39,62 @@ def _pct(name: str) -> tuple[str, int, bool]:
     return (name, 1, True)
 
 
-# Thresholds, categories and wording every consumer of the flags relies on.
+# Thresholds, severities, categories and titles every consumer of the flags relies on. Remarks are this library's own.
 RULES = (
     Rule(1, "HIGH", "Liquidity", "last_current_ratio < 1.0", "Current Ratio below 1.0",
-         "Current ratio = %s. Company cannot cover short-term obligations with current assets — imminent liquidity risk.",
+         "Each dollar due within a year is met by only %s of current assets; bills may go unpaid without new money.",
          (_x("last_current_ratio"),)),
     Rule(2, "MEDIUM", "Liquidity", "last_current_ratio >= 1.0 and last_current_ratio < 1.5", "Deteriorating Current Ratio",
-         "Current ratio = %s (healthy threshold ≥ 1.5). Tight short-term liquidity buffer.",
+         "A current ratio of %s covers what is due, yet leaves less room than the 1.5 lenders like to see.",
          (_x("last_current_ratio"),)),
     Rule(3, "MEDIUM", "Liquidity", "trend_current_ratio < -0.05", "Current Ratio in multi-year decline",
-         "Trend slope: %s/yr. Liquidity is systematically eroding.", (_pct("trend_current_ratio"),)),
+         "The current ratio has moved by %s a year over the last three reports.", (_pct("trend_current_ratio"),)),
     Rule(4, "HIGH", "Liquidity", "last_quick_ratio < 0.7", "Quick Ratio critically low",
-         "Quick ratio = %s. Without relying on inventory, the company struggles to meet near-term debt.",
+         "Leaving stock aside, liquid assets are %s times current liabilities; under 0.7 counts as critical.",
          (_x("last_quick_ratio"),)),
     Rule(5, "HIGH", "Solvency", "last_debt_equity > 3.0", "Extreme Debt-to-Equity",
-         "D/E = %sx. Highly leveraged; sensitive to rate hikes and earnings shocks.", (_x("last_debt_equity"),)),
+         "Borrowings are %sx equity. At over three times, weak years or dearer credit soon reach the owners.", (_x("last_debt_equity"),)),
     Rule(6, "MEDIUM", "Solvency", "last_debt_equity > 2.0 and last_debt_equity <= 3.0", "Elevated Debt-to-Equity",
-         "D/E = %sx. Above the 2.0x caution threshold.", (_x("last_debt_equity"),)),
+         "Borrowings are %sx equity, past the 2.0x mark but not yet above 3.0x.", (_x("last_debt_equity"),)),
     Rule(7, "MEDIUM", "Solvency", "trend_debt_equity > 0.08", "Debt load accelerating",
-         "D/E growing at ~%s/yr — leverage is rising faster than equity.", (_pct("trend_debt_equity"),)),
+         "Borrowings relative to equity have moved by %s a year over the last three reports.", (_pct("trend_debt_equity"),)),
     Rule(8, "HIGH", "Solvency", "last_debt_assets > 0.7", "Debt-to-Assets above 70%",
-         "Debt/Assets = %s. Over 70%% of assets are funded by creditors.", (_pct("last_debt_assets"),)),
+         "Creditors finance %s of the assets; 70%% is the line.", (_pct("last_debt_assets"),)),
     Rule(9, "HIGH", "Solvency", "last_interest_coverage < 1.5", "Interest Coverage below 1.5x",
-         "EBIT covers interest only %sx. A small earnings drop triggers default risk.", (_x("last_interest_coverage"),)),
+         "Operating profit pays the interest bill %sx; under 1.5x a modest setback can mean missed payments.", (_x("last_interest_coverage"),)),
     Rule(10, "MEDIUM", "Solvency", "last_interest_coverage >= 1.5 and last_interest_coverage < 3.0", "Thin Interest Coverage",
-         "Interest coverage = %sx. Healthy minimum is ~3x.", (_x("last_interest_coverage"),)),
+         "Operating profit pays the interest bill %sx, less than the 3x usually asked for.", (_x("last_interest_coverage"),)),
     Rule(11, "MEDIUM", "Profitability", "trend_gross_margin < -0.02", "Gross Margin compression",
-         "Gross margin declining at %s pp/yr — pricing power or cost pressure.", (("trend_gross_margin", 1, None),)),
+         "Gross margin has shifted by %s points a year, a sign of rising costs or of prices that do not hold.", (("trend_gross_margin", 1, None),)),
     Rule(12, "HIGH", "Profitability", "last_net_margin < 0", "Negative Net Income",
-         "Net margin = %s. Company is burning capital.", (_pct("last_net_margin"),)),
+         "The latest year closed with a loss: net margin %s.", (_pct("last_net_margin"),)),
     Rule(13, "HIGH", "Profitability", "last_roe < 0", "Negative Return on Equity",
-         "ROE = %s. Shareholders' equity is being destroyed.", (_pct("last_roe"),)),
+         "Owners' capital shrank in the latest year: return on equity %s.", (_pct("last_roe"),)),
     Rule(14, "LOW", "Profitability", "last_roa < 0.02", "Low Return on Assets",
-         "ROA = %s — assets are not generating meaningful profits.", (_pct("last_roa"),)),
+         "Assets returned %s in the latest year, below the 2%% mark.", (_pct("last_roa"),)),
     Rule(15, "HIGH", "Cash Quality", "last_cfo_ni_ratio < 0.5", "CFO far below Net Income (accrual gap)",
-         "CFO/NI = %s. Revenue is not converting to cash — classic earnings quality warning.", (_x("last_cfo_ni_ratio"),)),
+         "Operations brought in %s of cash per unit of reported profit. Profit that is mostly accruals tends to be revised or to fade.", (_x("last_cfo_ni_ratio"),)),
     Rule(16, "MEDIUM", "Cash Quality", "last_cfo_ni_ratio >= 0.5 and last_cfo_ni_ratio < 0.8", "CFO-to-Net-Income ratio weakening",
-         "CFO/NI = %s. Earnings quality is declining.", (_x("last_cfo_ni_ratio"),)),
+         "Operations brought in %s of cash per unit of reported profit, under the 0.8 seen as sound.", (_x("last_cfo_ni_ratio"),)),
     Rule(17, "HIGH", "Cash Quality", "last_revenue_growth > 0.05 and last_cfo_growth < -0.05",
          "Revenue rising but Operating Cash Flow falling",
-         "Revenue grew %s YoY while CFO fell %s.", (_pct("last_revenue_growth"), _pct("cfo_fall"))),
+         "Sales went up %s on the year before while cash from operations shrank by %s; sales may be booked before they are paid.", (_pct("last_revenue_growth"), _pct("cfo_fall"))),
     Rule(18, "MEDIUM", "Cash Quality",
          "divergence > 0.15 and not (last_revenue_growth > 0.05 and last_cfo_growth < -0.05)",
          "Revenue-CFO growth divergence widening",
-         "Revenue growth (%s) outpacing CFO growth (%s) by %s. Watch for aggressive revenue recognition.",
+         "Sales changed by %s and operating cash by %s, a gap of %s that can come from early booking of sales.",
          (_pct("last_revenue_growth"), _pct("last_cfo_growth"), _pct("divergence"))),
     Rule(19, "MEDIUM", "Cash Quality", "trend_cfo_revenue < -0.03", "Cash conversion deteriorating",
-         "CFO/Revenue ratio declining at %s pp/yr.", (("trend_cfo_revenue", 1, None),)),
+         "Cash from operations per unit of sales has shifted by %s points a year.", (("trend_cfo_revenue", 1, None),)),
     Rule(20, "MEDIUM", "Cash Quality", "trend_dso > 0.05 and last_dso > 50", "Days Sales Outstanding rising",
-         "DSO = %s days and growing. Receivables piling up suggests channel stuffing or aggressive booking of uncollected revenue.",
+         "Customers take %s days to pay, and longer than before; part of the sales may never be collected.",
          (_x("last_dso", 0),)),
     Rule(21, "HIGH", "Altman Z-Score", "altman_z < 1.81", "Distress Zone (Z = %s)",
-         "Z-score below 1.81 places the company in the bankruptcy distress zone.", (), (_x("altman_z"),)),
+         "The score is under 1.81, where failures within two years were frequent in the published samples. Check funding and covenants.", (), (_x("altman_z"),)),
     Rule(22, "MEDIUM", "Altman Z-Score", "altman_z >= 1.81 and altman_z < 2.99", "Grey Zone (Z = %s)",
-         "Z-score between 1.81–2.99 is the 'grey zone' — elevated risk but not certain distress.", (), (_x("altman_z"),)),
+         "The score lies between 1.81 and 2.99, where the published samples held failing and sound companies alike.", (), (_x("altman_z"),)),
     Rule(23, "HIGH", "Beneish M-Score", "beneish_m > -2.22", "Likely Earnings Manipulator (M = %s)",
-         "M-score above -2.22 indicates probable financial statement manipulation. This company scores %s.",
+         "A score of %s is above -2.22, the side on which known misstatements mostly fell. Read the accruals and the notes closely.",
          (_x("beneish_m"),), (_x("beneish_m"),)),
 )
 

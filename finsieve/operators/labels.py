@@ -12,20 +12,26 @@ BANKRUPTCY_YEARS = (-2, -1)
 
 
 def _window_years(labels: DataFrame, date: str, span: tuple[int, int], flag: str) -> DataFrame:
-    """Distinct (cik, year) covered by a span of years around each label date."""
+    """(cik, year) covered by a span of years around each label date."""
     year = F.year(F.col(date))
     return (
         labels.filter(F.col("cik").isNotNull() & F.col(date).isNotNull())
-        .select(pad_cik(F.col("cik")).alias("cik"), F.explode(F.sequence(year + span[0], year + span[1])).alias("year"))
-        .distinct()
-        .select("cik", "year", F.lit(1).alias(flag))
+        .select(
+            pad_cik(F.col("cik")).alias("cik"), F.explode(F.sequence(year + span[0], year + span[1])).alias("year"), F.lit(1).alias(flag)
+        )
     )
 
 
 def _flagged(features: DataFrame, years: DataFrame, flag: str) -> DataFrame:
-    """Left equi-join on (cik, year), unique on both sides; missing means 0."""
-    padded = features.withColumn("cik", pad_cik(F.col("cik")))
-    return padded.join(years, ["cik", "year"], "left").withColumn(flag, F.coalesce(F.col(flag), F.lit(0)))
+    """Left join with one row per company that holds its label years; missing means 0.
+
+    The key of the wide side stays as it is (``features`` carries padded keys
+    already) and alone is joined on, so a table that lies by ``cik`` is not
+    exchanged again. A company has at most one label year per calendar year.
+    """
+    held = years.filter(F.col(flag) == 1).groupBy("cik").agg(F.collect_set("year").alias("_years"))
+    hit = F.coalesce(F.array_contains("_years", F.col("year")), F.lit(False))
+    return features.join(held, "cik", "left").withColumn(flag, hit.cast("int")).drop("_years")
 
 
 def attach_fraud(features: DataFrame, fraud: DataFrame) -> DataFrame:
@@ -75,7 +81,7 @@ def attach_gone_dark(features: DataFrame) -> DataFrame:
         last_two.select("cik", "year", F.max("year").over(both).alias("last_year"), hits.alias("hits"))
         .join(F.broadcast(latest))
         .filter((F.col("last_year") <= F.col("max_year") - 3) & (F.col("hits") >= 2))
-        .select(pad_cik(F.col("cik")).alias("cik"), "year", F.lit(1).alias("is_bankrupt"))
+        .select("cik", "year", F.lit(1).alias("is_bankrupt"))
     )
     return _flagged(features, dark, "is_bankrupt")
 

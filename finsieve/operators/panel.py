@@ -136,7 +136,9 @@ def history(wide: DataFrame, pad: bool = True, inf_mode: str = "null") -> DataFr
     the ratio windows already needed.
     """
     rows = ratio_rows(wide, pad, inf_mode)
-    entry = F.struct("year", "has_metric", *HISTORY_RAW, *RATIOS, *GROWTH)
+    # a year without any metric has raw values but no growth: the padded one would be 0
+    grown = [F.when(F.col("has_metric"), F.col(c)).alias(c) for c in GROWTH]
+    entry = F.struct("year", "has_metric", *HISTORY_RAW, *RATIOS, *grown)
     return rows.groupBy("cik").agg(
         F.min("ticker").alias("ticker"),
         F.min_by("company_name", "ticker").alias("company_name"),

@@ -30,19 +30,35 @@ def positive_weight(n: int, pos: int) -> float:
 
 
 def _nearest(k: int):
+    """The k nearest rows of a block per row, among equal distances those with the smallest key."""
     def find(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame(columns=["cik", "year", "nb_cik", "nb_year", "dist"])
-        points = np.vstack(right["features"].to_numpy())
-        keys = list(zip(right["cik"], right["year"]))
+        right = right.sort_values(["cik", "year"], kind="stable", ignore_index=True)
+        points, rows = np.vstack(right["features"].to_numpy()), np.vstack(left["features"].to_numpy())
+        place = {key: i for i, key in enumerate(zip(right["cik"], right["year"], strict=True))}
+        own = np.array([place.get(key, -1) for key in zip(left["cik"], left["year"], strict=True)])
+        take = min(k, len(right))
         out = []
-        for cik, year, x in zip(left["cik"], left["year"], left["features"]):
-            dist = ((points - np.asarray(x)) ** 2).sum(axis=1)
-            dist[[i for i, key in enumerate(keys) if key == (cik, year)]] = np.inf
-            take = min(k, len(keys))
-            near = np.argpartition(dist, take - 1)[:take]
-            out += [(cik, year, keys[i][0], keys[i][1], float(dist[i])) for i in near if np.isfinite(dist[i])]
-        return pd.DataFrame(out, columns=["cik", "year", "nb_cik", "nb_year", "dist"])
+        for lo in range(0, len(rows), 256):
+            part = rows[lo:lo + 256]
+            dist = np.zeros((len(part), len(points)))
+            for f in range(points.shape[1]):
+                dist += (part[:, f, None] - points[None, :, f]) ** 2
+            mine = own[lo:lo + 256]
+            dist[np.flatnonzero(mine >= 0), mine[mine >= 0]] = np.inf
+            # rows come in key order, so a stable sort of what reaches the k-th distance breaks ties by key
+            edge = np.partition(dist, take - 1, axis=1)[:, take - 1]
+            for i in range(len(part)):
+                near = np.flatnonzero(dist[i] <= edge[i])
+                near = near[np.argsort(dist[i][near], kind="stable")][:take]
+                near = near[np.isfinite(dist[i][near])]
+                out.append((np.full(len(near), lo + i), near, dist[i][near]))
+        at, near, dist = (np.concatenate(x) for x in zip(*out, strict=True))
+        return pd.DataFrame({
+            "cik": left["cik"].to_numpy()[at], "year": left["year"].to_numpy()[at], "nb_cik": right["cik"].to_numpy()[near],
+            "nb_year": right["year"].to_numpy()[near], "dist": dist,
+        })
 
     return find
 

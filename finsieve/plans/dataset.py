@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,9 +15,6 @@ from finsieve.session import materialize
 from finsieve.sources import facts as fx
 from finsieve.sources import masters, sinks
 
-MAX_LISTED = 100_000
-
-
 def long_facts(docs: DataFrame, profile: str = "bulk", tag_policy: str = "per_company", as_of: str | None = None) -> DataFrame:
     """(cik, concept, year, value, company_name) of every company in ``docs``."""
     concepts = fx.PROFILES[profile]
@@ -32,10 +31,7 @@ def raw_table(
     companies = master
     if tickers is not None:
         companies = ingest.restrict_to(master, tickers)
-        ciks = ingest.company_of(companies).select("cik")
-        if ciks.limit(MAX_LISTED + 1).count() <= MAX_LISTED:
-            # a short list drops documents before they are taken apart
-            docs = docs.join(F.broadcast(ciks), "cik", "left_semi")
+        docs = docs.join(ingest.company_of(companies).select("cik"), "cik", "left_semi")
     return ingest.min_years(ingest.with_ticker(long_facts(docs, **options), companies), min_years)
 
 
@@ -124,30 +120,43 @@ def build(
     master_path: str,
     out: str,
     tickers: DataFrame | None = None,
-    quick: bool = False,
     fraud: DataFrame | None = None,
     bankruptcies: DataFrame | None = None,
     firm_years: DataFrame | None = None,
     min_years: int = 3,
+    version: str | None = None,
 ) -> dict[str, DataFrame]:
-    """Filings to labelled dataset, each stage landed under ``out``."""
+    """Filings to labelled dataset, each stage landed under ``out``.
+
+    ``version`` names this run's folder of the augmented table; without it each
+    run takes a new one. ``rejects`` are the documents that could not be read,
+    ``fetch_status`` counts the wanted tickers by outcome.
+    """
     docs = fx.read_facts(spark, facts_path)
     master = masters.read_master(spark, master_path)
-    if quick and tickers is None:
-        tickers = masters.quick_universe(spark)
-    raw = sinks.write_table(raw_table(docs, master, tickers, min_years), f"{out}/raw_financials")
+    _, bad = fx.split_rejects(docs)
+    rejects = sinks.write_table(bad.select("file", "cik", F.col("_corrupt").alias("content")), f"{out}/rejected_documents")
+    # the corpus is taken apart once; the raw table and its additions both read the result
+    every = sinks.write_table(long_facts(docs), f"{out}/long_facts")
+    companies = master if tickers is None else ingest.restrict_to(master, tickers)
+    raw = sinks.write_table(
+        ingest.min_years(ingest.with_ticker(every, companies), min_years), f"{out}/raw_financials"
+    )
+    status = ingest.fetch_status(master if tickers is None else tickers, master, every, min_years)
     if raw.isEmpty():
         raise ValueError("no company has usable filings")
     extra = [df.select("cik") for df in (fraud, bankruptcies) if df is not None]
     if extra:
         ciks = extra[0] if len(extra) == 1 else extra[0].union(extra[1])
-        candidates = ingest.with_ticker(long_facts(docs), master)
-        raw = sinks.write_version(ingest.augment(raw, ciks, candidates), f"{out}/raw_financials_augmented", "1")
+        candidates = ingest.with_ticker(every, master)
+        raw = sinks.write_version(
+            ingest.augment(raw, ciks, candidates), f"{out}/raw_financials_augmented", version or uuid.uuid4().hex
+        )
     features = sinks.write_table(feature_dataset(raw), f"{out}/features")
     labelled = sinks.write_table(
         lab.labelled_dataset(features, firm_years, fraud, bankruptcies), f"{out}/labelled_dataset"
     )
     return {
         "raw": raw, "features": features, "labelled": labelled, "summary": lab.run_summary(labelled),
-        "distribution": lab.label_distribution(labelled),
+        "distribution": lab.label_distribution(labelled), "rejects": rejects, "fetch_status": status,
     }

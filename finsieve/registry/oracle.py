@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from finsieve.operators import features as fea
 from finsieve.operators.panel import GROWTH, RATIOS
-from finsieve.operators.scores import WEIGHTS
 from finsieve.sources.facts import BULK, SINGLE
 from finsieve.sources.sample import CONCEPTS
 
+# Written here a second time, so that a changed constant of the library shows as a difference.
+WEIGHTS = {"liquidity": 0.15, "solvency": 0.2, "profitability": 0.15, "cash_quality": 0.25, "altman_score": 0.15, "beneish_score": 0.1}
+
 _EXPR = {
     "total_assets": "e*(2+x)", "current_assets": "case when f<>'R' then e*(1+t) end",
     "total_liabilities": "e*(1+x*5)", "current_liabilities": "case when s='O' then e*(1-x) end",
@@ -215,28 +217,84 @@ sc as (select *, case when overall >= 75 then 'Healthy' when overall >= 55 then
 SCORES = _scores(False)
 
 
-def _flag_sql() -> str:
-    from finsieve.operators.flags import EMOJI, RULES
-
-    def text(template: str, args) -> str:
-        pieces = template.replace("%%", "%").split("%s")
-        out = ["'" + pieces[0].replace("'", "''") + "'"]
-        for piece, (name, decimals, percent) in zip(pieces[1:], args):
-            value = name if percent is False else f"{name} * 100"
-            out.append(f"printf('%.{decimals}f', {value})")
-            out.append("'" + ("%" if percent else "") + piece.replace("'", "''") + "'")
-        return " || ".join(out)
-
+def _num(c: str, decimals: int = 2) -> str:
+    return f"printf('%.{decimals}f', {c})"
+
+
+def _share(c: str) -> str:
+    return f"printf('%.1f', {c} * 100)"
+
+
+# number, severity, category, condition, title and remark as SQL; own copy of the rules
+_FLAGS = (
+    (1, "HIGH", "Liquidity", "last_current_ratio < 1", "'Current Ratio below 1.0'",
+     f"'Each dollar due within a year is met by only ' || {_num('last_current_ratio')} || ' of current assets; bills may go unpaid without new money.'"),
+    (2, "MEDIUM", "Liquidity", "last_current_ratio between 1 and 1.5 and last_current_ratio <> 1.5", "'Deteriorating Current Ratio'",
+     f"'A current ratio of ' || {_num('last_current_ratio')} || ' covers what is due, yet leaves less room than the 1.5 lenders like to see.'"),
+    (3, "MEDIUM", "Liquidity", "trend_current_ratio < -0.05::double", "'Current Ratio in multi-year decline'",
+     f"'The current ratio has moved by ' || {_share('trend_current_ratio')} || '% a year over the last three reports.'"),
+    (4, "HIGH", "Liquidity", "last_quick_ratio < 0.7::double", "'Quick Ratio critically low'",
+     f"'Leaving stock aside, liquid assets are ' || {_num('last_quick_ratio')} || ' times current liabilities; under 0.7 counts as critical.'"),
+    (5, "HIGH", "Solvency", "last_debt_equity > 3", "'Extreme Debt-to-Equity'",
+     f"'Borrowings are ' || {_num('last_debt_equity')} || 'x equity. At over three times, weak years or dearer credit soon reach the owners.'"),
+    (6, "MEDIUM", "Solvency", "last_debt_equity > 2 and not last_debt_equity > 3", "'Elevated Debt-to-Equity'",
+     f"'Borrowings are ' || {_num('last_debt_equity')} || 'x equity, past the 2.0x mark but not yet above 3.0x.'"),
+    (7, "MEDIUM", "Solvency", "trend_debt_equity > 0.08::double", "'Debt load accelerating'",
+     f"'Borrowings relative to equity have moved by ' || {_share('trend_debt_equity')} || '% a year over the last three reports.'"),
+    (8, "HIGH", "Solvency", "last_debt_assets > 0.7::double", "'Debt-to-Assets above 70%'",
+     f"'Creditors finance ' || {_share('last_debt_assets')} || '% of the assets; 70% is the line.'"),
+    (9, "HIGH", "Solvency", "last_interest_coverage < 1.5", "'Interest Coverage below 1.5x'",
+     f"'Operating profit pays the interest bill ' || {_num('last_interest_coverage')} || 'x; under 1.5x a modest setback can mean missed payments.'"),
+    (10, "MEDIUM", "Solvency", "last_interest_coverage >= 1.5 and last_interest_coverage < 3", "'Thin Interest Coverage'",
+     f"'Operating profit pays the interest bill ' || {_num('last_interest_coverage')} || 'x, less than the 3x usually asked for.'"),
+    (11, "MEDIUM", "Profitability", "trend_gross_margin < -0.02::double", "'Gross Margin compression'",
+     f"'Gross margin has shifted by ' || {_share('trend_gross_margin')} || ' points a year, a sign of rising costs or of prices that do not hold.'"),
+    (12, "HIGH", "Profitability", "last_net_margin < 0", "'Negative Net Income'",
+     f"'The latest year closed with a loss: net margin ' || {_share('last_net_margin')} || '%.'"),
+    (13, "HIGH", "Profitability", "last_roe < 0", "'Negative Return on Equity'",
+     f"'Owners'' capital shrank in the latest year: return on equity ' || {_share('last_roe')} || '%.'"),
+    (14, "LOW", "Profitability", "last_roa < 0.02::double", "'Low Return on Assets'",
+     f"'Assets returned ' || {_share('last_roa')} || '% in the latest year, below the 2% mark.'"),
+    (15, "HIGH", "Cash Quality", "last_cfo_ni_ratio < 0.5", "'CFO far below Net Income (accrual gap)'",
+     f"'Operations brought in ' || {_num('last_cfo_ni_ratio')} || ' of cash per unit of reported profit. Profit that is mostly accruals tends to be revised or to fade.'"),
+    (16, "MEDIUM", "Cash Quality", "last_cfo_ni_ratio >= 0.5 and last_cfo_ni_ratio < 0.8::double", "'CFO-to-Net-Income ratio weakening'",
+     f"'Operations brought in ' || {_num('last_cfo_ni_ratio')} || ' of cash per unit of reported profit, under the 0.8 seen as sound.'"),
+    (17, "HIGH", "Cash Quality", "last_revenue_growth > 0.05::double and last_cfo_growth < -0.05::double", "'Revenue rising but Operating Cash Flow falling'",
+     f"'Sales went up ' || {_share('last_revenue_growth')} || '% on the year before while cash from operations shrank by ' || {_share('cfo_fall')} || '%; sales may be booked before they are paid.'"),
+    (18, "MEDIUM", "Cash Quality", "divergence > 0.15::double and (last_revenue_growth <= 0.05::double or last_cfo_growth >= -0.05::double)",
+     "'Revenue-CFO growth divergence widening'",
+     f"'Sales changed by ' || {_share('last_revenue_growth')} || '% and operating cash by ' || {_share('last_cfo_growth')} || '%, a gap of ' || {_share('divergence')} || '% that can come from early booking of sales.'"),
+    (19, "MEDIUM", "Cash Quality", "trend_cfo_revenue < -0.03::double", "'Cash conversion deteriorating'",
+     f"'Cash from operations per unit of sales has shifted by ' || {_share('trend_cfo_revenue')} || ' points a year.'"),
+    (20, "MEDIUM", "Cash Quality", "trend_dso > 0.05::double and last_dso > 50", "'Days Sales Outstanding rising'",
+     f"'Customers take ' || {_num('last_dso', 0)} || ' days to pay, and longer than before; part of the sales may never be collected.'"),
+    (21, "HIGH", "Altman Z-Score", "altman_z < 1.81::double", f"'Distress Zone (Z = ' || {_num('altman_z')} || ')'",
+     "'The score is under 1.81, where failures within two years were frequent in the published samples. Check funding and covenants.'"),
+    (22, "MEDIUM", "Altman Z-Score", "altman_z >= 1.81::double and altman_z < 2.99::double", f"'Grey Zone (Z = ' || {_num('altman_z')} || ')'",
+     "'The score lies between 1.81 and 2.99, where the published samples held failing and sound companies alike.'"),
+    (23, "HIGH", "Beneish M-Score", "beneish_m > -2.22::double", f"'Likely Earnings Manipulator (M = ' || {_num('beneish_m')} || ')'",
+     f"'A score of ' || {_num('beneish_m')} || ' is above -2.22, the side on which known misstatements mostly fell. Read the accruals and the notes closely.'"),
+)
+
+
+def _flag_sql(signals: str) -> str:
+    sign = {"HIGH": "🔴", "MEDIUM": "🟡", "LOW": "🟢"}
     parts = [
-        f"select cik, {r.no} as rule_no, '{r.severity}' as severity, '{r.category}' as category, "
-        f"{text(r.title, r.title_args)} as title, {text(r.detail, r.args)} as detail, '{EMOJI[r.severity]}' as emoji "
-        f"from sig where {r.when.replace('0.05', '0.05::double')}"
-        for r in RULES
+        f"select cik, {no} as rule_no, '{severity}' as severity, '{category}' as category, {title} as title, {remark} as detail, "
+        f"'{sign[severity]}' as emoji from sig where {when}"
+        for no, severity, category, when, title, remark in _FLAGS
     ]
-    return SIGNALS + ",\nfl as (" + "\nunion all\n".join(parts) + ")"
+    return signals + ",\nfl as (" + "\nunion all\n".join(parts) + ")"
 
 
-FLAGS = _flag_sql()
+# every fifth company's last year keeps its assets only
+GAP_PANEL = PANEL.replace("\ncy as (", "\ncy0 as (") + """,
+cy as (select cik, ticker, company_name, year, """ + ", ".join(
+    c if c == "total_assets" else f"case when not (cast(cik as bigint) % 5 = 0 and year = max(year) over (partition by cik)) then {c} end as {c}"
+    for c in CONCEPTS) + " from cy0)"
+GAP_SIGNALS = SIGNALS.replace(PANEL, GAP_PANEL)
+GAP_FLAGS = _flag_sql(GAP_SIGNALS)
+FLAGS = _flag_sql(SIGNALS)
 SEVERITY_COUNTS = ", ".join(f"count(*) filter (where severity = '{s}') as {s.lower()}_flags" for s in ("HIGH", "MEDIUM", "LOW"))
 
 # features --------------------------------------------------------------------------------
@@ -365,6 +423,15 @@ def _metrics(source: str, prefix: str = "") -> str:
 {p}met as (select {p}auc.*, recall_at_5pct, precision_at_20 from {p}auc join {p}rec on {p}auc.model = {p}rec.model join {p}top on {p}auc.model = {p}top.model)"""
 
 
+def _pooled(scores: str) -> str:
+    """AUC and average precision of the blended score as it was given, missing scores last."""
+    return f"""select round((sum(pos * (upto - n + (n + 1) / 2.0::double)) - max(tp) * (max(tp) + 1) / 2.0::double)
+          / nullif(max(tp) * (max(tn) - max(tp)), 0), 4) as a, round(sum(pos * (pdown / down::double)) / nullif(max(tp), 0), 4) as p
+      from (select n, pos, sum(n) over () as tn, sum(pos) over () as tp, sum(n) over (order by score nulls first) as upto,
+              sum(n) over (order by score desc nulls last) as down, sum(pos) over (order by score desc nulls last) as pdown
+            from (select c as score, count(*) as n, sum(y) as pos from {scores} group by c))"""
+
+
 def _lift(source: str) -> str:
     return f"""
 lr as (select model, y, row_number() over (partition by model order by score desc nulls last, cik, year) as rn,
@@ -394,21 +461,22 @@ lf as (select cik, concept, priority, year, val as value from (
 
 
 def _facts(profile: str) -> str:
-    tags = (BULK if profile == "bulk" else SINGLE)["revenue"]
-    every = BULK["revenue"]
-    priority = "case l_linenumber % 4 " + " ".join(f"when {i} then {tags.index(t)}" for i, t in enumerate(every)) + " end"
+    every = list(dict.fromkeys(t for tags in [*BULK.values(), *SINGLE.values()] for t in tags))
+    wanted = BULK if profile == "bulk" else SINGLE
+    rows = ", ".join(f"({every.index(t)}, '{c}', {p})" for c, tags in wanted.items() for p, t in enumerate(tags))
     months = ("date_diff('day', s, e) / 30.44::double" if profile == "bulk"
               else "(year(e) - year(s)) * 12 + month(e) - month(s)")
     return f"""
-fo as (select {cik('o_custkey')} as cik, c_name as company_name, {priority} as priority, cast(o_orderdate as date) as e,
+tagged(idx, concept, priority) as (values {rows}),
+fo as (select {cik('o_custkey')} as cik, c_name as company_name, concept, priority, cast(o_orderdate as date) as e,
          case when l_linenumber <> 5 then cast(o_orderdate as date) - cast(270 + (cast(l_quantity as int) % 10) * 20 as int) end as s,
          l_shipdate as filed, l_extendedprice as val
-       from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey
+       from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join tagged on l_partkey % {len(every)} = idx
        where l_returnflag <> 'A' and l_suppkey % 10 <> 0),
 fa as (select *, cast(year(e) as int) as year from fo where s is null or ({months}) between 10 and 14),
-fl as (select * from (select *, row_number() over (partition by cik, priority, year order by cast(filed as date) desc, e desc, val desc) as rn from fa) where rn = 1)
-select cik, company_name, 'revenue' as concept, year, val as value from fl
-where priority = (select min(priority) from fl b where b.cik = fl.cik)"""
+fl as (select * from (select *, row_number() over (partition by cik, concept, priority, year order by cast(filed as date) desc, e desc, val desc) as rn from fa) where rn = 1),
+fb as (select *, min(priority) over (partition by cik, concept) as best from fl)
+select cik, company_name, concept, year, val as value from fb where priority = best"""
 
 
 MASTER = """
@@ -417,9 +485,9 @@ mast as (select cik, ticker, title from (
     row_number() over (partition by c_custkey % 1000 order by c_custkey desc) as rn from customer) where rn = 1)"""
 WANTED = "wanted as (select distinct 'T' || cast(p_partkey as varchar) as ticker from part)"
 
-_HTML = ("trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace({h}, "
+_HTML = ("trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace({h}, "
          "'<!--.*?-->|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!doctype[^>]*>', ' ', 'gis'), '<[^>]*>', ' ', 'g'), "
-         "'&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\\s+', ' ', 'g'))")
+         "'&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '\\s+', ' ', 'g'))")
 
 _NAME_WORDS = r"\b(?:inc|corp|llc|ltd|co|corporation|company|holdings|group|international|enterprises|partners)\b"
 
@@ -493,7 +561,8 @@ SQL: dict[str, str] = {
     "facts_extract_bulk": _w(_facts("bulk"), ""),
     "facts_extract_single": _w(_facts("single"), ""),
     "ticker_master": _w(MASTER, "select cik, ticker, title from mast"),
-    "universe_fallback": _w(MASTER, "select ticker from (select ticker from mast order by cik desc, ticker limit 1500) order by ticker"),
+    "universe_fallback": _w(MASTER, "select distinct ticker from mast order by ticker"),
+    "universe_first": _w(MASTER, "select ticker from (select ticker from mast order by cik desc, ticker limit 100) order by ticker"),
     "universe_union": "select distinct ticker from (select 'BRK-' || cast(c_custkey as varchar) as ticker from customer union all "
                       "select 'S-' || cast(s_suppkey as varchar) from supplier where s_suppkey % 5 <> 0)",
     "ticker_lookup": _w(MASTER + "," + WANTED, "select ticker, cik from wanted join mast using (ticker)"),
@@ -524,6 +593,11 @@ SQL: dict[str, str] = {
     "composite_score_trend": _w(_scores(True), f"select cik, {', '.join(WEIGHTS)}, overall, label, color from sc"),
     "health_rank_top20": _w(SCORES, "select cik, company_name, overall, label from sc order by overall, cik limit 20"),
     "flags_long": _w(FLAGS, "select * from fl"),
+    "flags_sorted": _w(FLAGS, """select cik, place, rule_no, severity from (select *, cast(row_number() over (partition by cik order by
+        case severity when 'HIGH' then 0 when 'MEDIUM' then 1 else 2 end, rule_no) as int) as place from fl) where place <= 3"""),
+    "gap_growth": _w(GAP_SIGNALS, f"select cik, {r6(('last_revenue_growth', 'last_cfo_growth', 'last_total_assets'))} from sig"),
+    "gap_flags": _w(GAP_FLAGS, "select cik, rule_no, title, detail from fl"),
+    "gap_scores": _w(SCORES.replace(PANEL, GAP_PANEL), f"select cik, {', '.join(WEIGHTS)}, overall, label from sc"),
     "flags_by_severity": _w(FLAGS, f"select cik, {SEVERITY_COUNTS} from fl group by cik"),
     "flags_by_category": _w(FLAGS, """select cik, category, string_agg(title, ' | ' order by
         case severity when 'HIGH' then 0 when 'MEDIUM' then 1 else 2 end, rule_no) as titles from fl group by cik, category"""),
@@ -605,8 +679,10 @@ SQL: dict[str, str] = {
         raws as (select cik, year, y, 'Altman Z-Score' as model, a as score from sw union all select cik, year, y, 'Beneish M-Score', b from sw
                  union all select cik, year, y, 'Blend', c from sw),""" + _lift("raws"), "select model, recall from lift where pct_reviewed = 5.0"),
     "evaluation_summary": _w(HOLDOUT + "," + _bench("is_fraud", "f_") + "," + _bench("is_bankrupt", "d_"),
-        "select 'fraud' as task, model, auc_roc, auc_pr, precision_at_20, recall_at_5pct from f_bench union all "
-        "select 'distress', model, auc_roc, auc_pr, precision_at_20, recall_at_5pct from d_bench"),
+        " union all ".join(
+            f"select '{task}' as task, model, auc_roc, auc_pr, precision_at_20, recall_at_5pct, case when model = 'Blend' then o.a end as oof_auc_roc, "
+            f"case when model = 'Blend' then o.p end as oof_auc_pr from {p}_bench, ({_pooled(p + '_sw')}) o"
+            for task, p in (("fraud", "f"), ("distress", "d")))),
     "class_weight": _w(LABELLED, " union all ".join(
         f"select '{t}' as target, cast(sum({t}) as bigint) as pos, round((count(*) - sum({t})) / greatest(sum({t}), 1)::double, 6) as weight from lab"
         for t in ("is_fraud", "is_bankrupt"))),

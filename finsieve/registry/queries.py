@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from finsieve.functions import numeric as num
@@ -12,6 +12,7 @@ from finsieve.operators import flags as flg
 from finsieve.operators import ingest, isolation, labels as lab, match, models, ranking as rk, smote
 from finsieve.operators import panel as pan
 from finsieve.operators import scores as sc
+from finsieve.operators.quantiles import exact_quantiles
 from finsieve.plans import evaluation as ev
 from finsieve.plans import report as rpt
 from finsieve.plans.dataset import parse_releases
@@ -118,7 +119,8 @@ def facts_documents(spark: SparkSession, d: str) -> DataFrame:
     items = sample.table(spark, d, "lineitem")
     orders = sample.table(spark, d, "orders")
     names = sample.table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name")
-    tag = F.get(F.array(*[F.lit(t) for t in fx.BULK["revenue"]]), F.col("l_linenumber") % 4)
+    tags = fx.all_tags(fx.BULK | {f"single_{c}": t for c, t in fx.SINGLE.items()})
+    tag = F.get(F.array(*[F.lit(t) for t in tags]), (F.col("l_partkey") % len(tags)).cast("int"))
     span = (F.lit(270) + (F.col("l_quantity").cast("int") % 10) * 20)
     obs = F.struct(
         F.when(F.col("l_linenumber") != 5, F.date_format(F.date_sub(F.col("o_orderdate").cast("date"), span), "yyyy-MM-dd")).alias("start"),
@@ -138,7 +140,7 @@ def facts_documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _extract(spark: SparkSession, d: str, profile: str) -> DataFrame:
-    concepts = {"revenue": fx.PROFILES[profile]["revenue"]}
+    concepts = fx.PROFILES[profile]
     docs, _ = fx.split_rejects(fx.parse_facts(facts_documents(spark, d), concepts=concepts))
     filed = ingest.latest_filed(fx.annual(fx.observations(docs, concepts), profile))
     return ingest.pick_tags(filed).select("cik", "company_name", "concept", "year", "value")
@@ -175,8 +177,11 @@ def ticker_master(spark, d):
 
 
 def universe_fallback(spark, d):
-    segments = sample.table(spark, d, "customer").select(F.col("c_mktsegment").alias("Symbol")).distinct()
-    return masters.ticker_universe([(segments, "Symbol")], ticker_master(spark, d))
+    return masters.ticker_universe([], ticker_master(spark, d), use_master=True)
+
+
+def universe_first(spark, d):
+    return masters.ticker_universe([], ticker_master(spark, d), use_master=True, limit=100)
 
 
 def universe_union(spark, d):
@@ -186,7 +191,7 @@ def universe_union(spark, d):
     suppliers = sample.table(spark, d, "supplier").select(
         F.when(F.col("s_suppkey") % 5 != 0, F.concat(F.lit("S."), F.col("s_suppkey").cast("string"))).alias("Ticker symbol")
     )
-    return masters.ticker_universe([(customers, "Symbol"), (suppliers, "Ticker symbol")], ticker_master(spark, d))
+    return masters.ticker_universe([(customers, "Symbol"), (suppliers, "Ticker symbol")])
 
 
 def _wanted_tickers(spark: SparkSession, d: str) -> DataFrame:
@@ -268,6 +273,35 @@ def health_rank_top20(spark, d):
     return scores.orderBy("overall", "cik").limit(20).select("cik", "company_name", "overall", "label")
 
 
+def _gap_signals(spark: SparkSession, d: str) -> DataFrame:
+    """Signals when every fifth company's last year holds assets only, so no metric."""
+    panel = sample.company_panel(spark, d)
+    kept = ("cik", "ticker", "company_name", "year", "total_assets")
+    last = panel.groupBy("cik").agg(F.max("year").alias("_last"))
+    bare = (F.col("cik").cast("bigint") % 5 == 0) & (F.col("year") == F.col("_last"))
+    blanked = panel.join(last, "cik").select(*[c if c in kept else F.when(~bare, F.col(c)).alias(c) for c in panel.columns])
+    return sc.company_signals(pan.history(blanked), _market_cap(spark, d))
+
+
+def gap_growth(spark, d):
+    return rounded(_gap_signals(spark, d).select("cik", "last_revenue_growth", "last_cfo_growth", "last_total_assets"))
+
+
+def gap_flags(spark, d):
+    return flg.detect_flags(_gap_signals(spark, d)).select("cik", "rule_no", "title", "detail")
+
+
+def gap_scores(spark, d):
+    return sc.company_scores(_gap_signals(spark, d)).select("cik", *sc.WEIGHTS, "overall", "label")
+
+
+def flags_sorted(spark, d):
+    """The three gravest flags of every company by their place in severity order."""
+    ordered = flg.sorted_flags(flg.detect_flags(_signals(spark, d)))
+    place = F.row_number().over(Window.partitionBy("cik").orderBy("severity_rank", "rule_no"))
+    return ordered.withColumn("place", place).filter("place <= 3").select("cik", "place", "rule_no", "severity")
+
+
 def flags_long(spark, d):
     return flg.detect_flags(_signals(spark, d)).select("cik", "rule_no", "severity", "category", "title", "detail", "emoji")
 
@@ -398,8 +432,8 @@ def _order_scores(spark: SparkSession, d: str) -> DataFrame:
 
 def rank_metrics(spark, d):
     rows = materialize(_order_scores(spark, d), "orders")
-    cum = rk.cumulative(rk.score_groups(rows))
-    return rounded(rk.auc_and_ap(cum).join(rk.recall_at_top(cum), "model").join(rk.precision_at(rows), "model"))
+    cum = materialize(rk.cumulative(rk.score_groups(rows)), "ranked")
+    return rounded(rk.auc_and_ap(cum).drop("constant").join(rk.recall_at_top(cum), "model").join(rk.precision_at(rows), "model"))
 
 
 def lift_orders(spark, d):
@@ -430,9 +464,11 @@ def recall_at_review(spark, d):
 
 
 def evaluation_summary(spark, d):
-    return ev.summary({
-        task: ev.benchmark(_test_scores(spark, d, task)) for task in ev.TASKS
-    }).select("task", "model", "auc_roc", "auc_pr", "precision_at_20", "recall_at_5pct")
+    rows = {task: _test_scores(spark, d, task) for task in ev.TASKS}
+    pooled = {task: ev.pooled_metrics(r.select("cik", "year", "y", F.col("Blend").alias("score"))) for task, r in rows.items()}
+    return ev.summary({task: ev.benchmark(r) for task, r in rows.items()}, pooled, "Blend").select(
+        "task", "model", "auc_roc", "auc_pr", "precision_at_20", "recall_at_5pct", "oof_auc_roc", "oof_auc_pr"
+    )
 
 
 # text ------------------------------------------------------------------------------------
@@ -537,20 +573,20 @@ def seed_resolve(spark, d):
 # learning --------------------------------------------------------------------------------
 
 def _array_rows(spark: SparkSession, d: str) -> DataFrame:
-    """(cik, year, y, features): the reported ratios, missing ones as 0."""
-    table = _labelled(spark, d)
-    zeros = {f: 0.0 for f in fea.RATIO}
+    """(cik, year, y, features): the features the models train on, missing ones at their median."""
+    table = materialize(_labelled(spark, d), "labelled")
+    medians = {f: v[0] if v[0] is not None else 0.0 for f, v in exact_quantiles(table, list(fea.TRAINED), [0.5]).items()}
     return materialize(
-        table.select("cik", "year", F.col("is_fraud").alias("y"), models.feature_array(list(fea.RATIO), zeros).alias("features")),
+        table.select("cik", "year", F.col("is_fraud").alias("y"), models.feature_array(list(fea.TRAINED), medians).alias("features")),
         "rows",
     )
 
 
 def class_weight(spark, d):
-    y = _labelled(spark, d).select("is_fraud", "is_bankrupt").unpivot([], ["is_fraud", "is_bankrupt"], "target", "y")
-    pos = F.sum("y")
-    return rounded(y.groupBy("target").agg(
-        pos.alias("pos"), ((F.count(F.lit(1)) - pos) / F.greatest(pos, F.lit(1))).alias("weight")
+    rows = materialize(_labelled(spark, d).select("is_fraud", "is_bankrupt"), "labels")
+    counts = {t: smote.class_counts(rows, t) for t in ("is_fraud", "is_bankrupt")}
+    return rounded(spark.createDataFrame(
+        [(t, pos, smote.positive_weight(n, pos)) for t, (n, pos) in counts.items()], "target string, pos bigint, weight double"
     ))
 
 

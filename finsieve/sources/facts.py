@@ -46,22 +46,40 @@ BULK = {
     "long_term_debt": ["LongTermDebt", "LongTermDebtNoncurrent", "LongTermDebtAndCapitalLeaseObligations"],
     "short_term_debt": ["ShortTermBorrowings", "NotesPayableCurrent", "CommercialPaper"],
 }
-# Where the single-company profile differs (None: not read there).
-_SINGLE_CHANGES = {
+# Concept -> tags in order of preference, for the single-company profile.
+SINGLE = {
+    "total_assets": ["Assets"],
+    "current_assets": ["AssetsCurrent"],
+    "total_liabilities": ["Liabilities"],
+    "current_liabilities": ["LiabilitiesCurrent"],
     "equity": ["StockholdersEquity"],
+    "retained_earnings": ["RetainedEarningsAccumulatedDeficit"],
     "cash": ["CashAndCashEquivalentsAtCarryingValue"],
     "receivables": ["AccountsReceivableNetCurrent"],
     "inventory": ["InventoryNet"],
-    "goodwill": None, "intangibles": None, "rd_expense": None, "tax_expense": None,
-    "revenue": BULK["revenue"] + ["SalesRevenueGoodsNet", "RevenueFromRelatedParties"],
-    "cogs": BULK["cogs"] + ["CostOfServices"],
+    "revenue": [
+        "RevenueFromContractWithCustomerExcludingAssessedTax", "Revenues", "SalesRevenueNet",
+        "RevenueFromContractWithCustomerIncludingAssessedTax", "SalesRevenueGoodsNet", "RevenueFromRelatedParties",
+    ],
+    "gross_profit": ["GrossProfit"],
+    "cogs": ["CostOfGoodsAndServicesSold", "CostOfRevenue", "CostOfGoodsSold", "CostOfServices"],
+    "operating_income": ["OperatingIncomeLoss"],
+    "net_income": ["NetIncomeLoss"],
+    "interest_expense": ["InterestExpense"],
+    "da": ["DepreciationDepletionAndAmortization", "DepreciationAndAmortization", "Depreciation"],
+    "sga": ["SellingGeneralAndAdministrativeExpense", "GeneralAndAdministrativeExpense"],
+    "cfo": ["NetCashProvidedByUsedInOperatingActivities"],
+    "cfi": ["NetCashProvidedByUsedInInvestingActivities"],
+    "cff": ["NetCashProvidedByUsedInFinancingActivities"],
     "capex": [
         "PaymentsToAcquirePropertyPlantAndEquipment", "CapitalExpendituresIncurredButNotYetPaid",
         "PaymentsToAcquireProductiveAssets",
     ],
-    "short_term_debt": BULK["short_term_debt"] + ["ShortTermNonBankLoansAndNotesPayable"],
+    "long_term_debt": ["LongTermDebt", "LongTermDebtNoncurrent", "LongTermDebtAndCapitalLeaseObligations"],
+    "short_term_debt": [
+        "ShortTermBorrowings", "NotesPayableCurrent", "CommercialPaper", "ShortTermNonBankLoansAndNotesPayable",
+    ],
 }
-SINGLE = {c: tags for c, tags in {**BULK, **_SINGLE_CHANGES}.items() if tags is not None}
 PROFILES = {"bulk": BULK, "single": SINGLE}
 
 OBSERVATION = T.StructType([
@@ -99,9 +117,13 @@ def read_facts(spark: SparkSession, path: str, concepts: dict[str, list[str]] =
         spark.read.schema(schema).option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt")
         .option("pathGlobFilter", "*.json").json(path).withColumn("file", F.col("_metadata.file_name"))
     )
-    named = F.regexp_extract("file", r"(\d+)\.json", 1)
-    key = F.coalesce(F.col("cik").cast("string"), F.when(named != "", named))
-    return docs.withColumn("cik", pad_cik(key))
+    return docs.withColumn("cik", pad_cik(company_key("file")))
+
+
+def company_key(file: str) -> Column:
+    """The document's key, or the digits of its file name."""
+    named = F.regexp_extract(file, r"(\d+)\.json", 1)
+    return F.coalesce(F.col("cik").cast("string"), F.when(named != "", named))
 
 
 def parse_facts(docs: DataFrame, column: str = "json", concepts: dict[str, list[str]] = BULK) -> DataFrame:

@@ -10,8 +10,8 @@ def write_table(df: DataFrame, path: str, partition_by: str | None = None) -> Da
     """Parquet, replaced as a whole; returns the table read back."""
     writer = df.write.mode("overwrite")
     if partition_by:
-        # one shuffle by the partition value bounds the number of files
-        writer = df.repartition(partition_by).write.mode("overwrite").partitionBy(partition_by)
+        # the rebalance hint splits a large value over tasks and packs small ones
+        writer = df.hint("rebalance", F.col(partition_by)).write.mode("overwrite").partitionBy(partition_by)
     writer.parquet(path)
     return df.sparkSession.read.parquet(path)
 

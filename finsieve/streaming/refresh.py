@@ -33,15 +33,21 @@ def bucket_of(cik: Column) -> Column:
 def read_stream(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
     """Company-facts files as they land."""
     return (
-        spark.readStream.schema(fx.facts_schema(fx.all_tags(fx.SINGLE))).option("multiLine", True)
-        .option("maxFilesPerTrigger", max_files).json(path)
+        spark.readStream.schema(fx.facts_schema(fx.all_tags(fx.SINGLE)).add("_corrupt", "string")).option("multiLine", True)
+        .option("columnNameOfCorruptRecord", "_corrupt").option("maxFilesPerTrigger", max_files).json(path)
+        .withColumn("file", F.col("_metadata.file_name"))
     )
 
 
 def land(batch: DataFrame, batch_id: int, store: str) -> list[int]:
-    """Writes the batch's observations; returns the company buckets it touches."""
-    docs = batch.withColumn("cik", pad_cik(F.col("cik")))
-    obs = fx.observations(docs.filter("facts is not null"), fx.SINGLE).withColumn("bucket", bucket_of(F.col("cik")))
+    """Writes the batch's observations; returns the company buckets it touches.
+
+    The key falls back to the digits of the file name, as in the batch reader.
+    Files that cannot be read land in ``<store>-rejects``.
+    """
+    readable, bad = fx.split_rejects(batch.withColumn("cik", pad_cik(fx.company_key("file"))))
+    bad.select("file", F.col("_corrupt").alias("content")).write.mode("overwrite").parquet(f"{store}-rejects/batch={batch_id}")
+    obs = fx.observations(readable, fx.SINGLE).withColumn("bucket", bucket_of(F.col("cik")))
     # one shuffle by bucket bounds the number of files per batch
     obs.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{store}/batch={batch_id}")
     landed = batch.sparkSession.read.parquet(f"{store}/batch={batch_id}")

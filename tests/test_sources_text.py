@@ -91,7 +91,8 @@ def test_stream_refreshes_touched_companies(spark, facts_dir, tmp_path):
     assert sorted(r["cik"] for r in refresh.current_reports(spark, reports).collect()) == ["0000000042", "0000000043"]
     # a replayed batch leaves the result unchanged
     before = refresh.current_reports(spark, reports).orderBy("cik").collect()
-    docs = spark.read.schema(fx.facts_schema(fx.all_tags(fx.SINGLE))).option("multiLine", True).json(f"{facts_dir}/0000000043.json")
+    docs = spark.read.schema(fx.facts_schema(fx.all_tags(fx.SINGLE))).option("multiLine", True).json(f"{facts_dir}/0000000043.json").select(
+        "*", F.lit("0000000043.json").alias("file"), F.lit(None).cast("string").alias("_corrupt"))
     refresh.run_batch(master, store, reports)(docs, 1)
     assert refresh.current_reports(spark, reports).orderBy("cik").collect() == before
 
@@ -103,8 +104,9 @@ def test_master_and_universe(spark, tmp_path):
     found, missing = ingest.lookup_cik(spark.createDataFrame([(" abc ",), ("zzz",)], "ticker string"), m)
     assert (found.count(), missing.count()) == (1, 1)
     table = spark.createDataFrame([("BRK.B ",), (None,)], "Symbol string")
-    assert [r[0] for r in masters.ticker_universe([(table, "Symbol")], m, enough=1).collect()] == ["BRK-B"]
-    assert [r[0] for r in masters.ticker_universe([(table, "Symbol")], m).collect()] == ["ABC"]
+    assert [r[0] for r in masters.ticker_universe([(table, "Symbol")]).collect()] == ["BRK-B"]
+    assert [r[0] for r in masters.ticker_universe([], m, use_master=True).collect()] == ["ABC"]
+    assert masters.ticker_universe([], m, use_master=True, limit=0).count() == 0
     seeds = masters.seed_table(spark, [("Acme", 2012, None)], "fraud_date", 12, 31)
     assert seeds.first()["fraud_date"] == dt.date(2012, 12, 31)
 
