@@ -533,6 +533,47 @@ _KEY = {"current_ratio": "x", "debt_equity": "x", "net_margin": "p", "cfo_ni_rat
 _PCT = lambda c: f"case when {c} is null then '—' else printf('%.1f', {c} * 100) || '%' end as {c}"
 
 
+def _sorted_name(c: str) -> str:
+    return f"array_to_string(list_sort(string_split({_norm(c)}, ' ')), ' ')"
+
+
+def _ratio_sql(a: str, b: str) -> str:
+    """200 * LCS / (len a + len b), the LCS by one bit per character of ``a``, folded over the characters of ``b``."""
+    full = f"((1::hugeint << length({a})) - 1)"
+    masks = (f"list_transform(string_split({b}, ''), lambda c: list_sum(list_transform(range(1, length({a}) + 1), "
+             f"lambda i: case when substr({a}, i, 1) = c then 1::hugeint << (i - 1)::int else 0::hugeint end))::hugeint)")
+    left = f"list_reduce(list_prepend({full}, {masks}), lambda v, m: ((v + (v & m)) | (v - (v & m))) & {full})"
+    return f"(200.0::double * (length({a}) - bit_count({left})) / (length({a}) + length({b})))"
+
+
+NAME_MATCH = FRAUD + f""",
+acc as (select aaer_no, fraud_date, (case when cast(cik as bigint) % 3 = 0 then replace(company_name, 'stomer', 'stmer')
+          when cast(cik as bigint) % 3 = 1 then 'Corp. ' || company_name else upper(company_name) end) || ' Inc.' as raw_aaer_name from fraud),
+ent as (select *, {_sorted_name('raw_aaer_name')} as name from acc),
+com as (select name, min({{'cik': cik, 'ticker': ticker, 'title': title}}) as c from (
+          select {cik('c_custkey')} as cik, 'T' || cast(c_custkey as varchar) as ticker, c_name as title, {_sorted_name('c_name')} as name from customer)
+        where name <> '' group by name),
+pairs as (select ent.name, com.name as match, com.c, case when ent.name = com.name then 100.0::double else {_ratio_sql('ent.name', 'com.name')} end as ratio
+          from (select distinct name from ent) ent, com),
+best as (select * from (select *, row_number() over (partition by name order by ratio desc, match) as rn from pairs where ratio >= 82) where rn = 1),
+hit as (select c.cik as cik, c.ticker as ticker, c.title as company_name, aaer_no, fraud_date, raw_aaer_name, round(ratio, 1) as match_score
+        from ent join best using (name))"""
+
+SEED_RESOLVE = f"""
+seed as (select c_custkey as seed_no, c_name as company_name, case when c_custkey % 2 = 0 then 'T' || cast(c_custkey as varchar) else 'GONE' end as ticker,
+           make_date(cast(1999 + c_custkey % 3 as int), 6, 15) as bankruptcy_date from customer where c_custkey % 37 = 0),
+mas as (select {cik('c_custkey')} as cik, 'T' || cast(c_custkey as varchar) as ticker, c_name as title, c_custkey from customer),
+tick as (select seed_no, bankruptcy_date, mas.cik, mas.ticker, mas.title as company_name, 100.0::double as match_score from seed join mas using (ticker)
+         where {_ratio_sql(_sorted_name('seed.company_name'), _sorted_name('mas.title'))} >= 60),
+rest as (select seed_no, bankruptcy_date, {_sorted_name('company_name')} as name from seed where seed_no not in (select seed_no from tick)),
+fil as (select cik, {_clean("title || ' /NEW/SIC:3533- OIL'")} as clean from mas where c_custkey % 2 = 0),
+one as (select name, min({{'cik': cik, 'clean': clean}}) as c from (select *, {_sorted_name('clean')} as name from fil) where name <> '' group by name),
+pairs as (select rest.seed_no, rest.bankruptcy_date, one.name as match, one.c,
+            case when rest.name = one.name then 100.0::double else {_ratio_sql('rest.name', 'one.name')} end as ratio from rest, one),
+best as (select * from (select *, row_number() over (partition by seed_no order by ratio desc, match) as rn from pairs where ratio >= 65) where rn = 1),
+every as (select * from tick union all select seed_no, bankruptcy_date, c.cik, '', c.clean, 90.0::double from best)"""
+
+
 def _w(ctes: str, body: str) -> str:
     return f"with {ctes.strip()}\n{body}"
 
@@ -695,6 +736,10 @@ SQL: dict[str, str] = {
     "release_parse": f"""select aaer_no, fraud_date, raw_name, url from (
         select cast(1000 + o_orderkey % 9000 as int) as aaer_no, cast(o_orderdate as date) as fraud_date, c_name as raw_name, '/r/' || {_NUMBER} as url,
           row_number() over (partition by 1000 + o_orderkey % 9000 order by o_orderkey) as rn from orders join customer on o_custkey = c_custkey) where rn = 1""",
+    "name_match": _w(NAME_MATCH, """select cik, ticker, company_name, aaer_no, fraud_date, raw_aaer_name, match_score from (
+        select *, row_number() over (partition by cik order by match_score desc, aaer_no, fraud_date, raw_aaer_name) as rn from hit) where rn = 1"""),
+    "seed_resolve": _w(SEED_RESOLVE, """select cik, ticker, company_name, bankruptcy_date, match_score from (
+        select *, row_number() over (partition by cik order by seed_no) as rn from every) where rn = 1"""),
     "name_normalise": f"""select c_custkey, {_clean(_NOISY)} as clean, {_norm(_clean(_NOISY))} as name,
         array_to_string(list_sort(string_split({_norm("('the Zeta ' || " + _NOISY + ")")}, ' ')), ' ') as sorted_name from customer""",
 }

@@ -57,10 +57,27 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     consumed by several jobs (quantile fitting, model training, rank metrics).
     """
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    _landed.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_landed: list[str] = []
+
+
+def drop_landed(spark: SparkSession, label: str = "") -> int:
+    """Removes the tables :func:`materialize` has landed so far, or those of one label; call it when no result that reads
+    them is needed any more."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    chosen = [p for p in _landed if not label or f"/{label}-" in p]
+    for name in chosen:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(conf).delete(path, True)
+        _landed.remove(name)
+    return len(chosen)
+
+
 def with_checkpoint_dir(spark: SparkSession) -> None:
     """Point RDD checkpoints (used by tree training) at the shared folder, unless
     the session already has a checkpoint folder."""

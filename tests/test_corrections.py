@@ -1,12 +1,14 @@
 """Growth after bare years, summaries, ties, bad cells, entities, anchors and loss-free ingestion."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
+from finsieve import session
 from finsieve.functions import text as tx
-from finsieve.operators import features, flags, labels as lab, panel as pan, ranking as rk, scores as sc, smote
+from finsieve.operators import flags, labels as lab, panel as pan, ranking as rk, scores as sc, smote
 from finsieve.plans import dataset, evaluation as ev
 from finsieve.sources import masters, pages, sinks
 from finsieve.streaming import refresh
@@ -140,4 +142,10 @@ def test_results_are_written_and_read_back(spark, tmp_path):
     parted = sinks.write_table(table, str(tmp_path / "parted"), "name")
     assert {(r["name"], r["value"]) for r in parted.collect()} == {("a", 1.5), ("b", None)}
     assert sinks.write_version(table, str(tmp_path / "v"), "1").count() == sinks.write_version(table, str(tmp_path / "v"), "2").count() == 2
-    assert features.FEATURES
+
+
+def test_landed_tables_can_be_dropped(spark):
+    landed = session.materialize(spark.range(3).toDF("x"), "probe")
+    folder = landed.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    assert landed.count() == 3 and os.path.isdir(folder)
+    assert session.drop_landed(spark, "probe") == 1 and not os.path.exists(folder)
