@@ -14,18 +14,19 @@ from dataclasses import dataclass
 
 import numpy as np
 
-HIDDEN = 24
+HIDDEN = 16
 MEMBERS = 32
 SHORTLIST = 1024
-TAIL = 64
+TAIL = 32
 HEAD_CLASSES = SHORTLIST // MEMBERS
 CLASSES = HEAD_CLASSES + TAIL
 INPUTS = SHORTLIST + TAIL
 END = 0
-WINDOW = 24
-TRAIN_LANES = 64
+WINDOW = 32
+SCORE_WINDOW = 96
+TRAIN_LANES = 192
 SCORE_LANES = 512
-RATE = 0.004
+RATE = 0.008
 _NAMES = ("inputs", "recurrent", "classes", "class_bias", "members", "member_bias")
 
 
@@ -66,14 +67,6 @@ class Parameters:
         return Parameters(**out)
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    np.clip(x, -30, 30, out=x)
-    np.negative(x, out=x)
-    np.exp(x, out=x)
-    x += 1
-    return np.reciprocal(x, out=x)
-
-
 def lanes(sizes: np.ndarray, most: int) -> np.ndarray:
     """Token positions as (step, lane), -1 where a lane is over: whole documents dealt to lanes, the longest first.
 
@@ -110,29 +103,38 @@ class Network:
 
     def _step(self, h: np.ndarray, x: np.ndarray, keep: list | None) -> np.ndarray:
         g = h @ self.p.recurrent
-        a = self.p.inputs[x]
-        gates = _sigmoid(a[:, :2 * HIDDEN] + g[:, :2 * HIDDEN])
+        a = self.p.inputs.take(x, axis=0)
+        gates = a[:, :2 * HIDDEN] + g[:, :2 * HIDDEN]
+        np.negative(gates, out=gates)
+        np.exp(gates, out=gates)  # overflows to infinity, whose reciprocal is the right 0
+        gates += np.float32(1)
+        np.reciprocal(gates, out=gates)
         r, z = gates[:, :HIDDEN], gates[:, HIDDEN:]
-        n = np.tanh(a[:, 2 * HIDDEN:] + r * g[:, 2 * HIDDEN:])
-        new = n + z * (h - n)
+        n = r * g[:, 2 * HIDDEN:]
+        n += a[:, 2 * HIDDEN:]
+        np.tanh(n, out=n)
+        new = h - n
+        new *= z
+        new += n
         if keep is not None:
             keep.append((h, r, z, n, g[:, 2 * HIDDEN:]))
         return new
 
-    def _windows(self, s: Stream, most: int, keep: bool) -> Iterator[tuple[np.ndarray, np.ndarray, list, list]]:
+    def _windows(self, s: Stream, most: int, length: int, keep: bool) -> Iterator[tuple[np.ndarray, np.ndarray, list, list]]:
         """(positions, states before them, kept step values, lanes per step) window by window; states carry over."""
         places = lanes(s.sizes, most)
+        running = (places >= 0).sum(axis=1)
         h = np.zeros((places.shape[1], HIDDEN), np.float32)
-        for lo in range(0, len(places), WINDOW):
+        for lo in range(0, len(places), length):
             at, before, kept, alive = [], [], [], []
-            for row in places[lo:lo + WINDOW]:
-                n = int(np.searchsorted(-(row >= 0).astype(np.int8), 0, side="left"))
-                row = row[:n]
-                h = h[:n]
+            for step, row in enumerate(places[lo:lo + length], lo):
+                row = row[:running[step]]
+                h = h[:running[step]]
                 at.append(row)
                 before.append(h)
                 x = s.inputs[row]
-                new = self._step(h, x, kept if keep else None)
+                with np.errstate(over="ignore"):
+                    new = self._step(h, x, kept if keep else None)
                 over = x == END
                 if over.any():
                     new[over] = 0
@@ -140,61 +142,66 @@ class Network:
                 h = new
             yield np.concatenate(at), np.concatenate(before), kept, alive
 
-    def _class_chances(self, h: np.ndarray) -> np.ndarray:
-        logits = h @ self.p.classes
-        logits += self.p.class_bias
-        logits -= logits.max(axis=1, keepdims=True)
-        np.exp(logits, out=logits)
-        logits /= logits.sum(axis=1, keepdims=True)
-        return logits
+    def _classes(self, h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(unscaled chances of all classes, their sums, logits of ``c``); logits stay far below overflow."""
+        return self._exponentials(h @ self.p.classes, self.p.class_bias, c)
 
-    def _member_chances(self, h: np.ndarray, c: int) -> np.ndarray:
-        logits = h @ self.p.members[c]
-        logits += self.p.member_bias[c]
-        logits -= logits.max(axis=1, keepdims=True)
+    def _members(self, h: np.ndarray, k: int, m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same for the members of class ``k``."""
+        return self._exponentials(h @ self.p.members[k], self.p.member_bias[k], m)
+
+    @staticmethod
+    def _exponentials(logits: np.ndarray, bias: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        logits += bias
+        chosen = logits[np.arange(len(at)), at]
         np.exp(logits, out=logits)
-        logits /= logits.sum(axis=1, keepdims=True)
-        return logits
+        return logits, logits.sum(axis=1), chosen
+
+    @staticmethod
+    def _by_class(c: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(class, rows) for the classes with members of their own."""
+        order = np.argsort(c, kind="stable")
+        edges = np.searchsorted(c[order], np.arange(HEAD_CLASSES + 1))
+        for k in range(HEAD_CLASSES):
+            if edges[k] < edges[k + 1]:
+                yield k, order[edges[k]:edges[k + 1]]
 
     def log_chances(self, s: Stream) -> np.ndarray:
         """Natural log probability per token: of its class, and within the class for shortlisted words."""
         out = np.zeros(len(s.inputs), np.float32)
-        for at, h, _, _ in self._windows(s, SCORE_LANES, keep=False):
+        for at, h, _, _ in self._windows(s, SCORE_LANES, SCORE_WINDOW, keep=False):
             c = s.classes[at]
-            chance = self._class_chances(h)[np.arange(len(at)), c]
-            order = np.argsort(c, kind="stable")
-            edges = np.searchsorted(c[order], np.arange(HEAD_CLASSES + 1))
-            for k in range(HEAD_CLASSES):
-                rows = order[edges[k]:edges[k + 1]]
-                if len(rows):
-                    chance[rows] *= self._member_chances(h[rows], k)[np.arange(len(rows)), s.members[at[rows]]]
-            out[at] = np.log(np.maximum(chance, 1e-30))
+            _, total, chosen = self._classes(h, c)
+            found = chosen - np.log(total)
+            for k, rows in self._by_class(c):
+                _, total, chosen = self._members(h[rows], k, s.members[at[rows]])
+                found[rows] += chosen - np.log(total)
+            out[at] = found
         return out
 
     def train(self, s: Stream, adam: Adam) -> None:
         """One pass over the stream; a step per window, gradients cut at its start."""
         p = self.p
-        for at, h, kept, alive in self._windows(s, TRAIN_LANES, keep=True):
+        for at, h, kept, alive in self._windows(s, TRAIN_LANES, WINDOW, keep=True):
             n = len(at)
             c = s.classes[at]
             grads = {k: np.zeros_like(getattr(p, k)) for k in _NAMES}
-            d = self._class_chances(h)
+            share = np.float32(1 / n)
+            d, total, _ = self._classes(h, c)
+            d /= total[:, None]
             d[np.arange(n), c] -= 1
-            d /= n
-            grads["classes"] += h.T @ d
-            grads["class_bias"] += d.sum(axis=0)
+            grads["classes"][:] = (h.T @ d) * share
+            grads["class_bias"][:] = d.sum(axis=0) * share
             dh = d @ p.classes.T
-            order = np.argsort(c, kind="stable")
-            edges = np.searchsorted(c[order], np.arange(HEAD_CLASSES + 1))
-            for k in range(HEAD_CLASSES):
-                rows = order[edges[k]:edges[k + 1]]
-                if len(rows):
-                    e = self._member_chances(h[rows], k)
-                    e[np.arange(len(rows)), s.members[at[rows]]] -= 1
-                    e /= n
-                    grads["members"][k] = h[rows].T @ e
-                    grads["member_bias"][k] = e.sum(axis=0)
-                    dh[rows] += e @ p.members[k].T
+            for k, rows in self._by_class(c):
+                own, m = h[rows], s.members[at[rows]]
+                e, total, _ = self._members(own, k, m)
+                e /= total[:, None]
+                e[np.arange(len(rows)), m] -= 1
+                grads["members"][k] = (own.T @ e) * share
+                grads["member_bias"][k] = e.sum(axis=0) * share
+                dh[rows] += e @ p.members[k].T
+            dh *= share
             carried = None
             end = n
             d_inputs = np.zeros((n, 3 * HIDDEN), np.float32)
