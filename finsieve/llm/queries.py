@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from finsieve.llm import chat, decontaminate, exact_dedup, kd_sharding, line_dedup, lm_scoring, ngram_join, pieces, quality, toxicity
 from finsieve.llm.shared import documents, table
+from finsieve.llm.sql import SQL
 
 
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,29 +53,9 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+__all__ = ["QUERIES", "SQL"]
+
 QUERIES = {f.__name__: f for f in (
     op1_benchmark_decontamination, op2_chat_formatting, op3_lm_scoring, op4_exact_dedup, op5_quality_cotraining, op6_kd_sharding, op7_sentencepiece,
     op8_ngram_jaccard_join, op9_toxicity_cnn, op10_line_dedup,
 )}
-
-SQL = {
-    "op2_chat_formatting": """
-        with t as (select conv_id, turn, role, text,
-                          row_number() over (partition by conv_id order by turn) as position, count(*) over (partition by conv_id) as total,
-                          string_agg(role || chr(1) || text, chr(2)) over (
-                              partition by conv_id order by turn rows between unbounded preceding and current row) as said
-                   from conversations),
-             whole as (select position, said, min(conv_id) as conv_id from t where position = total group by position, said),
-             inside as (select distinct position, said from t where position < total),
-             kept as (select conv_id from whole anti join inside using (position, said))
-        select conv_id, turn // 1024 as part, cast(count(*) as int) as n_turns,
-               string_agg('<|im_start|>' || role || chr(10) || replace(text, '<|im_', '<| im_') || '<|im_end|>' || chr(10), '' order by turn) as text
-        from conversations semi join kept using (conv_id) group by conv_id, turn // 1024
-    """,
-    "op4_exact_dedup": """
-        with t as (select doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) as h
-                   from documents),
-             g as (select h, max(doc_id) as keep_id, count(*) as group_size from t group by h)
-        select doc_id, keep_id, group_size, doc_id is not distinct from keep_id as kept, h as text_sha256 from t join g using (h)
-    """,
-}
