@@ -93,8 +93,9 @@ def _numbered(minority: DataFrame, pos: int, seed: int) -> DataFrame:
 
 
 def _draw(seed: int, *keys: str) -> Column:
-    """Uniform number in [0, 1) from the hash of a row key."""
-    return F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(2**40)) / F.lit(float(2**40))
+    """Uniform number in [0, 1) from the digest of a row key, the same in any engine."""
+    digest = F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(str(seed))))
+    return F.conv(F.substring(digest, 1, 10), 16, 10).cast("double") / F.lit(float(2**40))
 
 
 def synthetic_rows(minority: DataFrame, n_new: int, pos: int, seed: int = 42) -> DataFrame:

@@ -574,6 +574,21 @@ best as (select * from (select *, row_number() over (partition by seed_no order
 every as (select * from tick union all select seed_no, bankruptcy_date, c.cik, '', c.clean, 90.0::double from best)"""
 
 
+def _draw(seed: int) -> str:
+    return f"('0x' || substr(md5(cik || '|' || year || '|' || copy || '|{seed}'), 1, 10))::bigint / 1099511627776.0::double"
+
+
+SMOTE = LABELLED + ",\nmed as (select " + ", ".join(f"quantile_cont({c}, 0.5) as m_{c}" for c in fea.TRAINED) + " from lab)," + f"""
+x as (select cik, year, is_fraud as y, [{', '.join(f'coalesce({c}, m_{c}, 0)' for c in fea.TRAINED)}] as v from lab, med),
+size as (select count(*) - 2 * sum(y) as new, sum(y) as pos from x),
+few as (select *, row_number() over (order by cik, year) - 1 as i from x where y = 1),
+plan as (select cik, year, v, unnest(range(1, (((i + 1) * new) // pos - (i * new) // pos)::bigint + 1))::int as copy from few, size),
+drawn as (select *, (floor({_draw(42)} * least(5, pos - 1)) + 1)::int as nb, {_draw(43)} as gap from plan, size),
+near as (select a.cik, a.year, b.v as z, cast(row_number() over (partition by a.cik, a.year order by
+           list_sum(list_transform(list_zip(a.v, b.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), b.cik, b.year) as int) as nb
+         from few a join few b on a.i <> b.i)"""
+
+
 def _w(ctes: str, body: str) -> str:
     return f"with {ctes.strip()}\n{body}"
 
@@ -740,6 +755,8 @@ SQL: dict[str, str] = {
         select *, row_number() over (partition by cik order by match_score desc, aaer_no, fraud_date, raw_aaer_name) as rn from hit) where rn = 1"""),
     "seed_resolve": _w(SEED_RESOLVE, """select cik, ticker, company_name, bankruptcy_date, match_score from (
         select *, row_number() over (partition by cik order by seed_no) as rn from every) where rn = 1"""),
+    "smote_rows": _w(SMOTE, """select cik, year, copy, nb, round(gap, 6) as gap, round(v[1] + gap * (z[1] - v[1]), 6) as f_current_ratio
+        from drawn join near using (cik, year, nb)"""),
     "name_normalise": f"""select c_custkey, {_clean(_NOISY)} as clean, {_norm(_clean(_NOISY))} as name,
         array_to_string(list_sort(string_split({_norm("('the Zeta ' || " + _NOISY + ")")}, ' ')), ' ') as sorted_name from customer""",
 }
