@@ -432,6 +432,22 @@ def _pooled(scores: str) -> str:
             from (select c as score, count(*) as n, sum(y) as pos from {scores} group by c))"""
 
 
+WINDOWS = """,
+        yb as (select min(year) as lo, max(year) as hi from cy),
+        st as (select unnest(range(lo + 3, hi - 2 + 1 + 1, 2)) as val_from from yb),
+        sz as (select val_from, val_from + 1 as val_to, min(year) filter (where year < val_from) as train_first,
+                 max(year) filter (where year < val_from) as train_last, count(*) filter (where year < val_from) as n_train,
+                 count(*) filter (where year between val_from and val_from + 1) as n_val from st, cy group by val_from)"""
+
+FOLDS = LABELLED + WINDOWS + f""",
+wf as (select cast(row_number() over (order by val_from) as int) as fold, * from sz where n_train > 0 and n_val > 0),
+given as (select fold, is_fraud as y, cik, year,
+            round(coalesce(0.65::double * ({_ALT_RISK}) + 0.35::double * ({_BEN_RISK}), 0), 9) as score,
+            round(coalesce({_ALT_RISK}, 0), 9) as xgb_prob, round(coalesce({_BEN_RISK}, 0), 9) as iso_score
+          from lab join wf on year between val_from and val_to),
+parts as (""" + " union all ".join(f"select cik, year, y, fold || '/{p}' as model, {p} as score from given" for p in ("score", "xgb_prob", "iso_score")) + "),"
+
+
 def _lift(source: str) -> str:
     return f"""
 lr as (select model, y, row_number() over (partition by model order by score desc nulls last, cik, year) as rn,
@@ -600,6 +616,14 @@ def _family(columns) -> str:
     return _w(FEATURES, f"select cik, year, {r6(columns)} from fe")
 
 
+_FOLD_ROWS = """,
+fm as (select fold, cast(train_first as varchar) || '–' || cast(train_last as varchar) as train_years,
+         cast(val_from as varchar) || '–' || cast(val_to as varchar) as val_years, n_train, max(n) as n_val, max(n_positive) as n_fraud_val, """ + ", ".join(
+    f"round(max(case when model = fold || '/{p}' then {c} end), 4) as {name}" for p, c, name in (
+        ("score", "auc_roc", "auc_roc"), ("score", "auc_pr", "auc_pr"), ("xgb_prob", "auc_roc", "auc_roc_xgb"), ("iso_score", "auc_roc", "auc_roc_iso"))) + """
+       from wf join met on model like fold || '/%' group by all having max(n_positive) >= 2)"""
+
+
 SQL: dict[str, str] = {
     "company_year_wide": _w(PANEL, "select * from cy"),
     "company_year_long": _w(PANEL + "," + LONG, "select cik, ticker, company_name, year, concept, value from raw"),
@@ -703,12 +727,7 @@ SQL: dict[str, str] = {
     "holdout_split_counts": _w(HOLDOUT, " union all ".join(
         f"select '{s}' as side, count(*) as n, cast(sum(is_fraud) as bigint) as fraud, cast(sum(is_bankrupt) as bigint) as bankrupt, count(distinct cik) as companies from {s}"
         for s in ("train", "test"))),
-    "walk_forward_folds": _w(PANEL + """,
-        yb as (select min(year) as lo, max(year) as hi from cy),
-        st as (select unnest(range(lo + 3, hi - 2 + 1 + 1, 2)) as val_from from yb),
-        sz as (select val_from, val_from + 1 as val_to, min(year) filter (where year < val_from) as train_first,
-                 max(year) filter (where year < val_from) as train_last, count(*) filter (where year < val_from) as n_train,
-                 count(*) filter (where year between val_from and val_from + 1) as n_val from st, cy group by val_from)""",
+    "walk_forward_folds": _w(PANEL + WINDOWS,
         """select row_number() over (order by val_from) as fold, cast(val_from as int) as val_from, cast(val_to as int) as val_to, train_first, train_last,
            n_train, n_val, cast(train_first as varchar) || '–' || cast(train_last as varchar) as train_years from sz where n_train > 0 and n_val > 0"""),
     "run_summary": _w(LABELLED, f"""select count(distinct cik) as companies, count(distinct year) as years, min(year) as first_year, max(year) as last_year,
@@ -734,6 +753,9 @@ SQL: dict[str, str] = {
     "recall_at_review": _w(HOLDOUT + "," + _bench("is_fraud") + """,
         raws as (select cik, year, y, 'Altman Z-Score' as model, a as score from sw union all select cik, year, y, 'Beneish M-Score', b from sw
                  union all select cik, year, y, 'Blend', c from sw),""" + _lift("raws"), "select model, recall from lift where pct_reviewed = 5.0"),
+    "fold_metrics": _w(FOLDS + _metrics("parts") + _FOLD_ROWS, "select * from fm"),
+    "fold_statistics": _w(FOLDS + _metrics("parts") + _FOLD_ROWS,
+                          "select round(avg(auc_roc), 6) as auc_roc_mean, round(stddev_samp(auc_roc), 6) as auc_roc_std from fm"),
     "evaluation_summary": _w(HOLDOUT + "," + _bench("is_fraud", "f_") + "," + _bench("is_bankrupt", "d_"),
         " union all ".join(
             f"select '{task}' as task, model, auc_roc, auc_pr, precision_at_20, recall_at_5pct, case when model = 'Blend' then o.a end as oof_auc_roc, "

@@ -463,6 +463,29 @@ def recall_at_review(spark, d):
     return ev.recall_at_review(ev.lift(_test_scores(spark, d, "fraud")))
 
 
+def _given_folds(spark: SparkSession, d: str) -> DataFrame:
+    """Fold metrics of scores that need no training: the blend and its two parts on every validation window."""
+    labelled = materialize(_labelled(spark, d), "labelled")
+    folds = lab.walk_forward_folds(labelled, 3, 2, 2).collect()
+    fold = F.coalesce(*[F.when(F.col("year").between(f["val_from"], f["val_to"]), F.lit(str(f["fold"]))) for f in folds])
+    part = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 9)
+    a, b = sc.altman_risk(labelled), sc.beneish_risk(labelled)
+    oof = labelled.select(
+        fold.alias("fold"), "cik", "year", F.col("is_fraud").alias("y"), part(num.ensemble(a, b)).alias("score"),
+        part(a).alias("xgb_prob"), part(b).alias("iso_score"),
+    ).filter("fold is not null")
+    years = [(str(f["fold"]), f"{f['train_first']}–{f['train_last']}", f"{f['val_from']}–{f['val_to']}", f["n_train"]) for f in folds]
+    return ev.fold_metrics(materialize(oof, "given-oof"), years)
+
+
+def fold_metrics(spark, d):
+    return _given_folds(spark, d)
+
+
+def fold_statistics(spark, d):
+    return rounded(ev.fold_statistics(_given_folds(spark, d)))
+
+
 def evaluation_summary(spark, d):
     rows = {task: _test_scores(spark, d, task) for task in ev.TASKS}
     pooled = {task: ev.pooled_metrics(r.select("cik", "year", "y", F.col("Blend").alias("score"))) for task, r in rows.items()}
