@@ -14,19 +14,19 @@ from dataclasses import dataclass
 
 import numpy as np
 
-HIDDEN = 16
+HIDDEN = 24
 MEMBERS = 32
 SHORTLIST = 1024
-TAIL = 32
+TAIL = 64
 HEAD_CLASSES = SHORTLIST // MEMBERS
 CLASSES = HEAD_CLASSES + TAIL
 INPUTS = SHORTLIST + TAIL
 END = 0
-WINDOW = 32
+WINDOW = 24
 SCORE_WINDOW = 96
-TRAIN_LANES = 192
+TRAIN_LANES = 64
 SCORE_LANES = 512
-RATE = 0.008
+RATE = 0.004
 _NAMES = ("inputs", "recurrent", "classes", "class_bias", "members", "member_bias")
 
 

@@ -322,6 +322,18 @@ def test_lm_beats_the_base_on_held_out_rows(spark):
     assert len(got) > 20 and np.mean([r.score > r.base_score for r in got]) > 0.95
 
 
+def test_lm_size_and_steps_are_not_cut():
+    p = recurrent.Parameters.start(np.ones(recurrent.SHORTLIST), np.ones(recurrent.TAIL))
+    assert p.recurrent.shape == (24, 72) and p.classes.shape == (24, 32 + 64) and recurrent.RATE == 0.004
+    rng = np.random.default_rng(2)
+    n = 64 * 96
+    s = recurrent.Stream(rng.integers(1, 900, n).astype(np.int16), rng.integers(0, recurrent.CLASSES, n).astype(np.int16),
+                         rng.integers(0, recurrent.MEMBERS, n).astype(np.int8), np.full(64, 96))
+    adam = recurrent.Adam()
+    recurrent.Network(p).train(s, adam)
+    assert adam.t == 4  # a step per 64 x 24 tokens
+
+
 def test_lm_without_rows(spark):
     assert lm_scoring.score(fx.empty(spark)).count() == 0
 
