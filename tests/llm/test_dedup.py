@@ -170,6 +170,14 @@ def test_line_dedup(spark):
     assert len(got) == len(rows)
 
 
+def test_line_dedup_of_rows_without_or_with_the_same_id(spark):
+    rows = [(None, "only here"), (None, "common\nsecond of its own"), (5, "common"), (7, "common\nmine"), (7, "first of seven\ncommon"),
+            (None, "said twice"), (None, "x\nsaid twice")]
+    got = {(r.doc_id, r.text, r.n_lines, r.n_dropped) for r in line_dedup.dedup(fx.documents(spark, rows)).collect()}
+    assert got == {(None, "only here", 1, 0), (None, "second of its own", 2, 1), (5, "common", 1, 0), (7, "mine", 2, 1), (7, "first of seven", 2, 1),
+                   (None, "said twice", 1, 0), (None, "x", 2, 1)}
+
+
 def test_empty_tables(spark):
     none = fx.empty(spark)
     assert exact_dedup.classes(none).count() == 0
