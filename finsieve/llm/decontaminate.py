@@ -7,8 +7,8 @@ item if it is shorter) agree in ``AGREE`` tenths or more. The masks meet every p
 
 Tokens are runs of bytes other than space and 09-0D, with A-Z in lower case. Items of fewer than ``SHORT`` tokens get masks of their
 own length: each half of the item, and the whole. Items without tokens and missing or empty texts match nothing. Equal items are
-searched as one and reported under the smallest id. Rows that share an id are reported as one document; a missing id is
-reported as missing. Other columns are kept by ``drop_contaminated``.
+searched as one and reported under the smallest id. Rows that share an id are reported as one document, items that share one as one
+item; a missing id of either is reported as missing. Other columns are kept by ``drop_contaminated``.
 """
 
 from __future__ import annotations
@@ -188,10 +188,11 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     A bitmap of fixed size over the test hashes decides which training positions take part in the join; what passes wrongly
     finds no partner there. Only stretches around such positions travel.
     """
-    items = materialize(item_table(benchmark), "decontaminate-items")
+    # items meet by a number of their own, as ids may be missing or repeated
+    items = materialize(item_table(benchmark).withColumn("item", F.monotonically_increasing_id()), "decontaminate-items")
     seed_rows = materialize(
-        items.select("item_id", F.explode(F.arrays_zip("positions", "seeds")).alias("s")).select(
-            "item_id", F.col("s.positions").alias("item_at"), F.col("s.seeds").alias("seed")
+        items.select("item", F.explode(F.arrays_zip("positions", "seeds")).alias("s")).select(
+            "item", F.col("s.positions").alias("item_at"), F.col("s.seeds").alias("seed")
         ), "decontaminate-seeds",
     )
     lengths = [r[0] for r in items.select((F.length("words") / 8).cast("int").alias("n")).filter(F.col("n") < SHORT).distinct().collect()]
@@ -200,10 +201,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     hits = found.select("stretch", F.explode(F.arrays_zip("positions", "seeds")).alias("s")).select(
         "stretch", F.col("s.positions").alias("at"), F.col("s.seeds").alias("seed")
     )
-    pairs = hits.join(seed_rows, "seed").select("stretch", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
+    pairs = hits.join(seed_rows, "seed").select("stretch", "item", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
     pairs = materialize(pairs, "decontaminate-pairs")
     ready = pairs.join(found.select("stretch", "doc_id", "mark", "start", "words"), "stretch").join(
-        items.select("item_id", F.col("words").alias("item_words")), "item_id"
+        items.select("item", "item_id", F.col("words").alias("item_words")), "item"
     )
     return ready.mapInArrow(
         _verify, "doc_id long, mark long, item_id long, agreeing int, width int, item_token int, doc_token int"

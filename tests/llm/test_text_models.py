@@ -72,6 +72,15 @@ def test_equal_items_are_reported_once_and_clean_rows_stay(spark):
     assert sorted(r.text for r in kept.collect()) == ["clean", "clean row with the same id", "clean too"]
 
 
+def test_items_without_an_id_are_searched(spark):
+    rng = random.Random(12)
+    nameless, other, named = (fx.sentence(rng, 24) for _ in range(3))
+    docs = fx.documents(spark, [(1, f"before {nameless} after"), (2, f"{other} after"), (3, named), (4, fx.sentence(rng, 40)), (5, f"{named} {nameless}")])
+    bench = _bench(spark, [(None, nameless), (None, other), (8, named)])
+    assert {(r.doc_id, r.item_id) for r in dc.contaminated(docs, bench).collect()} == {(1, None), (2, None), (3, 8), (5, 8), (5, None)}
+    assert [r.doc_id for r in dc.drop_contaminated(docs, bench).collect()] == [4]
+
+
 def test_decontamination_of_nothing(spark):
     assert dc.contaminated(fx.empty(spark), _bench(spark, [(1, "a b c")])).count() == 0
     assert dc.contaminated(fx.documents(spark), _bench(spark, [])).count() == 0
