@@ -627,27 +627,57 @@ def iso_scores(spark, d):
     return rows.select("cik", "year", F.round(isolation.anomaly(arrays, n, F.col("features")), 6).alias("anomaly"))
 
 
-def _small_fraud_model() -> models.RiskModel:
-    return models.fraud_model(trees=20, learning_rate=0.1)
+def _fitted(spark: SparkSession, d: str, model: models.RiskModel) -> tuple[models.FittedRiskModel, DataFrame]:
+    train, test = lab.holdout_split(materialize(_labelled(spark, d), "labelled"), CUTOFF)
+    return model.fit(train), test
+
+
+def _scores(spark: SparkSession, d: str, model: models.RiskModel) -> DataFrame:
+    fitted, test = _fitted(spark, d, model)
+    return rounded(fitted.predict(test, explain=False).select("cik", "year", model.target, "score", "xgb_prob", "iso_score"))
+
+
+def _top3(spark: SparkSession, d: str, model: models.RiskModel) -> DataFrame:
+    fitted, test = _fitted(spark, d, model)
+    return fitted.predict(test).select("cik", "year", F.inline("top3"))
+
+
+def _importance(spark: SparkSession, d: str, model: models.RiskModel) -> DataFrame:
+    fitted, test = _fitted(spark, d, model)
+    return fitted.importance(test)
+
+
+def _folds(spark: SparkSession, d: str, model: models.RiskModel) -> DataFrame:
+    return ev.walk_forward(model, materialize(_labelled(spark, d), "labelled"), 3, 2, 2)["folds"]
 
 
 def gbt_scores(spark, d):
-    train, test = lab.holdout_split(materialize(_labelled(spark, d), "labelled"), CUTOFF)
-    fitted = _small_fraud_model().fit(train)
-    return rounded(fitted.predict(test, explain=False).select("cik", "year", "is_fraud", "score", "xgb_prob", "iso_score"))
+    return _scores(spark, d, models.fraud_model())
 
 
 def attribution_top3(spark, d):
-    train, test = lab.holdout_split(materialize(_labelled(spark, d), "labelled"), CUTOFF)
-    fitted = _small_fraud_model().fit(train)
-    return fitted.predict(test).select("cik", "year", F.inline("top3"))
+    return _top3(spark, d, models.fraud_model())
 
 
 def feature_importance(spark, d):
-    train, test = lab.holdout_split(materialize(_labelled(spark, d), "labelled"), CUTOFF)
-    return _small_fraud_model().fit(train).importance(test)
+    return _importance(spark, d, models.fraud_model())
 
 
 def oof_metrics(spark, d):
-    labelled = materialize(_labelled(spark, d), "labelled")
-    return ev.walk_forward(_small_fraud_model(), labelled, 3, 2, 2)["folds"]
+    return _folds(spark, d, models.fraud_model())
+
+
+def distress_gbt_scores(spark, d):
+    return _scores(spark, d, models.distress_model())
+
+
+def distress_attribution_top3(spark, d):
+    return _top3(spark, d, models.distress_model())
+
+
+def distress_feature_importance(spark, d):
+    return _importance(spark, d, models.distress_model())
+
+
+def distress_oof_metrics(spark, d):
+    return _folds(spark, d, models.distress_model())

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from finsieve.operators import attribution, isolation, models, smote
 from finsieve.plans import evaluation as ev
+from finsieve.registry import queries
 
 FEATURES = ("f_roa", "f_dso", "f_z_x1")
 
@@ -118,3 +119,23 @@ def test_walk_forward_and_evaluation(spark, labelled):
     models_seen = {r["model"] for r in results["fraud_benchmark"].collect()}
     assert models_seen == {"Altman Z-Score", "Beneish M-Score", "Our Model"}
     assert results["summary"].count() == 3 and results["fraud_lift"].count() == 300
+
+
+@pytest.mark.parametrize(("prefix", "model"), [("", models.fraud_model()), ("distress_", models.distress_model())])
+def test_queries_fit_the_models_own_settings(monkeypatch, prefix, model):
+    class Fitted(Exception):
+        pass
+
+    def fit(self, *_):
+        raise Fitted(self)
+
+    monkeypatch.setattr(queries, "_labelled", lambda *_: None)
+    monkeypatch.setattr(queries, "materialize", lambda df, _: df)
+    monkeypatch.setattr(queries.lab, "holdout_split", lambda *_: (None, None))
+    monkeypatch.setattr(models.RiskModel, "fit", fit)
+    monkeypatch.setattr(ev, "walk_forward", fit)
+    for name in ("gbt_scores", "attribution_top3", "feature_importance", "oof_metrics"):
+        with pytest.raises(Fitted) as seen:
+            getattr(queries, prefix + name)(None, "")
+        assert seen.value.args == (model,)
+    assert (model.trees, model.learning_rate) == ((400, 0.05) if prefix else (500, 0.04))
