@@ -84,4 +84,44 @@ SQL = {
                            else d.text end) as text_sha256
         from documents d left join per on d.doc_id is not distinct from per.doc_id
     """,
+    # every window as a string, counted over the corpus
+    "op11_substring_dedup": """
+        with d as (select row_number() over () as row, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as ws from documents),
+             w as (select row, unnest(range(0, len(ws) - 34)) as s, ws from d where len(ws) >= 35),
+             g as (select row, s, sha256(array_to_string(ws[s + 1:s + 35], ' ')) as h from w),
+             r as (select row, s from g where h in (select h from g group by h having count(*) > 1)),
+             gone as (select distinct row, i from (select row, unnest(range(s, s + 35)) as i from r)),
+             per as (select row, count(*) as n_removed, list(i) as gone from gone group by row),
+             dropped as (select d.row, string_agg(word, ' ' order by d.i) as kept
+                         from (select row, unnest(ws) as word, generate_subscripts(ws, 1) - 1 as i from d where row in (select row from per)) d
+                         anti join gone on d.row = gone.row and d.i = gone.i group by d.row)
+        select doc_id, len(ws) as n_words, coalesce(n_removed, 0) as n_removed,
+               sha256(case when n_removed is null then array_to_string(ws, ' ') else coalesce(kept, '') end) as kept_sha256
+        from d left join per on d.row = per.row left join dropped on d.row = dropped.row
+    """,
+    # diagonals as islands of equal lag among the places that begin the same three words, which every run's matches hold
+    "op12_periodic_runs": """
+        with d as (select row_number() over () as row, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as ws,
+                          list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(
+                              string_split(coalesce(doc_id::varchar, ''), ''), lambda c: [ord(c)::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))),
+                              lambda x, o: case when o >= 0 then xor(x, o) else xor(x >> 1, (x & 1) * 3988292384) end) as r from documents),
+             h as (select *, len(ws) as n, xor(r, 4294967295) as h, xor(r, 4294967295) // 10 as g from d),
+             t as (select row, doc_id, n, case when h % 10 = 0 and n > 0
+                          then list_transform(range(0, n), lambda i: ws[1 + case when i >= g % n then g % n + (i - g % n) % (1 + (n - g % n) // (3 + g % 8)) else i end])
+                          else ws end as ws from h),
+             p as (select row, unnest(range(0, n - 2)) as i, n, ws from t where n >= 6),
+             k as (select row, i, n, hash(ws[i + 1], ws[i + 2], ws[i + 3]) as k from p),
+             m as (select a.row, a.i, a.i - b.i as q from k a join k b on a.row = b.row and a.k = b.k and b.i < a.i and (a.i - b.i) * 4 <= a.n),
+             isles as (select row, q, min(i) - q as s, count(*) + 2 + q as len
+                       from (select *, i - row_number() over (partition by row, q order by i) as isle from m) group by row, q, isle),
+             runs as (select row, s as start, len as length, min(q) as period from isles where len >= greatest(6, 4 * q) group by row, s, len),
+             told as (select row, count(*) as n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' order by start, period) as told from runs group by row),
+             best as (select * from runs qualify row_number() over (partition by row order by length / period desc, start, period) = 1),
+             gone as (select distinct row, unnest(range(start + period, start + length)) as i from runs),
+             kept as (select w.row, string_agg(word, ' ' order by w.i) as kept
+                      from (select row, unnest(ws) as word, generate_subscripts(ws, 1) - 1 as i from t) w anti join gone on w.row = gone.row and w.i = gone.i group by w.row)
+        select doc_id, coalesce(n_runs, 0) as n_runs, start, length, period, 1000 * length // period as exponent_milli,
+               sha256(coalesce(told, '')) as runs_sha256, sha256(coalesce(kept, '')) as collapsed_sha256
+        from t left join told on t.row = told.row left join best on t.row = best.row left join kept on t.row = kept.row
+    """,
 }
