@@ -5,16 +5,14 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass, field
 
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from finsieve.functions.numeric import ensemble
-from finsieve.operators import attribution, isolation, smote
+from finsieve.operators import attribution, boosting, isolation, smote
 from finsieve.operators.features import TRAINED
 from finsieve.operators.quantiles import exact_quantiles
-from finsieve.session import materialize, shared_dir, with_checkpoint_dir
+from finsieve.session import materialize
 
 # Display names of the trained features.
 FEATURE_LABELS = {
@@ -48,58 +46,75 @@ FEATURE_LABELS = {
 
 @dataclass(frozen=True)
 class RiskModel:
-    """Training settings. Boosting in Spark has no L1/L2 or minimum-loss term;
-    the other settings carry over, so results compare by AUC, not by value."""
+    """Training settings of one target."""
 
     target: str
     name: str
     max_depth: int = 5
     trees: int = 400
     learning_rate: float = 0.05
-    min_child: int = 5
+    min_child: float = 5
+    gamma: float = 0.0
+    alpha: float = 0.1
+    reg_lambda: float = 1.0
     row_share: float = 0.8
     feature_share: float = 0.8
+    bins: int = 256
     forest_trees: int = isolation.TREES
     seed: int = 42
     features: tuple[str, ...] = TRAINED
 
+    def settings(self) -> boosting.Settings:
+        return boosting.Settings(
+            self.trees, self.max_depth, self.learning_rate, self.min_child, self.gamma, self.alpha, self.reg_lambda, self.row_share,
+            self.feature_share, self.bins, self.seed,
+        )
+
     def fit(self, df: DataFrame) -> "FittedRiskModel":
-        """Medians, boosted trees and anomaly forest from the rows given.
+        """Medians, boosted trees and anomaly forest from the rows given."""
+        return self.fit_many({0: df})[0]
+
+    def fit_many(self, parts: dict[int, DataFrame]) -> dict[int, "FittedRiskModel"]:
+        """One model per group of rows, such as the training side of each fold; the trees of all groups grow in the same jobs.
 
-        Rows are landed once: trees read them in every iteration. Medians come
-        from these rows only and are stored with the model.
+        Rows are landed once per group. Medians and weights come from a group's own rows and are stored with its model.
         """
-        spark = df.sparkSession
-        available = [f for f in self.features if f in df.columns]
+        available = [f for f in self.features if all(f in df.columns for df in parts.values())]
+        prepared = {g: self._prepare(df, available) for g, df in parts.items()}
+        training = None
+        for g, (_, rows, n, pos) in prepared.items():
+            weight = F.when(F.col("y") == 1, F.lit(float(smote.positive_weight(n, pos)))).otherwise(1.0)
+            some = smote.oversample(rows, self.seed).select(
+                F.lit(g).cast("int").alias("grp"), boosting.row_key(self.seed, "cik", "year", "copy").alias("key"),
+                F.col("y").cast("double").alias("y"), weight.alias("w"), "features",
+            )
+            training = some if training is None else training.unionByName(some)
+        trees = boosting.fit(materialize(training, f"{self.name}-balanced"), len(available), self.settings())
+        return {g: self._finish(available, medians, rows, n, trees[g]) for g, (medians, rows, n, _) in prepared.items()}
+
+    def _prepare(self, df: DataFrame, available: list[str]) -> tuple[dict[str, float], DataFrame, int, int]:
         landed = materialize(df.select("cik", "year", F.col(self.target).cast("int").alias("y"), *available), f"{self.name}-train")
         medians = {f: v[0] if v[0] is not None else 0.0 for f, v in exact_quantiles(landed, available, [0.5]).items()}
         rows = materialize(landed.select("cik", "year", "y", feature_array(available, medians).alias("features")), f"{self.name}-rows")
-        n, pos = smote.class_counts(rows)
-        weight = smote.positive_weight(n, pos)
-        balanced = smote.oversample(rows, self.seed).select(
-            F.col("y").cast("double").alias("y"), array_to_vector("features").alias("v"),
-            F.when(F.col("y") == 1, F.lit(float(weight))).otherwise(1.0).alias("w"),
-        )
-        with_checkpoint_dir(spark)
-        gbt = GBTClassifier(
-            featuresCol="v", labelCol="y", weightCol="w", maxDepth=self.max_depth, maxIter=self.trees,
-            stepSize=self.learning_rate, minInstancesPerNode=self.min_child, subsamplingRate=self.row_share,
-            featureSubsetStrategy=str(self.feature_share), seed=self.seed, cacheNodeIds=True, checkpointInterval=10,
-        ).fit(materialize(balanced, f"{self.name}-balanced"))
+        return medians, rows, *smote.class_counts(rows)
+
+    def _finish(self, available: list[str], medians: dict[str, float], rows: DataFrame, n: int, trees: list[boosting.Tree]) -> "FittedRiskModel":
         forest = materialize(isolation.grow_forest(rows, n, self.forest_trees, seed=self.seed), f"{self.name}-forest")
         raw = rows.select(isolation.anomaly(isolation.forest_arrays(forest), n, F.col("features")).alias("a"))
         low, high = raw.agg(F.min("a"), F.max("a")).first()
-        return FittedRiskModel(self, available, medians, gbt, forest, n, low, high)
+        return FittedRiskModel(self, available, medians, trees, forest, n, low, high)
 
 
 def fraud_model(**changes) -> RiskModel:
     """Shallow trees for the rarer, subtler class."""
-    return RiskModel(**{**dict(target="is_fraud", name="fraud_model", max_depth=4, trees=500, learning_rate=0.04, min_child=8), **changes})
+    own = dict(target="is_fraud", name="fraud_model", max_depth=4, trees=500, learning_rate=0.04, min_child=8, gamma=0.1)
+    return RiskModel(**{**own, **changes})
 
 
 def distress_model(**changes) -> RiskModel:
     """Deeper trees: distress leaves clearer traces."""
-    return RiskModel(**{**dict(target="is_bankrupt", name="distress_model", max_depth=6, trees=400, learning_rate=0.05, min_child=3), **changes})
+    own = dict(target="is_bankrupt", name="distress_model", max_depth=6, trees=400, learning_rate=0.05, min_child=3, gamma=0.05)
+    return RiskModel(**{**own, **changes})
 
 
 def feature_array(names: list[str], fill: dict[str, float]) -> Column:
@@ -111,7 +126,7 @@ class FittedRiskModel:
     spec: RiskModel
     features: list[str]
     medians: dict[str, float]
-    gbt: GBTClassificationModel
+    trees: list[boosting.Tree]
     forest: DataFrame
     n_train: int
     low: float
@@ -132,11 +147,8 @@ class FittedRiskModel:
             self._arrays = isolation.forest_arrays(self.forest)
         spread = (self.high - self.low) or 1.0
         anomaly = (isolation.anomaly(self._arrays, self.n_train, F.col("_x")) - self.low) / spread
-        out = (
-            self.gbt.transform(rows.withColumn("v", array_to_vector("_x")))
-            .withColumn("xgb_prob", vector_to_array("probability")[1]).withColumn("iso_score", anomaly)
-            .withColumn("score", ensemble(F.col("xgb_prob"), F.col("iso_score")))
-        )
+        out = rows.withColumn("xgb_prob", 1 / (1 + F.exp(-boosting.margin(self.trees, F.col("_x"))))).withColumn("iso_score", anomaly)
+        out = out.withColumn("score", ensemble(F.col("xgb_prob"), F.col("iso_score")))
         extra = []
         if explain:
             out = out.withColumn("_phi", attribution.attributions(self.leaves(), F.col("_x")))
@@ -154,10 +166,7 @@ class FittedRiskModel:
 
     def leaves(self) -> list[tuple]:
         if self._leaves is None:
-            spark = self.forest.sparkSession
-            path = f"{shared_dir(spark)}/{self.gbt.uid}"
-            self.gbt.write().overwrite().save(path)
-            self._leaves = attribution.leaf_paths(spark.read.parquet(f"{path}/data"), list(self.gbt.treeWeights))
+            self._leaves = attribution.leaf_paths(self.trees)
         return self._leaves
 
     def attributions(self, df: DataFrame, fill: str = "zero") -> DataFrame:
@@ -171,7 +180,7 @@ class FittedRiskModel:
     def save(self, path: str) -> None:
         """Trees, forest and settings under one folder."""
         spark = self.forest.sparkSession
-        self.gbt.write().overwrite().save(f"{path}/gbt")
+        boosting.to_table(spark, {0: self.trees}).write.mode("overwrite").parquet(f"{path}/trees")
         self.forest.write.mode("overwrite").parquet(f"{path}/forest")
         settings = {
             "spec": asdict(self.spec), "features": self.features, "medians": self.medians, "n_train": self.n_train,
@@ -184,6 +193,6 @@ class FittedRiskModel:
         s = json.loads(spark.read.text(f"{path}/settings").first()["value"])
         spec = RiskModel(**{**s["spec"], "features": tuple(s["spec"]["features"])})
         return FittedRiskModel(
-            spec, s["features"], s["medians"], GBTClassificationModel.load(f"{path}/gbt"),
+            spec, s["features"], s["medians"], boosting.from_table(spark.read.parquet(f"{path}/trees"), spec.max_depth).get(0, []),
             spark.read.parquet(f"{path}/forest"), s["n_train"], s["low"], s["high"],
         )

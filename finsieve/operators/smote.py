@@ -122,10 +122,10 @@ def synthetic_rows(minority: DataFrame, n_new: int, pos: int, seed: int = 42) ->
 
 
 def oversample(df: DataFrame, seed: int = 42) -> DataFrame:
-    """Rows plus synthetic positives up to a 1:1 balance; unchanged with fewer
+    """(cik, year, copy, y, features): the rows, as copy 0, plus synthetic positives up to a 1:1 balance; none with fewer
     than six positives or more than 30 % of them."""
     n, pos = class_counts(df)
+    rows = df.select("cik", "year", F.lit(0).alias("copy"), "y", "features")
     if pos < MIN_POSITIVES or pos / n > MAX_RATE:
-        return df
-    extra = synthetic_rows(df.filter("y = 1"), n - 2 * pos, pos, seed)
-    return df.select("cik", "year", "y", "features").unionByName(extra.select("cik", "year", "y", "features"))
+        return rows
+    return rows.unionByName(synthetic_rows(df.filter("y = 1"), n - 2 * pos, pos, seed).select(*rows.columns))
