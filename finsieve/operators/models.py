@@ -94,7 +94,7 @@ class RiskModel:
 
     def _prepare(self, df: DataFrame, available: list[str]) -> tuple[dict[str, float], DataFrame, int, int]:
         landed = materialize(df.select("cik", "year", F.col(self.target).cast("int").alias("y"), *available), f"{self.name}-train")
-        medians = {f: v[0] if v[0] is not None else 0.0 for f, v in exact_quantiles(landed, available, [0.5]).items()}
+        medians = {f: v[0] if v[0] is not None else 0.0 for f, v in exact_quantiles(landed, available, [0.5], landed=True).items()}
         rows = materialize(landed.select("cik", "year", "y", feature_array(available, medians).alias("features")), f"{self.name}-rows")
         return medians, rows, *smote.class_counts(rows)
 

@@ -1,92 +1,123 @@
-"""Exact quantiles of many columns without holding a column in one task."""
+"""Exact quantiles of many columns at once, by narrowing ranks over ordered bit patterns.
+
+A double's bits, with the sign handled, order like the double itself. All wanted ranks of all columns are narrowed together: a pass
+counts, for each still open prefix of leading bits, how many values go on with which next bits, and every rank moves into the
+prefix that holds it. Counts combine inside tasks and again before they reach the driver, which sees at most
+``2**bits`` of them per open prefix, never the values of a column. A pass takes 16 bits, later ones 12; when few rows are left
+under the open prefixes one pass takes all remaining bits.
+"""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ACCURACY = 1000
-MARGIN = 3.0 / ACCURACY
+from finsieve.session import materialize
+
+FIRST_BITS = 16
+NEXT_BITS = 12
+#: Rows under the open prefixes that one last pass may list by value.
+FEW_ROWS = 100_000
+_SIGN = np.uint64(1 << 63)
+
+
+def ordered_bits(values: np.ndarray) -> np.ndarray:
+    """Unsigned longs that order like the doubles; both zeros are one."""
+    bits = (values + 0.0).view(np.uint64)
+    return np.where(bits & _SIGN, ~bits, bits | _SIGN)
+
+
+def value_of(bits: int) -> float:
+    x = np.array([bits], np.uint64)
+    return float(np.where(x & _SIGN, x ^ _SIGN, ~x).view(np.float64)[0])
+
+
+def _counted(df: DataFrame, columns: list[str], open_prefixes: dict[int, list[int]], known: int, bits: int) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
+    """Per (column, open prefix of ``known`` bits): the next ``bits`` bits that occur, ascending, and their counts."""
+    shift = np.uint64(64 - known - bits)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[np.ndarray]] = {c: [] for c in open_prefixes}
+        for b in batches:
+            for c, prefixes in open_prefixes.items():
+                x = ordered_bits(b.column(c).drop_null().to_numpy(zero_copy_only=False))
+                if known:
+                    x = x[np.isin(x >> np.uint64(64 - known), np.array(prefixes, np.uint64))]
+                held[c].append(x >> shift)
+        for c, parts in held.items():
+            found, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *parts]), return_counts=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(found), c, np.int32)), pa.array(found.view(np.int64)), pa.array(counts)], names=["c", "bits", "n"]
+            )
 
-def exact_quantiles(
-    df: DataFrame, columns: list[str], probs: list[float]
-) -> dict[str, list[float | None]]:
-    """Linearly interpolated quantiles, exact, as driver scalars.
+    got = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(columns)]).mapInArrow(
+        run, "c int, bits long, n long"
+    ).groupBy("c", "bits").agg(F.sum("n").alias("n")).toArrow()
+    column, found, counts = (got.column(k).to_numpy() for k in ("c", "bits", "n"))
+    found = found.view(np.uint64)
+    out = {}
+    for c, prefixes in open_prefixes.items():
+        mine = np.flatnonzero(column == c)
+        mine = mine[np.argsort(found[mine])]
+        above = found[mine] >> np.uint64(bits) if bits < 64 else np.zeros(len(mine), np.uint64)
+        for p in prefixes:
+            lo, hi = np.searchsorted(above, np.array([p, p], np.uint64), side="left")[0], np.searchsorted(above, np.uint64(p), side="right")
+            out[c, p] = found[mine[lo:hi]], counts[mine[lo:hi]]
+    return out
 
-    Pass one merges small sketches per column and yields, per probability, a
-    bracket of values around the wanted order statistics. Pass two counts what
-    lies below each bracket and, for the MARGIN share of rows inside it, the
-    frequency of each distinct value; both combine map-side. Only those
-    frequencies are ranked. A bracket that misses its ranks is widened to the
-    whole column, so the sketches affect speed and never the answer. The
-    driver receives a handful of numbers per column.
+
+def order_statistics(df: DataFrame, columns: list[str], ranks_of) -> dict[str, dict[int, float]]:
+    """Values at the ranks (from 0) that ``ranks_of(count)`` names, for every column with a value. ``df`` should be landed."""
+    first = _counted(df, columns, {c: [0] for c in range(len(columns))}, 0, FIRST_BITS)
+    sizes = {c: int(first[c, 0][1].sum()) for c in range(len(columns))}
+    # per (column, rank): the prefix so far, and how many values lie below it
+    place = {(c, rank): (0, 0) for c, n in sizes.items() if n for rank in ranks_of(n)}
+    known, counted, bits = 0, first, FIRST_BITS
+    while place:
+        left = {}
+        for (c, rank), (prefix, below) in place.items():
+            found, counts = counted[c, prefix]
+            upto = below + np.cumsum(counts)
+            at = int(np.searchsorted(upto, rank, side="right"))
+            place[c, rank] = int(found[at]), int(upto[at] - counts[at])
+            left[c, int(found[at])] = int(counts[at])
+        known += bits
+        if known == 64:
+            break
+        bits = 64 - known if sum(left.values()) <= FEW_ROWS else min(NEXT_BITS, 64 - known)
+        opened: dict[int, list[int]] = {}
+        for c, prefix in left:
+            opened.setdefault(c, []).append(prefix)
+        counted = _counted(df, columns, opened, known, bits)
+    out: dict[str, dict[int, float]] = {name: {} for name in columns}
+    for (c, rank), (bits_of, _) in place.items():
+        out[columns[c]][rank] = value_of(bits_of)
+    return {name: {**ranks, -1: sizes[c]} if ranks else {} for c, (name, ranks) in enumerate(out.items())}
+
+
+def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float], landed: bool = False) -> dict[str, list[float | None]]:
+    """Linearly interpolated quantiles, exact, as driver scalars; None for a column without values.
+
+    The columns are landed once for the passes over them, unless the caller says that ``df`` is a landed table.
     """
-    long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
-        [], columns, "column", "value"
-    ).filter("value is not null")
-    grid = sorted({min(max(q, 0.0), 1.0) for p in probs for q in (p - MARGIN, p + MARGIN)})
-    summary = {
-        row["column"]: row
-        for row in long.groupBy("column").agg(
-            F.count("value").alias("n"),
-            F.percentile_approx("value", grid, ACCURACY).alias("q"),
-            F.min("value").alias("lo"), F.max("value").alias("hi"),
-        ).collect()
-    }
-
-    def bracket(column: str, p: float) -> tuple[float, float]:
-        q = summary[column]["q"]
-        return q[grid.index(min(max(p - MARGIN, 0.0), 1.0))], q[grid.index(min(max(p + MARGIN, 0.0), 1.0))]
-
-    todo = {(c, p): bracket(c, p) for c in columns for p in probs if c in summary}
-    result: dict[tuple[str, float], float] = {}
-    while todo:
-        found = _in_brackets(long, todo, {c: summary[c]["n"] for c, _ in todo})
-        result.update(found)
-        todo = {
-            (c, p): (summary[c]["lo"], summary[c]["hi"]) for c, p in todo if (c, p) not in found
-        }
-    return {c: [result.get((c, p)) for p in probs] for c in columns}
-
-
-def _in_brackets(long: DataFrame, todo: dict, count: dict[str, int]) -> dict:
-    """Quantile per (column, probability) whose bracket holds its ranks."""
-    cells = list(todo)
-    table = []
-    for i, (c, p) in enumerate(cells):
-        position = (count[c] - 1) * p
-        table.append((i, c, *todo[(c, p)], math.floor(position), math.ceil(position)))
-    # two rows per column: a bounded lookup
-    brackets = F.broadcast(
-        long.sparkSession.createDataFrame(
-            table, "cell int, column string, lo double, hi double, rank_lo bigint, rank_hi bigint"
-        )
-    )
-    frequencies = (
-        long.join(brackets, "column").filter(F.col("value") <= F.col("hi"))
-        .groupBy("cell", "rank_lo", "rank_hi", F.when(F.col("value") >= F.col("lo"), F.col("value")).alias("value"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    # everything under the bracket is the one NULL entry and sorts first
-    ordered = Window.partitionBy("cell").orderBy(F.col("value").asc_nulls_first())
-    ranked = frequencies.select("*", F.sum("n").over(ordered).alias("upto"))
-
-    def holds(rank: str):
-        return (F.col("upto") > F.col(rank)) & (F.col("upto") - F.col("n") <= F.col(rank))
-
-    hits = (
-        ranked.filter("value is not null").filter(holds("rank_lo") | holds("rank_hi"))
-        .select("cell", "value", holds("rank_lo").alias("is_lo"), holds("rank_hi").alias("is_hi")).collect()
-    )
-    low = {h["cell"]: h["value"] for h in hits if h["is_lo"]}
-    high = {h["cell"]: h["value"] for h in hits if h["is_hi"]}
-    found = {}
-    for i, (c, p) in enumerate(cells):
-        if i in low and i in high:
-            position = (count[c] - 1) * p
-            gap = 0.0 if high[i] == low[i] else high[i] - low[i]  # equal infinities have no gap
-            found[(c, p)] = low[i] + gap * (position - math.floor(position))
-    return found
+    def ranks_of(n: int) -> set[int]:
+        return {r for p in probs for r in (math.floor((n - 1) * p), math.ceil((n - 1) * p))}
+
+    table = df if landed else materialize(df.select(*[F.col(f"`{c}`") for c in columns]), "quantile-columns")
+    values = order_statistics(table, columns, ranks_of)
+
+    def quantile(name: str, p: float) -> float | None:
+        ranks = values[name]
+        if not ranks:
+            return None
+        position = (ranks[-1] - 1) * p
+        low, high = ranks[math.floor(position)], ranks[math.ceil(position)]
+        gap = 0.0 if high == low else high - low  # equal infinities have no gap
+        return low + gap * (position - math.floor(position))
+
+    return {c: [quantile(c, p) for p in probs] for c in columns}

@@ -605,6 +605,57 @@ near as (select a.cik, a.year, b.v as z, cast(row_number() over (partition by a.
          from few a join few b on a.i <> b.i)"""
 
 
+def _score(g: str, h: str) -> str:
+    return f"(greatest(abs({g}) - 0.1::double, 0) * greatest(abs({g}) - 0.1::double, 0) / ({h} + 1.0::double))"
+
+
+def _best_split(node: int, rows: str) -> str:
+    """Node sums and the split of greatest gain among rows of the tree's training data."""
+    return f"""
+n{node} as (select x.* from tx x where {rows}),
+s{node} as (select sum(g) as g, sum(h) as h from n{node}),
+b{node} as (select * from (select f, cut, gl, hl, {_score('gl', 'hl')} + {_score('g - gl', 'h - hl')} - {_score('g', 'h')} as gain
+      from (select c.f, c.cut, sum(x.g) filter (x.v[c.f] <= c.cut) as gl, sum(x.h) filter (x.v[c.f] <= c.cut) as hl
+            from n{node} x, cuts c group by c.f, c.cut), s{node} where hl >= 8 and h - hl >= 8)
+      where gain > 1e-6 order by gain desc, f, cut limit 1)"""
+
+
+#: One tree of depth two over all rows: cuts at eighths, splits by second-order gain, leaves that gain too little pruned.
+TREE = SMOTE.split("size as (select count(*) - 2")[0].rstrip().rstrip(",") + f""",
+tx as (select cik, year, v, w * (0.5::double - y) as g, w * 0.25::double as h
+       from (select *, case when y = 1 then greatest((select (count(*) - sum(y)) // sum(y) from x), 1) else 1 end as w from x)),
+names as (select unnest(range(1, {len(fea.TRAINED) + 1})) as f, unnest([{', '.join(f"'{c}'" for c in fea.TRAINED)}]) as feature),
+cuts as (select distinct f, unnest(q) as cut from (select f, quantile_cont(z, [0.125, 0.25, 0.375, 0.5, 0.625, 0.75, 0.875]) as q
+         from (select unnest(range(1, {len(fea.TRAINED) + 1})) as f, unnest(v) as z from tx) group by f)),""" + _best_split(0, "true") + "," + _best_split(
+    1, "x.v[(select f from b0)] <= (select cut from b0)") + "," + _best_split(2, "x.v[(select f from b0)] > (select cut from b0)") + """,
+cut0 as (select 0 as node, f, cut, gain from b0 union all select 1, f, cut, gain from b1 where gain >= 0.1 union all select 2, f, cut, gain from b2 where gain >= 0.1),
+cutting as (select * from cut0 where node > 0 or gain >= 0.1 or (select count(*) from cut0) > 1),
+sums as (select 0 as node, g, h from s0 union all select 1, g, h from s1 union all select 2, g, h from s2
+         union all select 3, gl, hl from b1 union all select 4, g - gl, h - hl from b1, s1
+         union all select 5, gl, hl from b2 union all select 6, g - gl, h - hl from b2, s2),
+nodes as (select s.node, i.f, i.cut, coalesce(i.gain, 0) as gain, s.h as cover,
+            case when i.f is null then -sign(s.g) * greatest(abs(s.g) - 0.1::double, 0) / (s.h + 1.0::double) * 0.3::double else 0 end as value
+          from sums s left join cutting i on s.node = i.node where s.node = 0 or (s.node - 1) // 2 in (select node from cutting)),
+walk as (select t.cik, t.year, t.v, case when i.f is null then 0 when t.v[i.f] <= i.cut then 1 else 2 end as half
+         from tx t left join cutting i on i.node = 0),
+fell as (select w.cik, w.year, w.v, w.half, case when w.half = 0 or i.f is null then w.half when w.v[i.f] <= i.cut then 2 * w.half + 1 else 2 * w.half + 2 end as node
+         from walk w left join cutting i on i.node = w.half and w.half > 0)"""
+
+#: A leaf's path holds at most two splits: each one's share of the cover and whether a row passes it.
+PATHS = TREE + """,
+leaf as (select n.node, n.value, p.node as p1, case when p.node > 0 then 0 end as p0,
+                n.cover / p.cover as z1, p.cover / g.cover as z0, n.node % 2 = 1 as left1, p.node % 2 = 1 as left0
+         from nodes n join nodes p on p.node = (n.node - 1) // 2 left join nodes g on p.node > 0 and g.node = (p.node - 1) // 2
+         where n.f is null and n.node > 0),
+step as (select t.cik, t.year, l.value, a.f as f1, b.f as f0, z1, z0,
+                ((t.v[a.f] <= a.cut) = left1)::int as o1, ((t.v[b.f] <= b.cut) = left0)::int as o0
+         from tx t cross join leaf l join cutting a on a.node = l.p1 left join cutting b on b.node = l.p0),
+part as (select cik, year, f1 as f, value * (o1 - z1) as phi from step where f0 is null
+         union all select cik, year, f1, value * (o1 * o0 - z1 * z0) from step where f0 = f1
+         union all select cik, year, f1, value * (o1 - z1) * (z0 + o0) / 2 from step where f0 <> f1
+         union all select cik, year, f0, value * (o0 - z0) * (z1 + o1) / 2 from step where f0 <> f1)"""
+
+
 def _w(ctes: str, body: str) -> str:
     return f"with {ctes.strip()}\n{body}"
 
@@ -777,6 +828,10 @@ SQL: dict[str, str] = {
         select *, row_number() over (partition by cik order by match_score desc, aaer_no, fraud_date, raw_aaer_name) as rn from hit) where rn = 1"""),
     "seed_resolve": _w(SEED_RESOLVE, """select cik, ticker, company_name, bankruptcy_date, match_score from (
         select *, row_number() over (partition by cik order by seed_no) as rn from every) where rn = 1"""),
+    "boost_tree": _w(TREE, """select node::int as node, feature, round(cut, 6) as threshold, round(gain, 6) as gain, round(cover, 6) as cover, round(value, 6) as value
+        from nodes left join names using (f)"""),
+    "boost_margins": _w(TREE, "select cik, year, round(value, 6) as margin from fell join nodes using (node)"),
+    "tree_attribution": _w(PATHS, "select cik, year, feature, round(sum(phi), 6) as phi from part join names using (f) group by cik, year, feature"),
     "smote_rows": _w(SMOTE, """select cik, year, copy, nb, round(gap, 6) as gap, round(v[1] + gap * (z[1] - v[1]), 6) as f_current_ratio
         from drawn join near using (cik, year, nb)"""),
     "name_normalise": f"""select c_custkey, {_clean(_NOISY)} as clean, {_norm(_clean(_NOISY))} as name,

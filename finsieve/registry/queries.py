@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +10,7 @@ from finsieve.functions import numeric as num
 from finsieve.functions import text as tx
 from finsieve.operators import features as fea
 from finsieve.operators import flags as flg
-from finsieve.operators import ingest, isolation, labels as lab, match, models, ranking as rk, smote
+from finsieve.operators import attribution, boosting, ingest, isolation, labels as lab, match, models, ranking as rk, smote
 from finsieve.operators import panel as pan
 from finsieve.operators import scores as sc
 from finsieve.operators.quantiles import exact_quantiles
@@ -598,7 +599,7 @@ def seed_resolve(spark, d):
 def _array_rows(spark: SparkSession, d: str) -> DataFrame:
     """(cik, year, y, features): the features the models train on, missing ones at their median."""
     table = materialize(_labelled(spark, d), "labelled")
-    medians = {f: v[0] if v[0] is not None else 0.0 for f, v in exact_quantiles(table, list(fea.TRAINED), [0.5]).items()}
+    medians = {f: v[0] if v[0] is not None else 0.0 for f, v in exact_quantiles(table, list(fea.TRAINED), [0.5], landed=True).items()}
     return materialize(
         table.select("cik", "year", F.col("is_fraud").alias("y"), models.feature_array(list(fea.TRAINED), medians).alias("features")),
         "rows",
@@ -627,6 +628,45 @@ def iso_scores(spark, d):
     return rows.select("cik", "year", F.round(isolation.anomaly(arrays, n, F.col("features")), 6).alias("anomaly"))
 
 
+def _one_tree(spark: SparkSession, d: str) -> tuple[DataFrame, list[boosting.Tree]]:
+    """The rows and one tree over all of them, cut at eighths of each feature: small enough for SQL to find the same splits."""
+    rows = _array_rows(spark, d)
+    names = list(fea.TRAINED)
+    wide = materialize(rows.select(*[F.get("features", F.lit(i)).alias(c) for i, c in enumerate(names)]), "tree-columns")
+    eighths = exact_quantiles(wide, names, [k / 8 for k in range(1, 8)], landed=True)
+    cuts = {0: [np.unique(np.array(eighths[c], float)) for c in names]}
+    n, pos = smote.class_counts(rows)
+    weight = F.when(F.col("y") == 1, F.lit(float(max((n - pos) // max(pos, 1), 1)))).otherwise(1.0)
+    training = rows.select(
+        F.lit(0).alias("grp"), boosting.row_key(0, "cik", "year").alias("key"), F.col("y").cast("double").alias("y"), weight.alias("w"), "features"
+    )
+    settings = boosting.Settings(trees=1, depth=2, learning_rate=0.3, min_child=8, gamma=0.1, row_share=1.0, feature_share=1.0, bins=8)
+    return rows, boosting.fit(training, len(names), settings, cuts)[0]
+
+
+def boost_tree(spark, d):
+    _, trees = _one_tree(spark, d)
+    names = F.array(*[F.lit(c) for c in fea.TRAINED])
+    inner = F.col("feature") >= 0
+    return boosting.to_table(spark, {0: trees}).select(
+        "node", F.when(inner, F.get(names, F.col("feature"))).alias("feature"), F.when(inner, F.round("threshold", 6)).alias("threshold"),
+        F.round("gain", 6).alias("gain"), F.round("cover", 6).alias("cover"), F.round("value", 6).alias("value"),
+    )
+
+
+def boost_margins(spark, d):
+    rows, trees = _one_tree(spark, d)
+    return rows.select("cik", "year", F.round(boosting.margin(trees, F.col("features")), 6).alias("margin"))
+
+
+def tree_attribution(spark, d):
+    rows, trees = _one_tree(spark, d)
+    used = sorted({int(f) for tree in trees for f in tree.feature if f >= 0})
+    phi = attribution.attributions(attribution.leaf_paths(trees), F.col("features"))
+    shown = rows.select("cik", "year", phi.alias("phi")).select("cik", "year", *[F.get("phi", F.lit(f)).alias(fea.TRAINED[f]) for f in used])
+    return shown.unpivot(["cik", "year"], [fea.TRAINED[f] for f in used], "feature", "phi").withColumn("phi", F.round("phi", 6))
+
+
 def _fitted(spark: SparkSession, d: str, model: models.RiskModel) -> tuple[models.FittedRiskModel, DataFrame]:
     train, test = lab.holdout_split(materialize(_labelled(spark, d), "labelled"), CUTOFF)
     return model.fit(train), test

@@ -99,6 +99,25 @@ def test_exact_quantiles_match_brute_force(spark, probs):
     assert got["c"] == [None] * len(probs)
 
 
+def test_quantiles_of_few_bits_a_pass_and_infinities(spark, monkeypatch):
+    import numpy as np
+
+    from finsieve.operators import quantiles
+
+    monkeypatch.setattr(quantiles, "FEW_ROWS", 0)  # every pass takes its few bits
+    rng = np.random.default_rng(3)
+    values = np.concatenate([rng.normal(size=300), rng.normal(size=300) * 1e-300, [0.0, -0.0] * 40, [np.inf] * 90, [-np.inf] * 30, [5e-324, -5e-324]])
+    df = spark.createDataFrame([(float(v),) for v in values] + [(None,)] * 9, "a double").repartition(5)
+    probs = [0.0, 0.03, 0.31, 0.5, 0.77, 0.95, 1.0]
+    ordered = np.sort(values)
+    expected = []
+    for p in probs:
+        at = (len(values) - 1) * p
+        low, high = ordered[int(np.floor(at))], ordered[int(np.ceil(at))]
+        expected.append(low if low == high else low + (high - low) * (at - np.floor(at)))
+    assert exact_quantiles(df, ["a"], probs)["a"] == expected
+
+
 def test_winsor_keeps_nulls_and_is_idempotent(spark):
     df = spark.createDataFrame([(i, float(i)) for i in range(200)] + [(999, None)], "id int, f_roa double")
     bounds = fea.winsor_bounds(df, ("f_roa",))
