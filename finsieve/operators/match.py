@@ -2,16 +2,23 @@
 
 Similarity is the token-sort ratio: tokens sorted and joined, then
 200 * LCS / (len a + len b). Names that agree after sorting are joined by
-equality. For the rest, a ratio of t needs many shared characters, so the two
-names must share one of the rarest few (prefix filtering on numbered
-characters). Rows meet in groups keyed by such a character; large groups are
-split on both sides. A group is scored with vectorised arithmetic and emits
-only each entry's best name, so no pair ever leaves a task. The filter loses
-no match, for any threshold.
+equality. The others are searched in rounds of falling thresholds: an entry
+whose best name reaches a round's threshold is done, and high thresholds need
+few index entries. A round is a prefix-filtered join on numbered bigrams: two
+names of ratio t share so many of them that they meet on one of the rarest few
+of each, in a bucket of the lengths that t allows. Pairs too short for that
+bound meet on numbered characters. A pair is looked at in its first common
+group only, passes bounds on length and on the characters it lacks, and is then
+scored with bit-parallel arithmetic, many names at once. Groups are split on
+both sides where they are large, and emit each entry's best name, so no pair
+leaves a task. No filter loses a match, for any threshold.
 """
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -19,20 +26,36 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from finsieve.functions.text import normalise_name, strip_registry_noise, token_sorted
+from finsieve.session import materialize
 
 BLOCK = 4000
 WORD = 64
+#: Thresholds tried before the wanted one.
+ROUNDS = (0.9, 0.8)
+#: Names whose lengths differ by less than this share a bucket.
+LENGTHS = 4
+#: Below this ratio shared bigrams are no longer certain.
+_LEAST_BIGRAM = 0.72
 
 
 def lcs_lengths(a: str, masks_of, columns: list[np.ndarray], n: int) -> np.ndarray:
-    """LCS of ``a`` (up to 64 characters) with n names at once, one bit per character."""
+    """LCS of ``a`` with n names at once: one bit per character, in as many 64-bit words as ``a`` needs."""
+    words = -(-len(a) // WORD)
     masks = masks_of(a)
-    open_bits = np.full(n, np.uint64(0xFFFFFFFFFFFFFFFF))
+    open_bits = np.full((words, n), np.uint64(0xFFFFFFFFFFFFFFFF))
     for ids in columns:
-        hit = open_bits & masks[ids]
-        open_bits = (open_bits + hit) | (open_bits - hit)
-    low = np.uint64((1 << len(a)) - 1)
-    return np.bitwise_count(~open_bits & low).astype(np.int64)
+        carry = np.zeros(n, np.uint64)
+        for w in range(words):
+            v = open_bits[w]
+            hit = v & masks[w][ids]
+            total = v + hit
+            moved = total + carry
+            carry = ((total < v) | (moved < total)).astype(np.uint64)
+            open_bits[w] = moved | (v - hit)
+    last = len(a) - (words - 1) * WORD
+    closed = ~open_bits
+    closed[-1] &= np.uint64((1 << last) - 1)
+    return np.bitwise_count(closed).sum(axis=0).astype(np.int64)
 
 
 def lcs_length(a: str, b: str) -> int:
@@ -55,8 +78,19 @@ def ratio(a: str, b: str) -> float:
 
 @F.pandas_udf(T.DoubleType())
 def sorted_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratio of two token-sorted names per row; missing names score 0."""
-    return pd.Series([ratio(x, y) if x is not None and y is not None else 0.0 for x, y in zip(a, b)])
+    """Ratio of two token-sorted names per row; missing names score 0. Each distinct first name is scored against all of its partners at once."""
+    out = np.zeros(len(a))
+    there = (a.notna() & b.notna()).to_numpy()
+    rows_of: dict[str, list[int]] = {}
+    for i in np.flatnonzero(there).tolist():
+        rows_of.setdefault(a.iat[i], []).append(i)
+    for name, rows in rows_of.items():
+        partners = b.iloc[rows].tolist()
+        lengths = np.array([len(x) for x in partners])
+        total = len(name) + lengths
+        common = _Names(partners).common(name, np.arange(len(partners))) if name else np.zeros(len(partners))
+        out[rows] = np.where(total > 0, 200.0 * common / np.maximum(total, 1), 100.0)
+    return pd.Series(out)
 
 
 def name_similarity(a: Column, b: Column) -> Column:
@@ -64,89 +98,132 @@ def name_similarity(a: Column, b: Column) -> Column:
     return sorted_ratio(token_sorted(normalise_name(a)), token_sorted(normalise_name(b)))
 
 
-def _numbered_characters(name: Column) -> Column:
-    """Characters with their occurrence number, so repeats stay distinct."""
-    chars = F.split(name, "")
-    return F.transform(
-        chars,
-        lambda c, i: F.concat(c, F.size(F.filter(F.slice(chars, F.lit(1), i + 1), lambda x: x == c)).cast("string")),
-    )
+class _Names:
+    """Names of a group in columns of character ids, to be scored against one name at a time."""
+
+    def __init__(self, names: list[str]):
+        self.alphabet = {c: i for i, c in enumerate(sorted(set("".join(names))))}
+        self.lengths = np.array([len(x) for x in names], np.int64)
+        self.ids = np.full((len(names), int(self.lengths.max(initial=0))), len(self.alphabet), np.int64)
+        for i, x in enumerate(names):
+            self.ids[i, :len(x)] = [self.alphabet[c] for c in x]
+        self.present = np.array([_present(x) for x in names], np.uint64)
+
+    def common(self, a: str, rows: np.ndarray) -> np.ndarray:
+        """LCS of ``a`` with the chosen names."""
+        width = int(self.lengths[rows].max(initial=0))
+        ids = self.ids[rows, :width]
+
+        def masks_of(name: str) -> np.ndarray:
+            masks = np.zeros((-(-len(name) // WORD), len(self.alphabet) + 1), np.uint64)
+            for i, c in enumerate(name):
+                if c in self.alphabet:
+                    masks[i // WORD, self.alphabet[c]] |= np.uint64(1 << i % WORD)
+            return masks
+
+        return lcs_lengths(a, masks_of, [np.ascontiguousarray(ids[:, j]) for j in range(width)], len(rows))
+
+
+def _present(name: str) -> int:
+    """Which characters occur, as 64 bits; characters may share one."""
+    bits = 0
+    for c in set(name):
+        bits |= 1 << ord(c) % 64
+    return bits
+
+
+def numbered(name: str, size: int) -> list[str]:
+    """Runs of ``size`` characters with their occurrence number, so that repeats stay distinct."""
+    seen: Counter = Counter()
+    out = []
+    for i in range(len(name) - size + 1):
+        gram = name[i:i + size]
+        seen[gram] += 1
+        out.append(f"{gram}{seen[gram]}")
+    return out
 
 
-def _indexed(names: DataFrame, rarity: DataFrame, t: float) -> DataFrame:
-    """One row per (name, rare character): the shortest sufficient prefix.
+def _ranked(names: DataFrame, size: int) -> DataFrame:
+    """(offered, name, ranks): a name's numbered runs, rarest among the offered names first, as longs of count and hash."""
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def grams(name: pd.Series) -> pd.Series:
+        return pd.Series([numbered(x, size) for x in name], dtype=object)
 
-    With len n, any partner of ratio t shares at least t*n/(2-t) characters,
-    so one of the n - that + 1 rarest must be shared.
+    each = names.select("offered", "name", F.explode(grams("name")).alias("e"))
+    counts = each.filter("offered").groupBy("e").agg(F.count(F.lit(1)).alias("n"))
+    rank = F.least(F.coalesce("n", F.lit(0)), F.lit((1 << 22) - 1)) * F.lit(1 << 40) + F.pmod(F.xxhash64("e"), F.lit(1 << 40))
+    return each.join(counts, "e", "left").groupBy("offered", "name").agg(F.sort_array(F.collect_list(rank)).alias("ranks"))
+
+
+def shared_runs(length: int, t: float, size: int, shortest: int = 0) -> int:
+    """How many numbered runs a name of ``length`` surely shares with any partner of ratio ``t`` (whose lengths add up to ``shortest`` or more).
+
+    With L common characters, each of the ``length - L`` others takes at most two bigrams along and each of the partner's others one, so
+    3 L - (sum of lengths) - 1 bigrams stay; L is at least t / 2 of the sum.
     """
-    ranked = F.array_sort(
-        F.transform("chars", lambda e: F.struct(F.coalesce(F.col("rarity")[e], F.lit(0)).alias("n"), e.alias("e")))
-    )
-    n = F.size("chars")
-    shared = F.ceil(n * (t / (2 - t)) - 1e-9)
-    return (
-        names.select("name", _numbered_characters(F.col("name")).alias("chars")).join(F.broadcast(rarity))
-        .select("name", F.explode(F.slice(ranked, F.lit(1), (n - shared + 1).cast("int"))).alias("r"))
-        .select("name", F.col("r.e").alias("e"))
-    )
+    partner = math.ceil(length * t / (2 - t) - 1e-9)
+    if size == 1:
+        return partner
+    return max(1, math.ceil((1.5 * t - 1) * max(length + partner, shortest) - 1 - 1e-9))
+
+
+def _prefix(ranked: DataFrame, t: float, size: int, shortest: int) -> DataFrame:
+    """(offered, name, n, rank, prefix), one row per run among a name's rarest few."""
+    @F.pandas_udf(T.IntegerType())
+    def shared(n: pd.Series) -> pd.Series:
+        return n.map(lambda k: shared_runs(int(k), t, size, shortest)).astype("int32")
+
+    n = F.length("name")
+    few = ranked.withColumn("n", n).withColumn("prefix", F.slice("ranks", 1, F.greatest(F.size("ranks") - shared(n) + 1, F.lit(0))))
+    return few.select("offered", "name", "n", F.explode("prefix").alias("rank"), "prefix")
 
 
 def _score_group(t: float):
+    columns = ["name", "ratio", "match", "scored"]
+
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame(columns=columns)
         names = right["name"].to_numpy()
-        lengths = np.array([len(x) for x in names])
-        alphabet = {c: i for i, c in enumerate(sorted(set("".join(names))))}
-        pad = len(alphabet)
-        width = int(lengths.max()) if len(names) else 0
-        ids = np.full((len(names), width), pad, dtype=np.int64)
-        for i, x in enumerate(names):
-            ids[i, : len(x)] = [alphabet[c] for c in x]
-        columns = [np.ascontiguousarray(ids[:, j]) for j in range(width)]
-
-        def masks_of(a: str) -> np.ndarray:
-            masks = np.zeros(pad + 1, dtype=np.uint64)
-            for i, c in enumerate(a):
-                if c in alphabet:
-                    masks[alphabet[c]] |= np.uint64(1 << i)
-            return masks
-
+        group = _Names(names.tolist())
+        rank = left["rank"].iat[0]
+        # runs before this group's own, padded with one that is nowhere
+        earlier = [[r for r in prefix if r < rank] for prefix in right["prefix"]]
+        width = max(map(len, earlier))
+        met = np.full((len(names), width), -1, np.int64)
+        for i, runs in enumerate(earlier):
+            met[i, :len(runs)] = runs
         out = []
-        for a in left["name"]:
+        for a, prefix in zip(left["name"], left["prefix"], strict=True):
             n = len(a)
-            if n <= WORD:
-                common = lcs_lengths(a, masks_of, columns, len(names))
-            else:
-                common = np.array([lcs_length(a, b) for b in names])
-            ratios = 200.0 * common / (n + lengths)
+            least = np.ceil(t * (n + group.lengths) / 2 - 1e-9)
+            own = np.uint64(_present(a))
+            fits = (least <= np.minimum(n, group.lengths)) & (np.bitwise_count(own & ~group.present) <= n - least) & (
+                np.bitwise_count(group.present & ~own) <= group.lengths - least)
+            before = np.array([r for r in prefix if r < rank], np.int64)
+            if width and len(before):
+                fits &= ~np.isin(met, before).any(axis=1)
+            rows = np.flatnonzero(fits)
+            if len(rows) == 0:
+                continue
+            ratios = 200.0 * group.common(a, rows) / (n + group.lengths[rows])
             best = ratios.max()
-            if best >= 100 * t:
-                out.append((a, float(best), min(names[ratios == best])))
-        return pd.DataFrame(out, columns=["name", "ratio", "match"])
+            hit = best >= 100 * t
+            out.append((a, float(best) if hit else None, min(names[rows[ratios == best]]) if hit else None, len(rows)))
+        return pd.DataFrame(out, columns=columns)
 
     return score
 
 
-def best_names(entries: DataFrame, choices: DataFrame, threshold: float) -> DataFrame:
-    """(name, ratio, match) for each distinct entry name with a match.
-
-    Both inputs hold token-sorted names in ``name``. Highest ratio wins, then
-    the first name in alphabetical order.
-    """
-    t = threshold / 100.0
-    wanted = entries.select("name").filter("name <> ''").distinct()
-    offered = choices.select("name").filter("name <> ''").distinct()
-    equal = wanted.join(offered, "name", "left_semi").select("name", F.lit(100.0).alias("ratio"), F.col("name").alias("match"))
-    rest = wanted.join(offered, "name", "left_anti")
-    # distinct numbered characters: bounded by alphabet x name length
-    rarity = (
-        offered.select(F.explode(_numbered_characters(F.col("name"))).alias("e")).groupBy("e")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .agg(F.map_from_entries(F.collect_list(F.struct("e", "n"))).alias("rarity"))
+def _round(prefixes: DataFrame, t: float) -> DataFrame:
+    """(name, ratio, match, scored): the best offered name of every entry that meets any, and how many pairs were scored."""
+    reach = F.sequence((F.floor(F.col("n") * t / (2 - t)) / LENGTHS).cast("int"), (F.ceil(F.col("n") * (2 - t) / t) / LENGTHS).cast("int"))
+    l = prefixes.filter("not offered").select("rank", "name", "prefix", F.explode(reach).alias("bucket"))
+    r = prefixes.filter("offered").toDF(*prefixes.columns).select("rank", "name", "prefix", (F.col("n") / LENGTHS).cast("int").alias("bucket"))
+    at = ["rank", "bucket"]
+    parts = l.groupBy(*at).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("lp")).join(
+        r.groupBy(*at).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("rp")), at
     )
-    left, right = _indexed(rest, rarity, t), _indexed(offered, rarity, t)
-    # one row per character on both count tables
-    left_parts = F.broadcast(left.groupBy("e").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("lp")))
-    right_parts = F.broadcast(right.groupBy("e").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("rp")))
 
     def part(n: str) -> Column:
         return F.pmod(F.xxhash64("name"), F.col(n)).cast("int")
@@ -154,14 +231,60 @@ def best_names(entries: DataFrame, choices: DataFrame, threshold: float) -> Data
     def every(n: str) -> Column:
         return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
 
-    l = left.join(left_parts, "e").join(right_parts, "e").select("e", "name", part("lp").alias("lp"), every("rp").alias("rp"))
-    r = right.join(left_parts, "e").join(right_parts, "e").select("e", "name", part("rp").alias("rp"), every("lp").alias("lp"))
-    keys = ("e", "lp", "rp")
-    near = l.groupBy(*keys).cogroup(r.groupBy(*keys)).applyInPandas(
-        _score_group(t), "name string, ratio double, match string"
+    l = l.join(parts, at).select(*at, "name", "prefix", part("lp").alias("lp"), every("rp").alias("rp"))
+    r = r.join(parts, at).select(*at, "name", "prefix", part("rp").alias("rp"), every("lp").alias("lp"))
+    keys = (*at, "lp", "rp")
+    near = l.groupBy(*keys).cogroup(r.groupBy(*keys)).applyInPandas(_score_group(t), "name string, ratio double, match string, scored long")
+    top = near.groupBy("name").agg(
+        F.min(F.when(F.col("ratio").isNotNull(), F.struct((-F.col("ratio")).alias("r"), "match"))).alias("b"), F.sum("scored").alias("scored")
     )
-    top = near.groupBy("name").agg(F.min(F.struct((-F.col("ratio")).alias("r"), "match")).alias("b"))
-    return equal.unionByName(top.select("name", (-F.col("b.r")).alias("ratio"), "b.match"))
+    return top.select("name", (-F.col("b.r")).alias("ratio"), "b.match", "scored")
+
+
+def searched_names(entries: DataFrame, choices: DataFrame, threshold: float) -> DataFrame:
+    """(name, ratio, match, scored) of all rounds: found names have a ratio; ``scored`` counts the pairs looked at closely."""
+    last = threshold / 100.0
+    names = materialize(
+        entries.select(F.lit(False).alias("offered"), "name").filter("name <> ''").distinct().unionByName(
+            choices.select(F.lit(True).alias("offered"), "name").filter("name <> ''").distinct()), "match-names",
+    )
+    wanted, offered = names.filter("not offered"), names.filter("offered")
+    equal = wanted.join(offered.select("name"), "name", "left_semi").select("name", F.lit(100.0).alias("ratio"), F.col("name").alias("match"), F.lit(0).cast("long").alias("scored"))
+    found = materialize(equal, "match-found")
+    open_names = materialize(wanted.join(found.select("name"), "name", "left_anti").select("name"), "match-open")
+    ranked = {}
+    for t in [*(x for x in ROUNDS if x > last), last]:
+        if open_names.isEmpty():
+            break
+        if t >= _LEAST_BIGRAM:
+            shortest = math.ceil(2 / (1.5 * t - 1))
+            searches = [(2, F.lit(True), shortest), (1, F.length("name") < shortest, 0)]
+        else:
+            searches = [(1, F.lit(True), 0)]
+        results = None
+        for size, chosen, shortest in searches:
+            if size not in ranked:
+                ranked[size] = materialize(_ranked(names, size), "match-ranked")
+            some = ranked[size].filter(chosen)
+            asked = some.filter("not offered").join(open_names, "name", "left_semi").unionByName(some.filter("offered"), allowMissingColumns=True)
+            got = _round(_prefix(asked.select("offered", "name", "ranks"), t, size, shortest), t)
+            results = got if results is None else results.unionByName(got)
+        best = results.groupBy("name").agg(
+            F.min(F.when(F.col("ratio").isNotNull(), F.struct((-F.col("ratio")).alias("r"), "match"))).alias("b"), F.sum("scored").alias("scored")
+        )
+        landed = materialize(best.select("name", (-F.col("b.r")).alias("ratio"), "b.match", "scored"), "match-round")
+        found = found.unionByName(landed)
+        open_names = materialize(open_names.join(landed.filter("ratio is not null"), "name", "left_anti"), "match-open")
+    return found
+
+
+def best_names(entries: DataFrame, choices: DataFrame, threshold: float) -> DataFrame:
+    """(name, ratio, match) for each distinct entry name with a match.
+
+    Both inputs hold token-sorted names in ``name``. Highest ratio wins, then
+    the first name in alphabetical order.
+    """
+    return searched_names(entries, choices, threshold).filter("ratio is not null").select("name", "ratio", "match")
 
 
 def match_releases(releases: DataFrame, master: DataFrame, threshold: float = 82.0) -> DataFrame:

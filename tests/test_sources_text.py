@@ -1,6 +1,7 @@
 import datetime as dt
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -205,6 +206,60 @@ def test_best_names_equal_brute_force(spark, threshold, monkeypatch):
     assert got == expected
 
 
+def test_scored_pairs_do_not_grow_with_the_master(spark):
+    import random
+
+    rng = random.Random(5)
+    syllables = [a + b for a in "bcdfghklmnprstvz" for b in "aeiou"]
+
+    def name():
+        return " ".join(sorted("".join(rng.choice(syllables) for _ in range(rng.randint(2, 5))) for _ in range(rng.randint(1, 3))))
+
+    master = sorted({name() for _ in range(8000)})
+    asked = sorted({x[:5] + "q" + x[6:] for x in rng.sample([m for m in master[:1000] if len(m) > 9], 150)})
+    entries = spark.createDataFrame([(x,) for x in asked], "name string")
+    per_entry = []
+    for size in (2000, 8000):
+        offered = spark.createDataFrame([(x,) for x in master[:1000] + master[1000:size]], "name string")
+        out = match.searched_names(entries, offered, 82.0).collect()
+        assert {r["name"] for r in out if r["ratio"] is not None} == set(asked)
+        per_entry.append(sum(r["scored"] for r in out) / len(asked))
+    assert per_entry[1] < 2 * per_entry[0] and per_entry[1] < 0.01 * len(master), per_entry
+
+
+@pytest.mark.parametrize("t", [0.72, 0.82, 0.9])
+def test_shared_runs_is_a_lower_bound(t):
+    import random
+
+    rng = random.Random(int(t * 100))
+    for _ in range(400):
+        a = "".join(rng.choice("abcd ") for _ in range(rng.randint(1, 24)))
+        b = list(a)
+        for _ in range(rng.randint(0, 5)):
+            if b and rng.random() < 0.5:
+                del b[rng.randrange(len(b))]
+            else:
+                b.insert(rng.randint(0, len(b)), rng.choice("abcd "))
+        b = "".join(b)
+        if not b or 2 * lcs(a, b) < t * (len(a) + len(b)):
+            continue
+        for size in (1, 2):
+            common = len(set(match.numbered(a, size)) & set(match.numbered(b, size)))
+            shortest = 0 if size == 1 else int(np.ceil(2 / (1.5 * t - 1)))
+            if len(a) + len(b) >= shortest:
+                assert common >= match.shared_runs(len(a), t, size, shortest) or size == 2 and len(a) + len(b) < shortest
+
+
+def test_long_names_take_several_words(spark):
+    import random
+
+    rng = random.Random(9)
+    for n in (63, 64, 65, 128, 190):
+        a = "".join(rng.choice("abcdef") for _ in range(n))
+        others = ["".join(rng.choice("abcdef") for _ in range(rng.randint(1, 200))) for _ in range(20)] + [a, a[::-1]]
+        assert match._Names(others).common(a, np.arange(len(others))).tolist() == [lcs(a, b) for b in others]
+
+
 def test_seed_resolution(spark):
     master = spark.createDataFrame([("0000000001", "ACI", "Albertsons Companies"), ("0000000002", "GE", "General Electric Co")], "cik string, ticker string, title string")
     filers = spark.createDataFrame([("0000000003", "ARCH COAL INC /DE/SIC:1220- COAL", ["10-K405"]), ("0000000004", "ARCH COAL INC", ["8-K"])], "cik string, title string, forms array<string>")
