@@ -102,9 +102,9 @@ _COMMON = (("amp", "&"), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("nbsp", " "),
 
 
 def _entity_map() -> Column:
-    """All named entities as one literal map, from the standard table of names."""
-    names = sorted(n[:-1] for n in html5 if n.endswith(";"))
-    return F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.array(*[F.lit(" " if n == "nbsp" else html5[n + ";"]) for n in names]))
+    """All named entities as one map, built once per task from a single literal of the standard table of names."""
+    pairs = (f"{name[:-1]}\x02{' ' if name == 'nbsp;' else value}" for name, value in sorted(html5.items()) if name.endswith(";"))
+    return F.str_to_map(F.lit("\x01".join(pairs)), F.lit("\x01"), F.lit("\x02"))
 
 
 def _entity(body: Column) -> Column:

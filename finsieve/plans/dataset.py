@@ -15,9 +15,16 @@ from finsieve.session import materialize
 from finsieve.sources import facts as fx
 from finsieve.sources import masters, sinks
 
-def long_facts(docs: DataFrame, profile: str = "bulk", tag_policy: str = "per_company", as_of: str | None = None) -> DataFrame:
-    """(cik, concept, year, value, company_name) of every company in ``docs``."""
-    concepts = fx.PROFILES[profile]
+
+def long_facts(
+    docs: DataFrame, profile: str = "bulk", tag_policy: str = "per_company", as_of: str | None = None,
+    concepts: dict[str, list[str]] | None = None,
+) -> DataFrame:
+    """(cik, concept, year, value, company_name) of every company in ``docs``.
+
+    ``concepts`` maps a concept to its tags, most preferred first, in place of the profile's own; ``docs`` must have been read with them.
+    """
+    concepts = fx.PROFILES[profile] if concepts is None else concepts
     readable, _ = fx.split_rejects(docs)
     annual = fx.annual(fx.observations(readable, concepts), profile)
     return ingest.pick_tags(ingest.latest_filed(annual, as_of), tag_policy)
@@ -102,7 +109,8 @@ def fraud_labels(
             F.make_date("year", F.lit(12), F.lit(31)).alias("fraud_date"), F.lit(100.0).alias("match_score"),
         )
     if releases is not None and master is not None:
-        parsed = parse_releases(releases)
+        # texts are taken apart once: the test, and both sides of the name join, read the result
+        parsed = materialize(parse_releases(releases), "parsed-releases")
         if not parsed.isEmpty():
             return match.match_releases(parsed, master)
     if seeds is None or master is None or filers is None:
@@ -125,19 +133,20 @@ def build(
     firm_years: DataFrame | None = None,
     min_years: int = 3,
     version: str | None = None,
+    concepts: dict[str, list[str]] | None = None,
 ) -> dict[str, DataFrame]:
     """Filings to labelled dataset, each stage landed under ``out``.
 
     ``version`` names this run's folder of the augmented table; without it each
-    run takes a new one. ``rejects`` are the documents that could not be read,
+    run takes a new one. ``concepts`` replaces the concept map. ``rejects`` are the documents that could not be read,
     ``fetch_status`` counts the wanted tickers by outcome.
     """
-    docs = fx.read_facts(spark, facts_path)
+    docs = fx.read_facts(spark, facts_path, fx.BULK if concepts is None else concepts)
     master = masters.read_master(spark, master_path)
     _, bad = fx.split_rejects(docs)
     rejects = sinks.write_table(bad.select("file", "cik", F.col("_corrupt").alias("content")), f"{out}/rejected_documents")
     # the corpus is taken apart once; the raw table and its additions both read the result
-    every = sinks.write_table(long_facts(docs), f"{out}/long_facts")
+    every = sinks.write_table(long_facts(docs, concepts=concepts), f"{out}/long_facts")
     companies = master if tickers is None else ingest.restrict_to(master, tickers)
     raw = sinks.write_table(
         ingest.min_years(ingest.with_ticker(every, companies), min_years), f"{out}/raw_financials"

@@ -158,9 +158,10 @@ def observations(
         )
         for concept, tags in concepts.items() for priority, tag in enumerate(tags)
     ])
-    per_tag = docs.select("cik", F.col("entityName").alias("company_name"), F.explode(entries).alias("e"))
+    # tags a document does not hold go before they become rows
+    held = F.filter(entries, lambda e: e["obs"].isNotNull())
     return (
-        per_tag.filter("e.obs is not null")
+        docs.select("cik", F.col("entityName").alias("company_name"), F.explode(held).alias("e"))
         .select("cik", "company_name", "e.concept", "e.priority", "e.tag", F.explode("e.obs").alias("o"))
         .select("cik", "company_name", "concept", "priority", "tag", "o.*")
     )

@@ -1,33 +1,36 @@
 """Incremental refresh: newly landed filings update the reports they touch.
 
-Observations land in an append-only store, one folder per micro-batch and
-company bucket. A replayed batch overwrites its own folder, and observations
-repeat-safe on (cik, tag, start, end, accn, filed), so a batch may run again
-after a failure. Only companies of the batch are recomputed; only their buckets
-are read.
+Observations and reports live in keyed stores (see :mod:`finsieve.streaming.store`): the newest observation per company, tag,
+period and form, and the newest report per company. A batch may run again after a failure. Only companies of the batch are
+recomputed, and only their buckets are read, in a number of files that does not grow with the number of batches.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from finsieve.functions.text import pad_cik
 from finsieve.operators import ingest
 from finsieve.operators.panel import company_year, history
 from finsieve.operators.scores import company_signals
-from finsieve.functions.text import pad_cik
 from finsieve.plans.report import header
+from finsieve.session import materialize
 from finsieve.sources import facts as fx
+from finsieve.streaming.store import Store
+
+KEY = ("cik", "concept", "priority", "tag", "start", "end", "form")
 
-BUCKETS = 256
-KEY = ("cik", "concept", "priority", "tag", "start", "end", "accn", "filed")
 
+def observation_store(spark: SparkSession, store: str) -> Store:
+    return Store(spark, store, KEY, ("filed", "val"))
 
-def bucket_of(cik: Column) -> Column:
-    return F.pmod(F.xxhash64(cik), F.lit(BUCKETS)).cast("int")
+
+def report_store(spark: SparkSession, reports: str) -> Store:
+    return Store(spark, reports, ("cik",), ("batch",))
 
 
 def read_stream(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
@@ -39,26 +42,21 @@ def read_stream(spark: SparkSession, path: str, max_files: int = 1000) -> DataFr
     )
 
 
-def land(batch: DataFrame, batch_id: int, store: str) -> list[int]:
-    """Writes the batch's observations; returns the company buckets it touches.
+def land(batch: DataFrame, batch_id: int, store: str) -> tuple[DataFrame, list[int]]:
+    """Lands the batch's observations; returns its companies and the buckets they are in.
 
     The key falls back to the digits of the file name, as in the batch reader.
     Files that cannot be read land in ``<store>-rejects``.
     """
     readable, bad = fx.split_rejects(batch.withColumn("cik", pad_cik(fx.company_key("file"))))
     bad.select("file", F.col("_corrupt").alias("content")).write.mode("overwrite").parquet(f"{store}-rejects/batch={batch_id}")
-    obs = fx.observations(readable, fx.SINGLE).withColumn("bucket", bucket_of(F.col("cik")))
-    # one shuffle by bucket bounds the number of files per batch
-    obs.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{store}/batch={batch_id}")
-    landed = batch.sparkSession.read.parquet(f"{store}/batch={batch_id}")
-    return [r["bucket"] for r in landed.select("bucket").distinct().collect()]
-
-
-def refresh(spark: SparkSession, store: str, batch_id: int, buckets: list[int], master: DataFrame) -> DataFrame:
-    """Report header of every company in the batch, from all its observations."""
-    everything = spark.read.parquet(store).filter(F.col("bucket").isin(buckets))
-    touched = everything.filter(F.col("batch") == batch_id).select("cik").distinct()
-    mine = everything.join(touched, "cik", "left_semi").filter(F.col("batch") <= batch_id).dropDuplicates(list(KEY) + ["val", "form"])
+    obs = materialize(fx.observations(readable, fx.SINGLE), "stream-batch")
+    return obs.select("cik").distinct(), observation_store(batch.sparkSession, store).append(obs, batch_id)
+
+
+def refresh(spark: SparkSession, store: str, companies: DataFrame, buckets: list[int], master: DataFrame) -> DataFrame:
+    """Report header of the given companies, from all their observations."""
+    mine = observation_store(spark, store).read(buckets).join(companies, "cik", "left_semi")
     annual = fx.annual(mine, "single")
     long = ingest.with_ticker(ingest.pick_tags(ingest.latest_filed(annual)), master)
     return header(company_signals(history(company_year(long))))
@@ -67,11 +65,12 @@ def refresh(spark: SparkSession, store: str, batch_id: int, buckets: list[int],
 def run_batch(master: Callable[[SparkSession], DataFrame], store: str, reports: str) -> Callable[[DataFrame, int], None]:
     def process(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        buckets = land(batch, batch_id, store)
+        companies, buckets = land(batch, batch_id, store)
         if buckets:
-            refresh(spark, store, batch_id, buckets, master(spark)).write.mode("overwrite").parquet(
-                f"{reports}/batch={batch_id}"
-            )
+            made = refresh(spark, store, companies, buckets, master(spark)).withColumn("batch", F.lit(batch_id).cast("long"))
+            report_store(spark, reports).append(made, batch_id)
+        for kept in (observation_store(spark, store), report_store(spark, reports)):
+            kept.fold()
 
     return process
 
@@ -89,6 +88,4 @@ def start(
 
 def current_reports(spark: SparkSession, reports: str) -> DataFrame:
     """Newest report of every company."""
-    rows = spark.read.parquet(reports)
-    columns = [c for c in rows.columns if c not in ("cik", "batch")]
-    return rows.groupBy("cik").agg(F.max_by(F.struct(*columns), "batch").alias("r")).select("cik", "r.*")
+    return report_store(spark, reports).read().drop("batch")

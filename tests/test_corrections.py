@@ -11,7 +11,7 @@ from finsieve.functions import text as tx
 from finsieve.operators import flags, labels as lab, panel as pan, ranking as rk, scores as sc, smote
 from finsieve.plans import dataset, evaluation as ev
 from finsieve.sources import masters, pages, sinks
-from finsieve.streaming import refresh
+from finsieve.streaming import refresh, store
 from tests.test_panel import LONG, long_rows
 
 
@@ -144,6 +144,56 @@ def test_results_are_written_and_read_back(spark, tmp_path):
     assert sinks.write_version(table, str(tmp_path / "v"), "1").count() == sinks.write_version(table, str(tmp_path / "v"), "2").count() == 2
 
 
+def test_a_writer_that_dies_leaves_the_earlier_version(spark, tmp_path):
+    path = str(tmp_path / "table")
+    first = spark.range(5).toDF("x")
+    sinks.write_table(first, path)
+    broken = spark.range(1000, 1100).select(F.when(F.col("id") == 1090, F.raise_error(F.lit("lost"))).otherwise(F.col("id")).alias("x")).repartition(4)
+    for write in (sinks.write_table, lambda df, p: sinks.write_labels(df, p + "-csv"), lambda df, p: sinks.write_results({"r": df}, p + "-json")):
+        write(first, path)
+        with pytest.raises(Exception, match="lost"):
+            write(broken, path)
+    assert sorted(r["x"] for r in sinks.read_table(spark, path).collect()) == list(range(5))
+    assert spark.read.option("header", True).csv(path + "-csv").count() == spark.read.json(path + "-json/r").count() == 5
+    # a table may be replaced by rows read from it
+    again = sinks.write_table(sinks.read_table(spark, path).filter("x > 2"), path)
+    assert sorted(r["x"] for r in again.collect()) == [3, 4] == sorted(r["x"] for r in sinks.read_table(spark, path).collect())
+    with pytest.raises(FileNotFoundError):
+        sinks.read_table(spark, str(tmp_path / "nothing"))
+
+
+def test_store_folds_and_reads_few_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "FOLD_AFTER", 3)
+    monkeypatch.setattr(store, "PER_BUCKET", 1)
+    kept = store.Store(spark, str(tmp_path / "store"), ("cik", "tag"), ("filed",))
+    expected, files = {}, []
+    for batch in range(11):
+        rows = [(f"c{k % 40}", f"t{k % 3}", batch, float(batch * 100 + k)) for k in range(batch, batch + 30)]
+        frame = spark.createDataFrame(rows, "cik string, tag string, filed int, val double")
+        for _ in range(2 if batch % 4 == 1 else 1):  # some batches are replayed
+            touched = kept.append(frame, batch)
+        best = {}
+        for cik, tag, filed, val in rows:
+            best[cik, tag] = max(best.get((cik, tag), (-1, -1.0)), (filed, val))
+        expected |= best
+        files.append(len(kept.files_of(touched[:1])))
+        assert {(r["cik"], r["tag"]): (r["filed"], r["val"]) for r in kept.read().collect()} == expected
+        kept.fold()
+        assert {(r["cik"], r["tag"]): (r["filed"], r["val"]) for r in kept.read().collect()} == expected
+    assert max(files) <= 1 + 3 and kept.state()["buckets"] > store.LEAST_BUCKETS
+    kept.append(spark.createDataFrame([("c1", "t1", 0, -1.0)], "cik string, tag string, filed int, val double"), 2)  # long since folded
+    assert {(r["cik"], r["tag"]): (r["filed"], r["val"]) for r in kept.read().collect()} == expected
+
+
+def test_build_takes_the_callers_concepts(spark, tmp_path):
+    folder = tmp_path / "facts"
+    folder.mkdir()
+    (folder / "0000000042.json").write_text(json.dumps(_document(42, "Acme")))
+    docs = dataset.fx.read_facts(spark, str(folder), {"size": ["Nothing", "Assets"], "sales": ["Revenues"]})
+    got = dataset.long_facts(docs, concepts={"size": ["Nothing", "Assets"], "sales": ["Revenues"]})
+    assert {(r["concept"], r["year"], r["value"]) for r in got.collect()} == {(c, y, 5.0) for c in ("size", "sales") for y in (2018, 2019)}
+
+
 def test_landed_tables_can_be_dropped(spark):
     landed = session.materialize(spark.range(3).toDF("x"), "probe")
     folder = landed.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
