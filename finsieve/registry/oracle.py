@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
 from finsieve.operators import features as fea
+from finsieve.operators.models import FEATURE_LABELS
 from finsieve.operators.panel import GROWTH, RATIOS
 from finsieve.sources.facts import BULK, SINGLE
 from finsieve.sources.sample import CONCEPTS
@@ -656,6 +659,22 @@ part as (select cik, year, f1 as f, value * (o1 - z1) as phi from step where f0
          union all select cik, year, f0, value * (o0 - z0) * (z1 + o1) / 2 from step where f0 <> f1)"""
 
 
+def _facts_panel() -> str:
+    """Company-years as the single profile reads them from filings, under the names of the panel."""
+    # table names of their own, as the report has an fl as well
+    picked = re.sub(r"\b(fo|fa|fl|fb)\b", r"q\1", _facts("single").rsplit("select cik, company_name, concept", 1)[0])
+    held = ", ".join(
+        f"max(case when concept = '{c}' then val end)::double as {c}" if c in SINGLE else f"null::double as {c}" for c in CONCEPTS)
+    return f"""{picked},
+cy as (select cik, 'T' || cast(cast(cik as bigint) as varchar) as ticker, min(company_name) as company_name, year, {held}
+       from qfb where priority = best group by cik, year)"""
+
+
+FACTS_PANEL = _facts_panel()
+_NO_CAPS = "from customer where c_acctbal > 0"
+_LABELS_OF = "(values " + ", ".join("('" + k + "', '" + v.replace("'", "''") + "')" for k, v in FEATURE_LABELS.items()) + ") as t(feature, label)"
+
+
 def _w(ctes: str, body: str) -> str:
     return f"with {ctes.strip()}\n{body}"
 
@@ -832,8 +851,44 @@ SQL: dict[str, str] = {
         from nodes left join names using (f)"""),
     "boost_margins": _w(TREE, "select cik, year, round(value, 6) as margin from fell join nodes using (node)"),
     "tree_attribution": _w(PATHS, "select cik, year, feature, round(sum(phi), 6) as phi from part join names using (f) group by cik, year, feature"),
+    "stored_tree": _w(TREE, "select cik, year, round(value, 6) as margin from fell join nodes using (node)"),
+    "tree_importance": _w(PATHS, f"""select row_number() over (order by mean_shap desc, feature) as rank, feature, label, round(mean_shap, 5) as mean_shap from (
+        select n.feature, coalesce(m.mean, 0) as mean_shap from names n left join (
+          select f, sum(abs(phi)) / (select count(*) from tx) as mean from (select cik, year, f, sum(phi) as phi from part group by all) group by f) m using (f))
+        join {_LABELS_OF} using (feature) order by mean_shap desc, feature limit 20"""),
+    "tree_top3": _w(PATHS, f"""select cik, year, label as name, feature as feature_key, round(phi, 4) as shap_value, round(z, 4) as feature_val,
+          case when phi > 0 then 'increases_risk' else 'decreases_risk' end as direction, printf('%.1f', abs(phi) * 100) || '%' as impact_pct
+        from (select *, row_number() over (partition by cik, year order by abs(phi) desc, f) as place from (
+          select t.cik, t.year, n.f, n.feature, t.v[n.f] as z, coalesce(p.phi, 0) as phi from tx t cross join names n left join (
+            select cik, year, f, sum(phi) as phi from part group by all) p on p.cik = t.cik and p.year = t.year and p.f = n.f))
+        join {_LABELS_OF} using (feature) where place <= 3"""),
+    "feature_names": _w(FEATURES + ",\ncomp as (select " + ", ".join(f"round(count({c}) * 100.0::double / count(*), 6) as {c}" for c in fea.FEATURES) + " from fe)",
+                        "select feature, coalesce(label, feature) as label, pct from (unpivot comp on " + ", ".join(fea.FEATURES) + f""" into name feature value pct)
+                         left join {_LABELS_OF} using (feature)"""),
+    "stored_raw": _w("rawf as (with " + _facts("bulk").strip() + ")", """select cik, 'T' || cast(cast(cik as bigint) as varchar) as ticker, company_name, year, concept, value
+        from rawf where cast(cik as bigint) % 3 = 0 and value > 0 and cik in (select cik from rawf group by cik having count(distinct year) >= 3)"""),
+    "stored_version": _w(PANEL + "," + LONG, "select cik, ticker, company_name, year, concept, value from raw"),
+    "stored_features": _family(fea.RATIO),
+    "stored_labelled": _w(LABELLED, "select cik, year, label, label_type from lab"),
+    "label_file": _w(FRAUD, "select cik, ticker, company_name, aaer_no, fraud_date, 100.0::double as match_score from fraud"),
+    "results_file": _w(FEATURES + ",\ncomp as (select " + ", ".join(f"round(count({c}) * 100.0::double / count(*), 6) as {c}" for c in fea.FEATURES) + " from fe)",
+                       "select feature, pct from (unpivot comp on " + ", ".join(fea.FEATURES) + " into name feature value pct)"),
+    "seed_labels": """select cast(row_number() over (order by n_nationkey) - 1 as int) as seed_no, n_name as company_name, cast(1990 + n_nationkey as int) as year,
+        null::varchar as ticker, make_date(cast(1990 + n_nationkey as int), 12, 31) as fraud_date from nation""",
+    "column_tolerance": _w(PANEL, "select cik, year, cash, null::double as inventory, 1.5::double as goodwill from cy"),
+    "revenue_change": _w(PANEL, f"select cik, year, round((revenue - lag(revenue) over ({W})) / nullif(abs(lag(revenue) over ({W})), 0), 6) as change from cy"),
+    "single_profile": _w(FACTS_PANEL, f"select cik, ticker, company_name, year, {', '.join(CONCEPTS)} from cy"),
+    "fraud_label_sources": _w(SEED_RESOLVE, f"""select 'firm_years' as source, cik, '' as ticker, '' as company_name, null::int as aaer_no,
+          make_date(min(year), 12, 31) as fraud_date, 100.0::double as match_score from (
+            select {cik('o_custkey')} as cik, cast(year(o_orderdate) as int) as year from orders where o_totalprice > 300000) group by cik
+        union all select 'seeds', cik, ticker, company_name, null, bankruptcy_date, match_score from (
+          select *, row_number() over (partition by cik order by seed_no) as rn from every) where rn = 1"""),
+    "stream_refresh": None,
     "smote_rows": _w(SMOTE, """select cik, year, copy, nb, round(gap, 6) as gap, round(v[1] + gap * (z[1] - v[1]), 6) as f_current_ratio
         from drawn join near using (cik, year, nb)"""),
     "name_normalise": f"""select c_custkey, {_clean(_NOISY)} as clean, {_norm(_clean(_NOISY))} as name,
         array_to_string(list_sort(string_split({_norm("('the Zeta ' || " + _NOISY + ")")}, ' ')), ' ') as sorted_name from customer""",
 }
+
+# the report of the panel, over what the stream's filings say and without market values
+SQL["stream_refresh"] = SQL["report_header"].replace(PANEL.strip(), FACTS_PANEL.strip()).replace(_NO_CAPS, _NO_CAPS + " and false")

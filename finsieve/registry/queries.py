@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,10 +18,12 @@ from finsieve.operators import scores as sc
 from finsieve.operators.quantiles import exact_quantiles
 from finsieve.plans import evaluation as ev
 from finsieve.plans import report as rpt
+from finsieve.plans import dataset
 from finsieve.plans.dataset import parse_releases
-from finsieve.session import materialize
+from finsieve.session import materialize, shared_dir
 from finsieve.sources import facts as fx
-from finsieve.sources import masters, pages as pg, sample
+from finsieve.sources import masters, pages as pg, sample, sinks
+from finsieve.streaming import refresh
 
 CUTOFF = 1999
 
@@ -575,7 +579,7 @@ def name_match(spark, d):
     return match.match_releases(_accused(spark, d), master)
 
 
-def seed_resolve(spark, d):
+def _seed_tables(spark: SparkSession, d: str, date: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     customers = sample.table(spark, d, "customer")
     key = F.col("c_custkey")
     master = customers.select(
@@ -589,9 +593,109 @@ def seed_resolve(spark, d):
     seeds = customers.filter("c_custkey % 37 = 0").select(
         key.alias("seed_no"), F.col("c_name").alias("company_name"),
         F.when(key % 2 == 0, F.concat(F.lit("t"), key.cast("string"))).otherwise(F.lit("GONE")).alias("ticker"),
-        F.make_date((F.lit(1999) + key % 3).cast("int"), F.lit(6), F.lit(15)).alias("bankruptcy_date"),
+        F.make_date((F.lit(1999) + key % 3).cast("int"), F.lit(6), F.lit(15)).alias(date),
+    )
+    return seeds, master, filers
+
+
+def seed_resolve(spark, d):
+    return match.resolve_seeds(*_seed_tables(spark, d, "bankruptcy_date"), "bankruptcy_date")
+
+
+# tables written and read back ----------------------------------------------------------------
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _companies(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as a ticker master."""
+    return sample.table(spark, d, "customer").select(
+        sample.cik_of("c_custkey").alias("cik"), F.concat(F.lit("T"), F.col("c_custkey").cast("string")).alias("ticker"), F.col("c_name").alias("title"),
+    )
+
+
+def stored_raw(spark, d):
+    """The raw table of every third company, first written with other rows, then replaced."""
+    docs = fx.parse_facts(facts_documents(spark, d), concepts=fx.BULK)
+    listed = sample.table(spark, d, "customer").filter("c_custkey % 3 = 0").select(F.concat(F.lit(" t"), F.col("c_custkey").cast("string")).alias("ticker"))
+    path = _folder(spark, "stored-raw")
+    raw = sinks.write_table(dataset.raw_table(docs, _companies(spark, d), listed, 3), path)
+    sinks.write_table(raw.filter("value > 0"), path, "concept")
+    return sinks.read_table(spark, path).select("cik", "ticker", "company_name", "year", "concept", "value")
+
+
+def stored_version(spark, d):
+    path = _folder(spark, "stored-version")
+    long = sample.raw_financials(spark, d)
+    first = sinks.write_version(long.filter("year < 1996"), path, "1")
+    return sinks.write_version(first.unionByName(long.filter("year >= 1996")), path, "2")
+
+
+def stored_features(spark, d):
+    return rounded(sinks.write_table(_features(spark, d), _folder(spark, "stored-features")).select("cik", "year", *fea.RATIO))
+
+
+def stored_labelled(spark, d):
+    return sinks.write_table(_labelled(spark, d), _folder(spark, "stored-labelled")).select("cik", "year", "label", "label_type")
+
+
+def label_file(spark, d):
+    path = _folder(spark, "labels")
+    sinks.write_labels(sample.fraud_labels(spark, d), path)
+    return masters.read_labels(spark, path).select("cik", "ticker", "company_name", "aaer_no", "fraud_date", "match_score")
+
+
+def results_file(spark, d):
+    path = _folder(spark, "results")
+    sinks.write_results({"completeness": fea.completeness(_features(spark, d))}, path)
+    return rounded(spark.read.schema("feature string, pct double").json(f"{path}/completeness"))
+
+
+def seed_labels(spark, d):
+    """Nations (a list of fixed size) as a caller's seed list."""
+    nations = sample.table(spark, d, "nation").orderBy("n_nationkey").select("n_name", "n_nationkey").collect()
+    return masters.seed_table(spark, [(r["n_name"], 1990 + r["n_nationkey"], None) for r in nations], "fraud_date", 12, 31)
+
+
+def column_tolerance(spark, d):
+    """A caller's frame without two of the concepts: an absent one is null, or the default given."""
+    given = sample.company_panel(spark, d).drop("inventory", "goodwill")
+    goodwill = pan.col_or_null(given, "goodwill", 1.5).alias("goodwill")
+    return pan.with_columns_or_null(given, ("cash", "inventory")).select("cik", "year", "cash", "inventory", goodwill)
+
+
+def revenue_change(spark, d):
+    before = F.lag("revenue").over(Window.partitionBy("cik").orderBy("year"))
+    return sample.company_panel(spark, d).select("cik", "year", F.round(num.pct_change(F.col("revenue"), before), 6).alias("change"))
+
+
+def single_profile(spark, d):
+    docs = fx.parse_facts(facts_documents(spark, d), concepts=fx.SINGLE)
+    return dataset.financial_data(docs, _companies(spark, d))
+
+
+def fraud_label_sources(spark, d):
+    """Enforcement labels from firm-years, and from seeds where there are none."""
+    firm = masters.normalise_firm_years(sample.table(spark, d, "orders").select(
+        F.col("o_custkey").alias("cik"), F.year("o_orderdate").alias("year"), (F.col("o_totalprice") > 300000).cast("int").alias("misstate")
+    ))
+    seeds, master, filers = _seed_tables(spark, d, "fraud_date")
+    wanted = ["cik", "ticker", "company_name", "aaer_no", "fraud_date", "match_score"]
+    return dataset.fraud_labels(firm).select(F.lit("firm_years").alias("source"), *wanted).unionByName(
+        dataset.fraud_labels(firm.limit(0), None, master, seeds, filers).select(F.lit("seeds").alias("source"), *wanted)
     )
-    return match.resolve_seeds(seeds, master, filers, "bankruptcy_date")
+
+
+def stream_refresh(spark, d):
+    """Reports after two batches of filings and a replay of the second."""
+    docs = materialize(facts_documents(spark, d).withColumn("half", F.pmod(F.xxhash64("json"), F.lit(2))), "stream-documents")
+    store, reports = _folder(spark, "stream-store"), _folder(spark, "stream-reports")
+    process = refresh.run_batch(lambda session: _companies(session, d), store, reports)
+    for batch, half in ((0, 0), (1, 1), (1, 1)):
+        parsed = fx.parse_facts(docs.filter(F.col("half") == half).select("json"), concepts=fx.SINGLE)
+        process(parsed.withColumn("file", F.lit(None).cast("string")), batch)
+    return rounded(refresh.current_reports(spark, reports))
 
 
 # learning --------------------------------------------------------------------------------
@@ -667,6 +771,33 @@ def tree_attribution(spark, d):
     return shown.unpivot(["cik", "year"], [fea.TRAINED[f] for f in used], "feature", "phi").withColumn("phi", F.round("phi", 6))
 
 
+def stored_tree(spark, d):
+    """The tree's margins after its node table was written and read back."""
+    rows, trees = _one_tree(spark, d)
+    nodes = sinks.write_table(boosting.to_table(spark, {0: trees}), _folder(spark, "stored-tree"))
+    again = boosting.from_table(nodes, 2)[0]
+    return rows.select("cik", "year", F.round(boosting.margin(again, F.col("features")), 6).alias("margin"))
+
+
+def tree_importance(spark, d):
+    rows, trees = _one_tree(spark, d)
+    phi = rows.select(attribution.attributions(attribution.leaf_paths(trees), F.col("features")).alias("phi"))
+    return attribution.importance(phi, list(fea.TRAINED), models.FEATURE_LABELS)
+
+
+def tree_top3(spark, d):
+    rows, trees = _one_tree(spark, d)
+    told = rows.withColumn("phi", attribution.attributions(attribution.leaf_paths(trees), F.col("features")))
+    top = attribution.top_features(F.col("phi"), F.col("features"), list(fea.TRAINED), models.FEATURE_LABELS)
+    return told.select("cik", "year", F.inline(top))
+
+
+def feature_names(spark, d):
+    names = F.create_map(*[F.lit(x) for pair in models.FEATURE_LABELS.items() for x in pair])
+    table = fea.completeness(_features(spark, d))
+    return rounded(table.select("feature", F.coalesce(names[F.col("feature")], F.col("feature")).alias("label"), "pct"))
+
+
 def _fitted(spark: SparkSession, d: str, model: models.RiskModel) -> tuple[models.FittedRiskModel, DataFrame]:
     train, test = lab.holdout_split(materialize(_labelled(spark, d), "labelled"), CUTOFF)
     return model.fit(train), test
