@@ -86,6 +86,29 @@ def test_smote_is_exact_and_repeatable(spark, monkeypatch):
     assert made == smote.synthetic_rows(minority.repartition(3), 101, 30).orderBy("cik", "copy").collect()
 
 
+def test_neighbours_are_searched_near_by(spark, monkeypatch):
+    """Exact on clusters with ties and many equal rows, at a small part of all pairs."""
+    monkeypatch.setattr(smote, "BLOCK", 50)
+    monkeypatch.setattr(smote, "PER_PIVOT", 20)
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(20, 6)) * 40
+    points = np.concatenate([np.round(centres[k % 20] + rng.normal(size=6), 1) for k in range(900)]).reshape(900, 6)
+    points = np.concatenate([points, np.repeat(points[:1], 300, axis=0)])
+    rows = [(f"{(i * 7919) % 1200:010d}", 2000, 1, [float(v) for v in p]) for i, p in enumerate(points)]
+    minority = spark.createDataFrame(rows, "cik string, year int, y int, features array<double>").repartition(5)
+    got = {}
+    for r in smote.neighbours(minority, 5, 1200, 42).collect():
+        got.setdefault(r["cik"], []).append((r["nb"], r["nb_cik"]))
+    for i in range(0, 1200, 7):
+        dist = np.zeros(1200)
+        for f in range(6):
+            dist += (points[i, f] - points[:, f]) ** 2
+        best = sorted((dist[j], rows[j][0]) for j in range(1200) if j != i)[:5]
+        assert [c for _, c in sorted(got[rows[i][0]])] == [c for _, c in best]
+    _, visits = smote.searched(minority, 5, 1200, 42)
+    assert visits.count() < 4 * 1200  # of some sixty parts of blocks each
+
+
 def test_smote_leaves_balanced_and_tiny_classes_alone(spark):
     few = spark.createDataFrame([(str(i), 2000, int(i < 5), [0.0]) for i in range(50)], "cik string, year int, y int, features array<double>")
     assert smote.oversample(few).count() == 50
