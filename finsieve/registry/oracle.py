@@ -659,6 +659,41 @@ part as (select cik, year, f1 as f, value * (o1 - z1) as phi from step where f0
          union all select cik, year, f0, value * (o0 - z0) * (z1 + o1) / 2 from step where f0 <> f1)"""
 
 
+def _digest(text: str) -> str:
+    return f"('0x' || substr(md5({text}), 1, 10))::bigint"
+
+
+def _path(n: str) -> str:
+    return f"case when {n} <= 1 then 0.0 when {n} = 2 then 1.0 else 2.0::double * (ln({n} - 1.0::double) + 0.5772156649015329::double) - 2.0::double * ({n} - 1) / {n} end"
+
+
+def _isolation(trees: int, sample: int, limit: int, seed: int) -> str:
+    """A small isolation forest grown level by level, then walked by every row."""
+    prime = 2**31 - 1
+    width = len(fea.TRAINED)
+    ctes = SMOTE.split("size as (select count(*) - 2")[0].rstrip().rstrip(",") + f""",
+it as (select unnest(range(0, {trees})) as tree),
+tick as (select tree, cik, year, v, (h * greatest(({_digest(f"'{seed}|' || tree || '|factor'")}) % {prime}, 1) + ({_digest(f"'{seed}|' || tree || '|offset'")}) % {prime}) % {prime} as u
+         from (select *, ('0x' || substr(md5(cik || '|' || year || '|{seed}'), 1, 7))::bigint as h from x), it),
+g0 as (select tree, v, 0 as node from (select *, row_number() over (partition by tree order by u, cik, year) as rk from tick) where rk <= {sample}),
+q0 as (select tree, cik, year, v, 0 as node from x, it)"""
+    for level in range(limit):
+        ctes += f""",
+r{level} as (select tree, node, any_value(n) as n, list(f order by f) as fs, list(lo order by f) as los, list(hi order by f) as his from (
+        select tree, node, f, min(z) as lo, max(z) as hi, count(*) as n from (
+          select tree, node, unnest(range(1, {width + 1})) as f, unnest(v) as z from g{level} where node >= {2**level - 1}) group by all) where hi > lo group by tree, node),
+o{level} as (select tree, node, fs[p] as f, case when los[p] + w * (his[p] - los[p]) >= his[p] then los[p] else los[p] + w * (his[p] - los[p]) end as cut from (
+        select *, 1 + floor({_digest(f"'{seed}|' || tree || '|' || node || '|feature'")} / 1099511627776.0::double * len(fs))::int as p,
+               {_digest(f"'{seed}|' || tree || '|' || node || '|cut'")} / 1099511627776.0::double as w from r{level} where n > 1)),
+""" + ",\n".join(
+            f"{t}{level + 1} as (select {keep}, a.v, case when o.f is null then a.node when a.v[o.f] <= o.cut then 2 * a.node + 1 else 2 * a.node + 2 end as node "
+            f"from {t}{level} a left join o{level} o on a.tree = o.tree and a.node = o.node)"
+            for t, keep in (("g", "a.tree"), ("q", "a.tree, a.cik, a.year")))
+    return ctes + f""",
+grown as (select tree, node, count(*) as n from g{limit} group by all),
+deep as (select q.cik, q.year, avg(floor(log2(q.node + 1)) + {_path('n')}) as depth from q{limit} q join grown using (tree, node) group by q.cik, q.year)"""
+
+
 def _facts_panel() -> str:
     """Company-years as the single profile reads them from filings, under the names of the panel."""
     # table names of their own, as the report has an fl as well
@@ -851,6 +886,12 @@ SQL: dict[str, str] = {
         from nodes left join names using (f)"""),
     "boost_margins": _w(TREE, "select cik, year, round(value, 6) as margin from fell join nodes using (node)"),
     "tree_attribution": _w(PATHS, "select cik, year, feature, round(sum(phi), 6) as phi from part join names using (f) group by cik, year, feature"),
+    "iso_small": _w(_isolation(3, 16, 4, 7), f"select cik, year, round(pow(2.0::double, -depth / ({_path('16')})), 6) as anomaly from deep"),
+    "model_scores": _w(TREE + "," + _isolation(3, 16, 4, 7).split("it as (select unnest")[1].join(["it as (select unnest", ""]) + f""",
+raws as (select cik, year, pow(2.0::double, -depth / ({_path('256')})) as a from deep),
+ends as (select min(a) as lo, max(a) as hi from raws),
+blended as (select r.cik, r.year, 1 / (1 + exp(-n.value)) as p, (a - lo) / (hi - lo) as i from raws r, ends, fell f join nodes n using (node) where f.cik = r.cik and f.year = r.year)""",
+        "select cik, year, round(0.65::double * p + 0.35::double * i, 6) as score, round(p, 6) as xgb_prob, round(i, 6) as iso_score from blended"),
     "stored_tree": _w(TREE, "select cik, year, round(value, 6) as margin from fell join nodes using (node)"),
     "tree_importance": _w(PATHS, f"""select row_number() over (order by mean_shap desc, feature) as rank, feature, label, round(mean_shap, 5) as mean_shap from (
         select n.feature, coalesce(m.mean, 0) as mean_shap from names n left join (

@@ -732,6 +732,14 @@ def iso_scores(spark, d):
     return rows.select("cik", "year", F.round(isolation.anomaly(arrays, n, F.col("features")), 6).alias("anomaly"))
 
 
+def iso_small(spark, d):
+    """Three trees of sixteen rows each, which SQL can grow as well."""
+    rows = _array_rows(spark, d)
+    n, _ = smote.class_counts(rows)
+    arrays = isolation.forest_arrays(isolation.grow_forest(rows, n, trees=3, sample=16, seed=7))
+    return rows.select("cik", "year", F.round(isolation.anomaly(arrays, n, F.col("features"), sample=16), 6).alias("anomaly"))
+
+
 def _one_tree(spark: SparkSession, d: str) -> tuple[DataFrame, list[boosting.Tree]]:
     """The rows and one tree over all of them, cut at eighths of each feature: small enough for SQL to find the same splits."""
     rows = _array_rows(spark, d)
@@ -771,6 +779,22 @@ def tree_attribution(spark, d):
     return shown.unpivot(["cik", "year"], [fea.TRAINED[f] for f in used], "feature", "phi").withColumn("phi", F.round("phi", 6))
 
 
+def model_scores(spark, d):
+    """A model of one tree and three small isolation trees, saved, loaded, and applied to the labelled table with its gaps."""
+    rows, trees = _one_tree(spark, d)
+    n, _ = smote.class_counts(rows)
+    forest = materialize(isolation.grow_forest(rows, n, trees=3, sample=16, seed=7), "small-forest")
+    raw = rows.select(isolation.anomaly(isolation.forest_arrays(forest), n, F.col("features")).alias("a"))
+    low, high = raw.agg(F.min("a"), F.max("a")).first()
+    table = materialize(_labelled(spark, d), "labelled")
+    names = list(fea.TRAINED)
+    medians = {f: v[0] if v[0] is not None else 0.0 for f, v in exact_quantiles(table, names, [0.5], landed=True).items()}
+    path = _folder(spark, "small-model")
+    models.FittedRiskModel(models.fraud_model(max_depth=2), names, medians, trees, forest, n, low, high).save(path)
+    scored = models.FittedRiskModel.load(spark, path).predict(table, explain=False)
+    return rounded(scored.select("cik", "year", "score", "xgb_prob", "iso_score"))
+
+
 def stored_tree(spark, d):
     """The tree's margins after its node table was written and read back."""
     rows, trees = _one_tree(spark, d)
