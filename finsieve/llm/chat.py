@@ -5,9 +5,11 @@ whose last such hash is that of an inner turn of another one is its prefix and g
 conversations the smallest ``conv_id`` stays. Hashes are 128 bits: two running exclusive ors of hashed (position, role, text).
 
 Turns are ordered by ``turn`` (a missing one first), then by the hash of role and text; rows alike are turns of their own. Missing
-role or text counts as empty, turns without ``conv_id`` form one conversation. Turns are worked on in stretches of ``STRETCH``
-turn numbers, whose counts and hashes are combined afterwards, so that one very long conversation is neither one task nor one
-row; each stretch renders to a row of its own (``part``). An empty table gives none; extra columns are ignored.
+role or text counts as empty, turns without ``conv_id`` form one conversation. All turns are sorted into ranges of about ``RANGE``
+rows, which cut a long conversation anywhere, also among equal turn numbers; counts per range give every turn its position.
+Positions are worked on in stretches of ``STRETCH``, whose hashes are combined afterwards, so that one very long conversation
+is neither one task nor one row; each stretch renders to a row of its own (``part``). An empty table gives none; extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -16,34 +18,46 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from finsieve.llm.shared import ranged
 from finsieve.session import materialize
 
 STRETCH = 1024
+#: Rows per range in which turns are sorted.
+RANGE = 50_000
 _NO_ID = -(1 << 63)
 
 
 def _turns(conversations: DataFrame) -> DataFrame:
     role, text = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("role", "text"))
-    turn = F.coalesce(F.col("turn").cast("long"), F.lit(-1))
     return conversations.select(
-        F.coalesce(F.col("conv_id").cast("long"), F.lit(_NO_ID)).alias("conv"), turn.alias("turn"),
-        F.floor(turn / STRETCH).cast("long").alias("part"), F.xxhash64(F.lit(1), role, text).alias("a"), F.xxhash64(F.lit(2), role, text).alias("b"),
-        role.alias("role"), text.alias("text"),
+        F.coalesce(F.col("conv_id").cast("long"), F.lit(_NO_ID)).alias("conv"), F.coalesce(F.col("turn").cast("long"), F.lit(-1)).alias("turn"),
+        F.xxhash64(F.lit(1), role, text).alias("a"), F.xxhash64(F.lit(2), role, text).alias("b"), role.alias("role"), text.alias("text"),
     )
 
 
-def prefixes(conversations: DataFrame) -> DataFrame:
-    """(conv, position, total, x, y): for every turn its place, the length of its conversation and the hash up to it."""
-    turns = _turns(conversations).select("conv", "part", "turn", "a", "b")
-    inside = W.partitionBy("conv", "part").orderBy("turn", "a", "b")
-    ranked = materialize(turns.withColumn("rank", F.row_number().over(inside)), "chat-ranked")
-    sizes = ranked.groupBy("conv", "part").agg(F.count(F.lit(1)).alias("n"))
-    earlier = W.partitionBy("conv").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    whole = W.partitionBy("conv")
+def positioned(conversations: DataFrame) -> DataFrame:
+    """(conv, position, total, part, a, b, role, text), landed: every turn's place in its conversation, counted from 1.
+
+    A number per row, which matters among rows alike only, lets ranges cut where a conversation repeats one turn.
+    """
+    turns = materialize(_turns(conversations).withColumn("row", F.monotonically_increasing_id()), "chat-turns")
+    order = ["conv", "turn", "a", "b", "row"]
+    ranges = ranged(turns.count(), RANGE)
+    dealt = materialize(turns.repartitionByRange(ranges, *order).withColumn("range", F.spark_partition_id()), "chat-ranges")
+    ranked = dealt.withColumn("rank", F.row_number().over(W.partitionBy("conv", "range").orderBy(*order)))
+    sizes = dealt.groupBy("conv", "range").agg(F.count(F.lit(1)).alias("n"))
+    earlier = W.partitionBy("conv").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.select(
-        "conv", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"), F.sum("n").over(whole).alias("total")
+        "conv", "range", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"), F.sum("n").over(W.partitionBy("conv")).alias("total")
     )
-    placed = ranked.join(offsets, ["conv", "part"]).withColumn("position", F.col("before") + F.col("rank"))
+    placed = ranked.join(offsets, ["conv", "range"]).withColumn("position", F.col("before") + F.col("rank"))
+    part = F.floor((F.col("position") - 1) / STRETCH).cast("long").alias("part")
+    return materialize(placed.select("conv", "position", "total", part, "a", "b", "role", "text"), "chat-placed")
+
+
+def prefixes(placed: DataFrame) -> DataFrame:
+    """(conv, position, total, x, y): for every turn its place, the length of its conversation and the hash up to it."""
+    earlier = W.partitionBy("conv").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     upto = W.partitionBy("conv", "part").orderBy("position").rowsBetween(W.unboundedPreceding, 0)
     rolled = placed.select(
         "conv", "part", "position", "total",
@@ -61,9 +75,9 @@ def prefixes(conversations: DataFrame) -> DataFrame:
     )
 
 
-def maximal(conversations: DataFrame) -> DataFrame:
+def maximal(placed: DataFrame) -> DataFrame:
     """(conv): the conversations that are no prefix of a longer one, one for each set of equal ones."""
-    rows = materialize(prefixes(conversations), "chat-prefixes")
+    rows = materialize(prefixes(placed), "chat-prefixes")
     key = ["position", "x", "y"]
     inner = rows.filter("position < total").select(*key).distinct()
     whole = rows.filter("position = total").groupBy(*key).agg(F.min("conv").alias("conv"))
@@ -77,10 +91,10 @@ def render_turn(role: Column, text: Column) -> Column:
 
 def render(conversations: DataFrame) -> DataFrame:
     """(conv_id, part, n_turns, text) of the maximal conversations; parts follow each other in ascending order."""
-    kept = materialize(maximal(conversations), "chat-kept")
-    turns = _turns(conversations).join(kept, "conv", "left_semi")
-    parts = turns.groupBy("conv", "part").agg(
-        F.array_sort(F.collect_list(F.struct("turn", "a", "b", "role", "text"))).alias("turns")
+    placed = positioned(conversations)
+    kept = materialize(maximal(placed), "chat-kept")
+    parts = placed.join(kept, "conv", "left_semi").groupBy("conv", "part").agg(
+        F.array_sort(F.collect_list(F.struct("position", "role", "text"))).alias("turns")
     )
     return parts.select(
         F.expr(f"nullif(conv, {_NO_ID})").alias("conv_id"), "part", F.size("turns").alias("n_turns"),

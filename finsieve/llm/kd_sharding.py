@@ -186,11 +186,12 @@ def shard(docs: DataFrame, shards: int = 40) -> DataFrame:
     )
     rows = rows.withColumn("d_size", F.least(F.floor(F.log2(F.col("size").cast("double")) * 1024), F.lit(2**20)))
     dims = ["d_size", "d_source", "d_lang", "d_id"]
-    tie = F.struct("doc_id", "text_crc32", "size")
-    rows = materialize(with_keys(rows, dims, tie), "kd-rows")
+    # rows alike in all of this still differ by a number, landed once so that every later read sees the same one
+    rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "kd-numbered")
+    rows = materialize(with_keys(rows, dims, F.struct("doc_id", "text_crc32", "size", "row")), "kd-rows")
     _, placed = build_tree(rows, dims, shards)
-    placed = placed.select("doc_id", "size", "text_crc32", "shard")
-    return number_slots(placed, F.col("doc_id"), shards).select(
+    placed = placed.select("doc_id", "size", "text_crc32", "row", "shard")
+    return number_slots(placed, F.struct("doc_id", "row"), shards).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )

@@ -4,9 +4,11 @@ Learning rows are those whose crc32 of the id as text leaves 7 with a remainder
 space and 09-0D with A-Z in lower case, followed by one end. Word counts are gathered over all learning rows and joined exactly:
 the most frequent words travel to the tasks as a table of fixed size, all other tokens meet their counts in a join.
 
-Training is data-parallel: a task takes the round's parameters, runs over its documents, and the parameters are averaged by weight on
-the executors, chunk by chunk; ``ROUNDS`` gives the shares of the documents per round, which together are all of them. Words are
-known by 64-bit hashes; among n distinct words one clash is expected at n**2 / 2**65.
+Training is data-parallel: documents are dealt to ``ROUNDS`` rounds and to replicas by hashes of id and text. A replica takes the
+round's parameters and runs over its documents; the parameters are averaged by tokens on the executors, chunk by chunk, in the
+order of the replicas. The number of replicas follows from the tokens of the corpus (about ``REPLICA_TOKENS`` each a round), not from
+the cluster, so scores do not depend on it and a replica's task does not grow with the input. Words are known by 64-bit hashes;
+among n distinct words one clash is expected at n**2 / 2**65.
 
 A missing or empty text has the end as its only token. Rows that share an id are scored one by one. Without learning rows the
 model stays as it starts and every count is 0. Other columns are ignored.
@@ -16,23 +18,26 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import Any
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import Broadcast
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from finsieve.llm import recurrent as rnn
 from finsieve.llm import tokens
-from finsieve.llm.shared import crc_of_id
+from finsieve.llm.shared import Shipped, crc_of_id
 from finsieve.session import materialize
 
 #: Words whose counts travel to every task; the table is bounded by it.
 HEAD_WORDS = 1 << 19
-#: Shares of the learning documents per training round.
-ROUNDS = (0.1, 0.3, 0.6)
+#: Training rounds, tokens a replica sees in one of them, and the least number of replicas.
+ROUNDS = 12
+REPLICA_TOKENS = 500_000
+LEAST_REPLICAS = 1
 _PENDING = 1 << 22
 _GROUP_BYTES = 1 << 24
 _CHUNK = 4096
@@ -181,34 +186,52 @@ def _grouped(column: pa.Array) -> Iterator[tuple[int, int, list[Words]]]:
             held, begin, size = [], hi, 0
 
 
-def train_round(docs: DataFrame, vocabulary: Broadcast, start: rnn.Parameters) -> rnn.Parameters:
-    """Parameters after every task has run over its part of ``docs``, averaged by tokens; ``start`` if there is none."""
-    sc = docs.sparkSession.sparkContext
-    given = sc.broadcast(start)
+def replicas(tokens_in_all: int) -> int:
+    """Replicas per round: so many that each sees about ``REPLICA_TOKENS``, whatever the cluster."""
+    return max(LEAST_REPLICAS, -(-tokens_in_all // (ROUNDS * REPLICA_TOKENS)))
+
+
+def train_round(docs: DataFrame, vocabulary: Any, start: rnn.Parameters) -> rnn.Parameters:
+    """Parameters after every replica has run over its documents (replica, place, text), averaged by tokens; ``start`` if there are none.
+
+    A replica takes its documents in the order of ``place``, and replicas are added up in their own order, so the result is the
+    same on any cluster. A task holds one batch at a time; parts of parameters are averaged on the executors.
+    """
+    given = Shipped(docs.sparkSession, start)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        network, adam, seen = rnn.Network(given.value.filled(given.value.flat().copy())), rnn.Adam(), 0
-        for b in batches:
-            for *_, words in _grouped(b.column("text")):
+        network, adam, seen, at = None, None, 0, None
+
+        def done() -> pa.RecordBatch:
+            flat = network.p.flat().astype(np.float32)
+            parts = [flat[k:k + _CHUNK].tobytes() for k in range(0, len(flat), _CHUNK)]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.arange(len(parts)), pa.int32()), pa.array([at] * len(parts), pa.int64()), pa.array([float(seen)] * len(parts)), pa.array(parts, pa.binary())],
+                names=["chunk", "replica", "weight", "part"],
+            )
+
+        for piece in _replica_groups(batches):
+            replica = piece.column("replica")[0].as_py()
+            if replica != at:
+                if seen:
+                    yield done()
+                network, adam, seen, at = rnn.Network(given.value.filled(given.value.flat().copy())), rnn.Adam(), 0, replica
+            for *_, words in _grouped(piece.column("text")):
                 read = to_stream(vocabulary.value, words)
                 network.train(read.stream, adam)
                 seen += len(read.rows)
         if seen:
-            flat = network.p.flat().astype(np.float32)
-            parts = [flat[k:k + _CHUNK].tobytes() for k in range(0, len(flat), _CHUNK)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(len(parts)), pa.int32()), pa.array([float(seen)] * len(parts)), pa.array(parts, pa.binary())],
-                names=["chunk", "weight", "part"],
-            )
+            yield done()
 
     def average(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("replica", kind="stable")
         weight = pdf["weight"].to_numpy()
         parts = np.stack([np.frombuffer(x, np.float32) for x in pdf["part"]])
         mean = (weight[:, None] * parts).sum(axis=0) / weight.sum()
         return pd.DataFrame({"chunk": pdf["chunk"].to_numpy()[:1], "part": [mean.astype(np.float32).tobytes()]})
 
-    # fewer, longer tasks: each starts anew from the round's parameters
-    trained = docs.select("text").coalesce(max(1, sc.defaultParallelism)).mapInArrow(run, "chunk int, weight double, part binary")
+    dealt = docs.repartition("replica").sortWithinPartitions("replica", "place", "doc_id", "mark")
+    trained = dealt.select("replica", "text").mapInArrow(run, "chunk int, replica long, weight double, part binary")
     rows = trained.groupBy("chunk").applyInPandas(average, "chunk int, part binary").collect()
     if not rows:
         return start
@@ -216,19 +239,51 @@ def train_round(docs: DataFrame, vocabulary: Broadcast, start: rnn.Parameters) -
     return start.filled(flat)
 
 
-def train(learning: DataFrame, vocabulary: Broadcast) -> rnn.Parameters:
+def _replica_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows of one replica at a time, cut where their texts pass ``_GROUP_BYTES``: the cuts depend on the texts alone, not on batches."""
+    held: list[pa.RecordBatch] = []
+    size, at = 0, None
+    for b in batches:
+        replica = b.column("replica").to_numpy(zero_copy_only=False)
+        lengths = pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False)
+        lo = 0
+        for k in range(b.num_rows):
+            if held and replica[k] != at or k > lo and replica[k] != replica[k - 1] or size >= _GROUP_BYTES:
+                if k > lo:
+                    held.append(b.slice(lo, k - lo))
+                if held:
+                    yield pa.Table.from_batches(held).combine_chunks()
+                held, size, lo = [], 0, k
+            at = replica[k]
+            size += int(lengths[k])
+        if b.num_rows > lo:
+            held.append(b.slice(lo))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _dealt(learning: DataFrame, count: int) -> DataFrame:
+    """(round, replica, place, doc_id, mark, text): every document's place in training, a hash of its id and text."""
+    text = F.col("text").cast("string")
+    named = learning.select(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("mark"), text.alias("text"))
+    return named.select(
+        F.pmod(F.xxhash64("doc_id", "mark", F.lit("round")), F.lit(ROUNDS)).alias("round"),
+        F.pmod(F.xxhash64("doc_id", "mark", F.lit("replica")), F.lit(count)).alias("replica"),
+        F.xxhash64("doc_id", "mark", F.lit("place")).alias("place"), "doc_id", "mark", "text",
+    )
+
+
+def train(learning: DataFrame, vocabulary: Any) -> rnn.Parameters:
+    """The model after all rounds, which together use every learning document once."""
     v = vocabulary.value
     counts = np.zeros(rnn.SHORTLIST)
     counts[0] = v.documents
     listed = v.head_places >= 0
     counts[v.head_places[listed]] = v.head_counts[listed]
     p = rnn.Parameters.start(counts, v.tail_mass)
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("round")), F.lit(1_000_000))
-    done = 0.0
-    for share in ROUNDS:
-        lo, hi = (int(1_000_000 * x) for x in (done, done + share))
-        p = train_round(learning.filter((draw >= lo) & (draw < max(hi, lo + 1))), vocabulary, p)
-        done += share
+    dealt = _dealt(learning, replicas(v.tokens))
+    for k in range(ROUNDS):
+        p = train_round(dealt.filter(F.col("round") == k), vocabulary, p)
     return p
 
 
@@ -238,8 +293,8 @@ def score(docs: DataFrame) -> DataFrame:
     learning = docs.filter(is_learning())
     counts = materialize(word_counts(learning), "lm-words")
     v = build_vocabulary(counts, learning.count())
-    vocabulary = spark.sparkContext.broadcast(v)
-    model = spark.sparkContext.broadcast(train(learning, vocabulary))
+    vocabulary = Shipped(spark, v)
+    model = Shipped(spark, train(learning, vocabulary))
     ln10 = np.log(10)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from finsieve.llm import tokens
+from finsieve.llm.shared import Shipped
 
 MARKER = "▁"
 UNKNOWN = 10.0
@@ -263,7 +264,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str
 
     ``restored`` names a further column: whether decoding the ids gives the text back. It is found in the same task.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # tens of thousands of short pieces, fixed by the model file
+    shared = Shipped(docs.sparkSession, vocabulary)  # tens of thousands of short pieces, fixed by the model file
     added = [T.StructField(ids, T.ArrayType(T.IntegerType()))] + ([T.StructField(restored, T.BooleanType())] if restored else [])
     docs = docs.drop(*[f.name for f in added])
     names = docs.columns
@@ -297,7 +298,7 @@ def _same(column: pa.Array, data: np.ndarray, offsets: np.ndarray) -> np.ndarray
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``encoded`` with the text of every run of ids; a column of that name is replaced."""
-    shared = encoded.sparkSession.sparkContext.broadcast(vocabulary)
+    shared = Shipped(encoded.sparkSession, vocabulary)
     encoded = encoded.drop(out)
     names = encoded.columns
 

@@ -5,16 +5,18 @@ metadata view sees what is known about the page: source, language, length. Both
 rows; in every round each view labels the unlabelled rows it is surest of for the other one, provided such calls were right
 often enough on rows kept aside. The kept-aside rows also calibrate both views and set how much each counts in the end.
 
-Fitting uses at most about ``MAX_LABELLED`` labelled and ``MAX_POOL`` unlabelled rows, drawn by a hash of ``doc_id`` at rates set by the
-counts; every document is scored on its whole text. A missing text is empty, missing metadata is a value of its own. Repeated
+The labelled rows are at most about ``MAX_LABELLED``, drawn by a hash of ``doc_id``, one row per id. Every round ranks all
+unlabelled rows by both views in Spark; only the ``TAUGHT`` surest of a view and class, which the fit takes, reach the driver.
+Every document is scored on its whole text. A missing text is empty, missing metadata is a value of its own. Repeated
 labels of a document count as good only if all do. Without labels of both kinds every document gets the share of good ones
-(1 without any label). Extra columns pass through ``keep_good``.
+(1 without any label). Extra columns pass through, also those with names used here; ``score`` alone replaces the three it adds.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -23,13 +25,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from finsieve.llm import tokens
+from finsieve.llm.shared import Shipped
+from finsieve.session import materialize
 
 MAX_LABELLED = 12_000
-MAX_POOL = 12_000
 ROUNDS = 4
 #: Rows a view labels for the other per round and class, and how often such calls must be right.
 TAUGHT = 400
 TRUST = 0.97
+SCORES = ("text_score", "page_score", "quality_score")
+_NO_ID = -(1 << 63)
 WORD_COLUMNS = 128
 SOURCE_COLUMNS = 64
 _SIGNS = np.frombuffer(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", np.uint8)
@@ -150,36 +155,46 @@ def _line(margins: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return slope, float(m.bias - m.weights[0] * m.center[0] / m.scale[0])
 
 
-def co_train(x: dict[str, np.ndarray], y: np.ndarray, held: np.ndarray, pool: dict[str, np.ndarray]) -> Pair:
-    """Both views after ``ROUNDS`` of exchange; ``held`` rows calibrate, ``pool`` rows are unlabelled."""
+class Surest(NamedTuple):
+    """The rows a view is surest of for one label, surest first: row keys, calibrated margins, both views' features."""
+
+    keys: list[tuple[int, int]]
+    sure: np.ndarray
+    x: dict[str, np.ndarray]
+
+
+#: (models, calibrations, keys taught so far by view) to the surest rows per view and label.
+Ranked = Callable[[dict[str, Logistic], dict[str, tuple[float, float]], dict[str, set]], dict[tuple[str, int], Surest]]
+
+
+def co_train(x: dict[str, np.ndarray], y: np.ndarray, held: np.ndarray, ranked: Ranked) -> Pair:
+    """Both views after ``ROUNDS`` of exchange; ``held`` rows calibrate, ``ranked`` finds what to teach among unlabelled rows."""
     views = ("text", "page")
-    taught: dict[str, dict[int, int]] = {v: {} for v in views}
+    taught: dict[str, dict[tuple[int, int], tuple[int, np.ndarray]]] = {v: {} for v in views}
     calibrations = {v: (1.0, 0.0) for v in views}
     models: dict[str, Logistic] = {}
 
     def refit() -> None:
         for v in views:
-            ids = np.array(sorted(taught[v]), int)
-            extra_y = np.array([taught[v][i] for i in ids], float)
-            models[v] = fit_logistic(np.concatenate([x[v][~held], pool[v][ids]]), np.concatenate([y[~held], extra_y]))
+            extra = [taught[v][k] for k in sorted(taught[v])]
+            rows = np.concatenate([x[v][~held], *(f[None] for _, f in extra)])
+            models[v] = fit_logistic(rows, np.concatenate([y[~held], np.array([label for label, _ in extra], float)]))
             calibrations[v] = _line(models[v].margin(x[v][held]), y[held])
 
     refit()
     for _ in range(ROUNDS):
-        if len(pool["text"]) == 0:
-            break
+        best = ranked(models, calibrations, {v: set(taught[v]) for v in views})
         for v, other in (views, views[::-1]):
             slope, offset = calibrations[v]
-            sure = slope * models[v].margin(pool[v]) + offset
             checked = slope * models[v].margin(x[v][held]) + offset
             for label, sign in ((1, 1.0), (0, -1.0)):
-                order = [i for i in np.argsort(-sign * sure, kind="stable") if i not in taught[other]][:TAUGHT]
-                if not order:
+                found = best.get((v, label))
+                if found is None:
                     continue
-                reach = sign * sure[order[-1]]
-                called = y[held][sign * checked >= reach]
+                called = y[held][sign * checked >= sign * found.sure[-1]]
                 if len(called) and (called == label).mean() >= TRUST:
-                    taught[other].update(dict.fromkeys(map(int, order), label))
+                    for k, key in enumerate(found.keys):
+                        taught[other].setdefault(key, (label, found.x[other][k]))
         refit()
     margins = np.stack([calibrations[v][0] * models[v].margin(x[v][held]) + calibrations[v][1] for v in views], axis=1)
     last = fit_logistic(margins, y[held])
@@ -188,64 +203,121 @@ def co_train(x: dict[str, np.ndarray], y: np.ndarray, held: np.ndarray, pool: di
                 np.array([*weights, last.bias - float((weights * last.center).sum())]))
 
 
-def _features(docs: DataFrame) -> DataFrame:
-    """(doc_id, quality, text, page) with both views' features as binary."""
+def _ranker(unlabelled: DataFrame) -> Ranked:
+    """Ranks all rows of ``unlabelled`` (doc_id, mark, and the features' columns) anew whenever it is asked.
+
+    A task keeps the ``TAUGHT`` surest rows of its own per view and class, with their features; the surest of all are found among them.
+    """
+    spark = unlabelled.sparkSession
+    views = ("text", "page")
+
+    def ranked(models: dict[str, Logistic], calibrations: dict[str, tuple[float, float]], taken: dict[str, set]) -> dict[tuple[str, int], Surest]:
+        shipped = Shipped(spark, (models, calibrations, taken))  # a few KB, and at most ROUNDS x 4 x TAUGHT keys
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            models, calibrations, taken = shipped.value
+            held: dict[tuple[str, int], list[tuple]] = {(v, label): [] for v in views for label in (1, 0)}
+            for b in batches:
+                page = metadata_features(b.column("source"), b.column("lang"), b.column("n_chars"))
+                ids, marks = (b.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "mark"))
+                for lo, hi, text in text_features(b.column("text")):
+                    x = {"text": text, "page": page[lo:hi]}
+                    for v, other in (views, views[::-1]):
+                        slope, offset = calibrations[v]
+                        sure = slope * models[v].margin(x[v]) + offset
+                        for label, sign in ((1, 1.0), (0, -1.0)):
+                            order = np.argsort(-sign * sure, kind="stable")[:TAUGHT + len(taken[other])]
+                            new = [(-sign * float(sure[k]), int(ids[lo + k]), int(marks[lo + k]), x["text"][k].tobytes(), x["page"][k].tobytes()) for k in order
+                                   if (int(ids[lo + k]), int(marks[lo + k])) not in taken[other]]
+                            merged = {row[1:3]: row for row in sorted(held[v, label] + new, key=lambda r: r[:3])}
+                            held[v, label] = sorted(merged.values(), key=lambda r: r[:3])[:TAUGHT]
+            for (v, label), rows in held.items():
+                if rows:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([v] * len(rows)), pa.array([label] * len(rows), pa.int32()), *(
+                            pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.float64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())))],
+                        names=["view", "label", "order", "doc_id", "mark", "text", "page"],
+                    )
+
+        rows = materialize(unlabelled.mapInArrow(
+            run, "view string, label int, order double, doc_id long, mark long, text binary, page binary"
+        ), "quality-surest")
+        place = ["order", "doc_id", "mark"]
+        out = {}
+        for v in views:
+            for label, sign in ((1, 1.0), (0, -1.0)):
+                mine = rows.filter((F.col("view") == v) & (F.col("label") == label))
+                keys = mine.select(*place).distinct().orderBy(*place).limit(TAUGHT).collect()
+                if not keys:
+                    continue
+                best = mine.filter(F.col("order") <= keys[-1]["order"]).dropDuplicates(["doc_id", "mark"]).orderBy(*place).limit(TAUGHT).collect()
+                out[v, label] = Surest(
+                    [(r["doc_id"], r["mark"]) for r in best], np.array([-sign * r["order"] for r in best]),
+                    {w: np.stack([np.frombuffer(r[w], np.float32) for r in best]) for w in views},
+                )
+        return out
+
+    return ranked
+
+
+def _read(docs: DataFrame) -> DataFrame:
+    """The columns the features need; a missing id is no number of its own and never has a label."""
+    text = F.col("text").cast("string")
+    return docs.select(
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("mark"), text.alias("text"),
+        F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.col("n_chars").cast("long").alias("n_chars"),
+    )
+
+
+def _features(rows: DataFrame) -> DataFrame:
+    """(doc_id, good, text, page) with both views' features as binary."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             page = metadata_features(b.column("source"), b.column("lang"), b.column("n_chars"))
             for lo, hi, text in text_features(b.column("text")):
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").slice(lo, hi - lo), b.column("quality").slice(lo, hi - lo),
+                    [b.column("doc_id").slice(lo, hi - lo), b.column("good").slice(lo, hi - lo),
                      pa.array([r.tobytes() for r in text], pa.binary()), pa.array([r.tobytes() for r in page[lo:hi]], pa.binary())],
-                    names=["doc_id", "quality", "text", "page"],
+                    names=["doc_id", "good", "text", "page"],
                 )
 
-    return docs.select(
-        F.col("doc_id").cast("long"), F.col("quality").cast("int"), F.col("text").cast("string"), F.col("source").cast("string"),
-        F.col("lang").cast("string"), F.col("n_chars").cast("long"),
-    ).mapInArrow(run, "doc_id long, quality int, text binary, page binary")
-
-
-def _drawn(rows: DataFrame, share: float, name: str) -> DataFrame:
-    return rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(name)), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
+    return rows.select("doc_id", "good", "text", "source", "lang", "n_chars").mapInArrow(run, "doc_id long, good int, text binary, page binary")
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Pair:
-    """Fits in the driver on the two bounded samples, about 1 KB of features a row."""
-    usable = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    n_labelled, n_docs = usable.count(), docs.count()
-    known = _drawn(usable, min(1.0, MAX_LABELLED / max(1, n_labelled)), "quality")
-    pool = _drawn(docs, min(1.0, MAX_POOL / max(1, n_docs)), "pool")
-    # broadcast: bounded by MAX_LABELLED; rows of the pool that have a label are dropped after its features are made
-    labelled = _features(docs.join(F.broadcast(known), "doc_id")).toArrow().sort_by("doc_id")
-    unlabelled = _features(pool.join(usable, "doc_id", "left_anti").withColumn("quality", F.lit(None).cast("int"))).toArrow().sort_by("doc_id")
-
-    def matrix(rows: pa.Table, column: str) -> np.ndarray:
-        flat = b"".join(v.as_buffer() for v in rows.column(column)) if rows.num_rows else b""
-        return np.frombuffer(flat, np.float32).reshape(rows.num_rows, -1) if rows.num_rows else np.zeros((0, 0), np.float32)
-
-    y = (labelled.column("quality").to_numpy() > 0).astype(np.float64)
+    """Fits in the driver on the drawn labelled rows and what the rounds teach, about 1 KB of features a row."""
+    usable = labels.filter("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
+        F.min("quality").cast("int").alias("good"))
+    share = min(1.0, MAX_LABELLED / max(1, usable.count()))
+    known = usable.filter(F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
+    rows = _read(docs)
+    # broadcast: bounded by MAX_LABELLED; of rows that share an id the one with the smallest hash of its text is learnt from
+    one = rows.join(F.broadcast(known), "doc_id").groupBy("doc_id", "good").agg(F.min(F.struct("mark", "text", "source", "lang", "n_chars")).alias("r"))
+    labelled = _features(one.select("doc_id", "good", "r.*")).toArrow().sort_by("doc_id")
+
+    def matrix(column: str) -> np.ndarray:
+        flat = b"".join(v.as_buffer() for v in labelled.column(column)) if labelled.num_rows else b""
+        return np.frombuffer(flat, np.float32).reshape(labelled.num_rows, -1) if labelled.num_rows else np.zeros((0, 0), np.float32)
+
+    y = (labelled.column("good").to_numpy() > 0).astype(np.float64)
     held = tokens.mix(labelled.column("doc_id").to_numpy().astype(np.uint64)) % np.uint64(4) == 0
     if len(y) == 0 or not 0 < y[held].sum() < held.sum() or not 0 < y[~held].sum() < (~held).sum():
         return Pair(None, None, [], np.zeros(3), float(y.mean()) if len(y) else 1.0)
-    x = {"text": matrix(labelled, "text"), "page": matrix(labelled, "page")}
-    free = {k: matrix(unlabelled, k) if unlabelled.num_rows else np.zeros((0, x[k].shape[1]), np.float32) for k in x}
-    return co_train(x, y, held, free)
+    return co_train({v: matrix(v) for v in ("text", "page")}, y, held, _ranker(rows.join(usable, "doc_id", "left_anti")))
 
 
-def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` with ``text_score``, ``page_score`` and ``quality_score``: calibrated chances of being good."""
-    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels))  # a few KB
-    added = ["text_score", "page_score", "quality_score"]
-    docs = docs.drop(*added)
+def _scored(docs: DataFrame, labels: DataFrame, added: list[str]) -> DataFrame:
+    """``docs`` with the three scores under the given names, which no column of it has."""
+    shared = Shipped(docs.sparkSession, train(docs, labels))  # a few KB
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair = shared.value
         for b in batches:
             get = lambda c, kind: b.column(names.index(c)).cast(kind)  # noqa: B023, E731
             page = metadata_features(get("source", pa.string()), get("lang", pa.string()), get("n_chars", pa.int64()))
             for lo, hi, text in text_features(get("text", pa.string())):
-                scores = shared.value.scores(text, page[lo:hi])
+                scores = pair.scores(text, page[lo:hi])
                 yield pa.RecordBatch.from_arrays(
                     [c.slice(lo, hi - lo) for c in b.columns] + [pa.array(s, pa.float64()) for s in scores], names=[*names, *added]
                 )
@@ -253,7 +325,12 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(c, T.DoubleType()) for c in added)]))
 
 
+def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``docs`` with ``text_score``, ``page_score`` and ``quality_score``, calibrated chances of being good; columns of these names are replaced."""
+    return _scored(docs.drop(*SCORES), labels, list(SCORES))
+
+
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose combined score reaches ``least``."""
-    columns = docs.columns
-    return score(docs, labels).filter(F.col("quality_score") >= least).select(*columns)
+    """The rows of ``docs`` whose combined score reaches ``least``, with all their columns as they were."""
+    own = [f"__finsieve_{c}" for c in SCORES]
+    return _scored(docs, labels, own).filter(F.col(own[-1]) >= least).select(*docs.columns)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +31,23 @@ def folded(text: str = "text") -> Column:
     return F.translate(F.coalesce(F.col(text), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+class Shipped:
+    """A broadcast object whose classes travel with it: workers need no copy of this package to read ``value``."""
+
+    def __init__(self, spark: SparkSession, value: Any):
+        self._packed = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+        self._held: list[Any] = [value]
+
+    def __getstate__(self) -> dict:
+        return {"_packed": self._packed, "_held": []}
+
+    @property
+    def value(self) -> Any:
+        if not self._held:
+            self._held.append(pickle.loads(self._packed.value))
+        return self._held[0]
+
+
 def ranged(count: int, per: int, least: int = 1) -> int:
     """Number of parts so that each holds about ``per`` of ``count``."""
     return max(least, -(-count // per))

@@ -10,9 +10,9 @@ SQL = {
              whole as (select position, said, min(conv_id) as conv_id from t where position = total group by position, said),
              inside as (select distinct position, said from t where position < total),
              kept as (select conv_id from whole anti join inside using (position, said))
-        select conv_id, turn // 1024 as part, cast(count(*) as int) as n_turns,
+        select conv_id, (position - 1) // 1024 as part, cast(count(*) as int) as n_turns,
                string_agg('<|im_start|>' || role || chr(10) || replace(text, '<|im_', '<| im_') || '<|im_end|>' || chr(10), '' order by turn) as text
-        from conversations semi join kept using (conv_id) group by conv_id, turn // 1024
+        from t semi join kept using (conv_id) group by conv_id, (position - 1) // 1024
     """,
     "op4_exact_dedup": """
         with t as (select doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) as h

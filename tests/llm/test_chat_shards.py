@@ -57,6 +57,26 @@ def test_chat_keeps_maximal_conversations(spark):
     assert chat.render(_conversations(spark, [])).count() == 0
 
 
+def test_chat_of_many_turns_without_id_or_number(spark, monkeypatch):
+    """A third of the rows share one missing id and one turn number; ranges cut among them."""
+    monkeypatch.setattr(chat, "RANGE", 700)
+    rows = [(None, 0, "user", f"line {k % 900}") for k in range(3000)] + [(k % 600, k // 600, "user", f"own {k % 600} {k // 600}") for k in range(6000)]
+    rows += [(700, t, "user", f"own 3 {t}") for t in range(4)]
+    placed = chat.positioned(_conversations(spark, rows))
+    assert placed.filter("conv < 0").select("position").distinct().count() == 3000
+    parts = placed.groupBy("conv", "part").count()
+    assert parts.agg({"count": "max"}).first()[0] <= chat.STRETCH
+    got = chat.render(_conversations(spark, rows)).collect()
+    assert {r.conv_id for r in got} == {None, *range(600)} and max(r.n_turns for r in got) <= chat.STRETCH
+    nobody = "".join(r.text for r in sorted((r for r in got if r.conv_id is None), key=lambda r: r.part))
+    assert sorted(nobody.split("<|im_end|>\n")[:-1]) == sorted(f"<|im_start|>user\nline {k % 900}" for k in range(3000))
+
+
+def test_equal_rows_are_divided(spark):
+    rows, sizes = _shards(spark, fx.documents(spark, [(None, "the same row")] * 1000), 40)
+    assert len(rows) == 1000 and max(sizes.values()) <= 1.3 * 1000 * 28 / 40 and len(sizes) == 40
+
+
 def _shards(spark, docs, n):
     rows = kd_sharding.shard(docs, n).collect()
     by = defaultdict(list)

@@ -2,13 +2,18 @@
 
 import itertools
 import math
+import os
 import random
+import subprocess
+import sys
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from finsieve.llm import decontaminate as dc
 from finsieve.llm import lm_scoring, pieces, quality, recurrent, tokens, toxicity
@@ -227,6 +232,79 @@ def test_quality_keeps_good_and_drops_bad(spark):
     assert quality.score(docs, marks).count() == len(rows) + 3
 
 
+def test_quality_with_clashing_columns_and_a_hot_id(spark):
+    """A caller's own quality and quality_score stay; a labelled id on a third of the rows brings one row to the fit."""
+    rng = random.Random(3)
+    rows = [(k, fx.sentence(rng, 30) if k % 4 else " ".join(["win$$$"] * 8)) for k in range(400)]
+    docs = fx.documents(spark, rows + [(7, fx.sentence(rng, 5)) for _ in range(200)]).withColumn("quality", F.lit("mine")).withColumn("quality_score", F.lit(-5.0))
+    marks = spark.createDataFrame([(k, int(k % 4 > 0), 0) for k in range(300)], LABELS)
+    kept = quality.keep_good(docs, marks)
+    assert kept.columns == docs.columns
+    got = kept.collect()
+    assert {(r.quality, r.quality_score) for r in got} == {("mine", -5.0)} and 250 < len(got) < 550
+    scored = quality.score(docs, marks)
+    assert scored.columns.count("quality_score") == 1 and scored.filter("quality_score < 0").count() == 0
+    one = quality._read(docs).join(marks.select("doc_id"), "doc_id")
+    assert one.filter("doc_id = 7").count() == 201
+    assert toxicity._labelled(docs, spark.createDataFrame([(k, 1, k % 2) for k in range(300)], LABELS)).filter("doc_id = 7").count() <= 1
+
+
+def test_quality_ranks_every_unlabelled_row(spark):
+    """What is taught are the surest of all unlabelled rows, found over any partitioning."""
+    rng = random.Random(8)
+    rows = [(k, fx.sentence(rng, 20 + k % 9) + ("!" * (k % 50))) for k in range(900)]
+
+    class Marks:
+        def margin(self, x):
+            return x[:, 0].astype(float)
+
+    unlabelled = quality._read(fx.documents(spark, rows).repartition(7))
+    found = quality._ranker(unlabelled)({"text": Marks(), "page": Marks()}, {"text": (1.0, 0.0), "page": (1.0, 0.0)}, {"text": set(), "page": set()})
+    texts = dict(rows)
+    share = sorted((-next(quality.text_features(pa.array([texts[k]])))[2][0, 0], k) for k, _ in rows)
+    best = found["text", 1]
+    assert best.sure.tolist() == [-s for s, _ in share[:quality.TAUGHT]] and len({k for k, _ in best.keys}) == quality.TAUGHT
+
+
+def test_workers_without_this_package(tmp_path):
+    """Models travel with the job: the workers of this session cannot import the package."""
+    code = f"""
+import os, sys
+sys.path.insert(0, {str(Path(__file__).resolve().parents[2])!r})
+from finsieve.session import build_session
+from finsieve.llm import lm_scoring, quality, substring_dedup, toxicity, periodic_runs
+from pyspark.sql import functions as F
+os.chdir({str(tmp_path)!r})
+os.environ["PYTHONPATH"] = ""
+spark = build_session("apart", "local[2]", **{{"spark.sql.shuffle.partitions": "2", "spark.ui.enabled": "false", "spark.checkpoint.dir": {str(tmp_path)!r},
+    "spark.executorEnv.PYTHONPATH": ""}})
+def absent(batches):
+    import importlib.util
+    for b in batches:
+        assert importlib.util.find_spec("finsieve") is None
+        yield b
+rows = [(k, f"some words {{k}} of a text {{'!' * (k % 3)}}", "en", f"s{{k % 2}}", 10) for k in range(60)]
+docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+labels = spark.createDataFrame([(k, int(k % 3 > 0), int(k % 3 == 0)) for k in range(60)], "doc_id long, quality int, toxic int")
+docs.select("doc_id").mapInArrow(absent, "doc_id long").count()
+assert quality.score(docs, labels).filter("quality_score is not null").count() == 60
+assert toxicity.score(docs, labels).filter("score is not null").count() == 60
+assert lm_scoring.score(docs).filter("score is not null").count() == 60
+assert substring_dedup.remove_repeats(docs).count() == periodic_runs.collapse(docs).count() == 60
+print("all went")
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=600, cwd=tmp_path, env={**os.environ, "PYTHONPATH": ""})
+    assert "all went" in done.stdout, done.stderr[-3000:]
+
+
+def test_model_scores_do_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "REPLICA_TOKENS", 200)
+    rng = random.Random(17)
+    rows = [(k, fx.sentence(rng, rng.randint(5, 80))) for k in range(120)] + [(None, "no id")] * 3
+    a, b = ({(r.doc_id, r.n_tokens): r.score for r in lm_scoring.score(fx.documents(spark, rows).repartition(n)).collect()} for n in (2, 7))
+    assert a == b and lm_scoring.replicas(10_000) > 1
+
+
 def test_quality_without_both_labels(spark):
     docs = fx.documents(spark, [(1, "a"), (2, None)])
     assert quality.keep_good(docs, spark.createDataFrame([], LABELS)).count() == 2
