@@ -23,6 +23,8 @@ from finsieve.session import materialize
 
 BLOCK = 512
 Signer = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+#: Turns the elements as they travel into ascending uint64 sets.
+SetsIn = Callable[[list[pa.Buffer]], list[np.ndarray]]
 _COLUMNS = 4096
 _CACHE = 1 << 16
 _PENDING = 1 << 20
@@ -105,7 +107,11 @@ def _smallest_reachable(near: np.ndarray, nodes: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _verifier(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _as_hashes(elements: list[pa.Buffer]) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.uint64) for x in elements]
+
+
+def _verifier(threshold: float, sets_in: SetsIn) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for unit in runs(batches, ["root", "i", "j"]):
             node = unit.column("node").to_numpy()
@@ -113,7 +119,7 @@ def _verifier(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator
             block = unit.column("block").to_numpy()[at]
             copies = unit.column("copies").to_numpy()[at]
             column = unit.column("elements").combine_chunks()
-            sets = [np.frombuffer(column[int(k)].as_buffer(), np.uint64) for k in at]
+            sets = sets_in([column[int(k)].as_buffer() for k in at])
             size = np.array([len(s) for s in sets], np.float32)
             i, j = unit.column("i")[0].as_py(), unit.column("j")[0].as_py()
             left = np.flatnonzero(block == i)
@@ -143,11 +149,22 @@ def _linked(node: np.ndarray, parent: np.ndarray, links: np.ndarray) -> pa.Recor
     return pa.RecordBatch.from_arrays([pa.array(node), pa.array(parent), pa.array(links.astype(np.int64))], names=["node", "parent", "links"])
 
 
-def _packed(slots: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(slot, entries, ties): bucket entries as pairs of uint64, and nodes tied to the smallest of their bucket seen here.
+def _distinct_pairs(pairs: np.ndarray) -> np.ndarray:
+    """Rows of a two-column array, each once, ordered as signed longs."""
+    order = np.lexsort((pairs[:, 1].view(np.int64), pairs[:, 0].view(np.int64)))
+    pairs = pairs[order]
+    fresh = np.ones(len(pairs), bool)
+    fresh[1:] = (pairs[1:] != pairs[:-1]).any(axis=1)
+    return pairs[fresh]
+
+
+def _packed(slots: int, pending: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(slot, entries, ties): bucket entries, and nodes tied to the smallest of their bucket seen here.
 
-    Of the nodes that share a bucket within ``_PENDING`` entries only the smallest travels on under the bucket's key; the others
-    are tied to it at once and travel under their own. So a bucket with a large part of all nodes sends a few entries.
+    Of the nodes that share a bucket within ``pending`` entries only the smallest travels on under the bucket's key; the others
+    are tied to it at once and travel under their own. So a bucket with a large part of all nodes sends a few entries. An entry is the
+    upper half of its key, which with the slot tells apart all keys of a partition but for a few in a million, and the node: two
+    keys taken for one only add a tie, which verification undoes.
     """
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -155,18 +172,22 @@ def _packed(slots: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
 
         def flush() -> pa.RecordBatch:
             pairs = np.concatenate(held)
+            held.clear()
             pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
             fresh = np.ones(len(pairs), bool)
             fresh[1:] = pairs[1:, 0] != pairs[:-1, 0]
             head = pairs[fresh][np.cumsum(fresh) - 1, 1]
             tied = ~fresh & (pairs[:, 1] != head)
-            parts = [pairs[fresh], np.stack([pairs[tied, 1], head[tied]], axis=1)]
-            cut = []
-            for x in parts:
+            blobs = []
+            for x, narrow in ((pairs[fresh], True), (np.stack([pairs[tied, 1], head[tied]], axis=1), False)):
                 slot = (x[:, 0] >> np.uint64(11)) % np.uint64(slots)
                 order = np.argsort(slot, kind="stable")
-                cut.append((x[order], np.searchsorted(slot[order], np.arange(slots + 1))))
-            blobs = [[x[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)] for x, at in cut]
+                x, at = x[order], np.searchsorted(slot[order], np.arange(slots + 1))
+                upper = (x[:, 0] >> np.uint64(32)).astype(np.uint32) if narrow else None
+                node = np.ascontiguousarray(x[:, 1])
+                blobs.append([
+                    upper[i:j].tobytes() + node[i:j].tobytes() if narrow else x[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)
+                ])
             return pa.RecordBatch.from_arrays(
                 [pa.array(np.arange(slots), pa.int32()), pa.array(blobs[0], pa.binary()), pa.array(blobs[1], pa.binary())],
                 names=["slot", "entries", "ties"],
@@ -179,9 +200,9 @@ def _packed(slots: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
             if len(keys):
                 held.append(np.stack([keys, node], axis=1))
                 size += len(keys)
-            if size >= _PENDING:
+            if size >= pending:
                 yield flush()
-                held, size = [], 0
+                size = 0
         if size:
             yield flush()
 
@@ -190,44 +211,58 @@ def _packed(slots: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
 
 def _tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(u, v): every node of a bucket of this partition with the bucket's smallest node."""
-    entries, ties = [], []
+    by_slot: dict[int, tuple[list, list]] = {}
+    ties: list[np.ndarray] = []
     for b in batches:
-        for column, held in (("entries", entries), ("ties", ties)):
-            held += [np.frombuffer(x.as_buffer(), np.uint64).reshape(-1, 2) for x in b.column(column)]
-    if not entries:
+        for slot, packed, tied in zip(b.column("slot").to_pylist(), b.column("entries"), b.column("ties"), strict=True):
+            blob = packed.as_buffer()
+            n = len(blob) // 12
+            upper, node = by_slot.setdefault(slot, ([], []))
+            upper.append(np.frombuffer(blob, np.uint32, n))
+            node.append(np.frombuffer(blob, np.uint64, n, 4 * n))
+            ties.append(np.frombuffer(tied.as_buffer(), np.uint64).reshape(-1, 2))
+    while by_slot:
+        _, (upper, node) = by_slot.popitem()
+        keys, nodes = np.concatenate(upper), np.concatenate(node)
+        del upper, node
+        order = np.lexsort((nodes.view(np.int64), keys))
+        keys, nodes = keys[order], nodes[order]
+        del order
+        fresh = np.ones(len(keys), bool)
+        fresh[1:] = keys[1:] != keys[:-1]
+        head = nodes[fresh][np.cumsum(fresh) - 1]
+        other = nodes != head
+        ties.append(np.stack([nodes[other], head[other]], axis=1))
+    if not ties:
         return
-    pairs = np.concatenate(entries)
-    pairs = pairs[np.lexsort((pairs[:, 1].view(np.int64), pairs[:, 0]))]
-    fresh = np.ones(len(pairs), bool)
-    fresh[1:] = pairs[1:, 0] != pairs[:-1, 0]
-    head = pairs[fresh][np.cumsum(fresh) - 1, 1]
-    other = pairs[:, 1] != head
-    found = np.unique(np.concatenate([np.stack([pairs[other, 1], head[other]], axis=1), *ties]), axis=0).view(np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["u", "v"])
+    found = _distinct_pairs(np.concatenate(ties)).view(np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, 0])), pa.array(np.ascontiguousarray(found[:, 1]))], names=["u", "v"])
 
 
-def bucket_ties(items: DataFrame, sign: Signer, count: int) -> DataFrame:
+def bucket_ties(items: DataFrame, sign: Signer, count: int, pending: int = _PENDING) -> DataFrame:
     """(u, v) so that nodes that share a bucket are connected; ``count`` is about the number of bucket entries.
 
-    A partition takes about ``_PENDING`` entries of 16 bytes, whatever the size of the input.
+    A partition takes about ``_PENDING`` entries of 12 bytes, whatever the size of the input; a task that signs holds ``pending``.
     """
     slots = ranged(count, _PENDING, 4 * items.sparkSession.sparkContext.defaultParallelism)
-    pack = _packed(slots)
+    pack = _packed(slots, pending)
     packed = items.mapInArrow(lambda batches: pack(sign(batches)), "slot int, entries binary, ties binary")
     return packed.filter("length(entries) > 0 or length(ties) > 0").repartition(slots, "slot").mapInArrow(_tie, "u long, v long").distinct()
 
 
 def near_classes(
-    items: DataFrame, sign: Signer, bands: int, nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], threshold: float
+    items: DataFrame, sign: Signer, bands: int, nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], threshold: float,
+    sets_in: SetsIn = _as_hashes, pending: int = _PENDING,
 ) -> DataFrame:
     """(node, root, links) of every node that may have a partner.
 
     ``sign`` turns batches of ``items`` into (node int64, buckets list of ``bands`` int64 keys), repeats allowed, in the same
     task that packs them. ``nodes``: (node, copies) once per node. ``sets_of`` gives
-    (node, elements binary of ascending uint64) for the candidates it is handed, repeats allowed. Links count the copies of the
+    (node, elements binary) for the candidates it is handed, repeats allowed; ``sets_in`` makes sets of ascending uint64 of them, which
+    by default they are. Links count the copies of the
     partners at ``threshold`` or above; root is the smallest node of the class. Nodes that never share a bucket are absent.
     """
-    ties = bucket_ties(items, sign, bands * nodes.count())
+    ties = bucket_ties(items, sign, bands * nodes.count(), pending)
     groups = materialize(connected(ties), "near-groups")
     sizes = materialize(groups.groupBy("root").agg(F.count(F.lit(1)).alias("size")), "near-sizes")
     found = groups.join(sizes, "root").join(nodes.select("node", "copies"), "node")
@@ -240,7 +275,7 @@ def near_classes(
     ).select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "copies", "block", "elements")
     parts = ranged(candidates.count(), 4 * BLOCK, 4 * items.sparkSession.sparkContext.defaultParallelism)
     units = placed.repartition(parts, "root", "i", "j").sortWithinPartitions("root", "i", "j", "node")
-    checked = materialize(units.mapInArrow(_verifier(threshold), "node long, parent long, links long"), "near-checked")
+    checked = materialize(units.mapInArrow(_verifier(threshold, sets_in), "node long, parent long, links long"), "near-checked")
     classes = connected(checked.select(F.col("node").alias("u"), F.col("parent").alias("v")))
     links = checked.groupBy("node").agg(F.sum("links").alias("links"))
     return links.join(classes, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "links")

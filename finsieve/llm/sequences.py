@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from finsieve.llm import tokens
+from finsieve.llm.marks import mark, marked
 
 #: Stands for a missing id in keys; no document has it.
 NO_ID = (1 << 63) - 1
@@ -54,3 +57,22 @@ def with_key(docs: DataFrame) -> DataFrame:
 
 def _mark(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def may_hold(keys: DataFrame, count: int) -> Callable[[pa.RecordBatch], np.ndarray]:
+    """For batches with the first two columns of ``keys`` (an id and a mark): which rows may be among them.
+
+    The bitmap has 16 bits a key, up to 2**26 bits; a fuller one lets more pass.
+    """
+    def key(b: pa.RecordBatch, id_column: str, mark_column: str) -> np.ndarray:
+        ids, marks = (b.column(c).to_numpy(zero_copy_only=False) for c in (id_column, mark_column))
+        return (tokens.mix(ids.view(np.uint64)) ^ marks.view(np.uint64)).view(np.int64)
+
+    names = keys.columns[:2]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(key(b, *names))], names=["key"])
+
+    bitmap = mark(keys.select(*names).mapInArrow(run, "key long"), "key", min(max((16 * count).bit_length(), 16), 26))
+    return lambda b: marked(bitmap.value, key(b, *names))

@@ -62,14 +62,14 @@ SQL = {
     "op10_line_dedup": """
         with recursive l as (select doc_id, generate_subscripts(ls, 1) - 1 as line_no, unnest(ls) as line
                              from (select doc_id, string_split(text, chr(10)) as ls from documents where text is not null)),
-             o as (select doc_id, line_no, hex(encode(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                          '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g'))) as h from l),
+             o as (select doc_id, line_no, regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                          '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g') as h from l),
              node as (select h, min((coalesce(doc_id, 9223372036854775807), line_no)) as place from o where h <> '' group by h),
-             sets as (select h, list_distinct(list_transform(range(0, greatest(length(h) // 2 - 9, 1)), lambda i: substr(h, 2 * i + 1, 20))) as g from node),
+             sets as (select h, list_distinct(list_transform(range(0, greatest(length(h) - 4, 1)), lambda i: substr(h, i + 1, 5))) as g from node),
              e as (select h, len(g) as n, unnest(g) as s from sets),
              rare as (select *, row_number() over (partition by h order by df, s) as rk from (select *, count(*) over (partition by s) as df from e)),
-             pre as (select h, s from rare where rk <= n - ceil(0.8 * n) + 1),
-             cand as (select distinct a.h as a, b.h as b from pre a join pre b on a.s = b.s and a.h < b.h),
+             pre as (select h, s, n from rare where rk <= n - ceil(0.8 * n) + 1),
+             cand as (select distinct a.h as a, b.h as b from pre a join pre b on a.s = b.s and a.h < b.h and a.n * 10 >= 8 * b.n and b.n * 10 >= 8 * a.n),
              pair as (select a, b from cand join sets x on a = x.h join sets y on b = y.h
                       where len(list_intersect(x.g, y.g)) * 10 >= 8 * (len(x.g) + len(y.g) - len(list_intersect(x.g, y.g)))),
              links as (select a, b from pair union all select b, a from pair),
