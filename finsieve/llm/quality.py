@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from finsieve.llm import tokens
+from finsieve.llm.sequences import may_hold
 from finsieve.llm.shared import Shipped
 from finsieve.session import materialize
 
@@ -303,7 +304,27 @@ def train(docs: DataFrame, labels: DataFrame) -> Pair:
     held = tokens.mix(labelled.column("doc_id").to_numpy().astype(np.uint64)) % np.uint64(4) == 0
     if len(y) == 0 or not 0 < y[held].sum() < held.sum() or not 0 < y[~held].sum() < (~held).sum():
         return Pair(None, None, [], np.zeros(3), float(y.mean()) if len(y) else 1.0)
-    return co_train({v: matrix(v) for v in ("text", "page")}, y, held, _ranker(rows.join(usable, "doc_id", "left_anti")))
+    return co_train({v: matrix(v) for v in ("text", "page")}, y, held, _ranker(_unlabelled(rows, usable)))
+
+
+def _unlabelled(rows: DataFrame, labelled: DataFrame) -> DataFrame:
+    """The rows whose id has no label, read in place.
+
+    A bitmap over the labelled ids tells most of them; only rows that may have a label are joined, once, and those of them that have none are landed.
+    """
+    named = rows.withColumn("zero", F.lit(0).cast("long"))
+    chosen = may_hold(labelled.select("doc_id", F.lit(0).cast("long").alias("zero")), labelled.count())
+
+    def sure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(~chosen(b)))
+
+    def perhaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(chosen(b)))
+
+    rest = materialize(named.mapInArrow(perhaps, named.schema).join(labelled.select("doc_id"), "doc_id", "left_anti"), "quality-rest")
+    return named.mapInArrow(sure, named.schema).unionByName(rest).drop("zero")
 
 
 def _scored(docs: DataFrame, labels: DataFrame, added: list[str]) -> DataFrame:
