@@ -310,21 +310,24 @@ def train(docs: DataFrame, labels: DataFrame) -> Pair:
 def _unlabelled(rows: DataFrame, labelled: DataFrame) -> DataFrame:
     """The rows whose id has no label, read in place.
 
-    A bitmap over the labelled ids tells most of them; only rows that may have a label are joined, once, and those of them that have none are landed.
+    A bitmap over the labelled ids tells most of them. Of rows that may have a label the keys are joined, and only the texts of those
+    that turn out to have none move, once.
     """
     named = rows.withColumn("zero", F.lit(0).cast("long"))
     chosen = may_hold(labelled.select("doc_id", F.lit(0).cast("long").alias("zero")), labelled.count())
 
-    def sure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield b.filter(pa.array(~chosen(b)))
+    def keep(df: DataFrame, wanted: Callable[[pa.RecordBatch], np.ndarray]) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield b.filter(pa.array(wanted(b)))
 
-    def perhaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield b.filter(pa.array(chosen(b)))
+        return df.mapInArrow(run, df.schema)
 
-    rest = materialize(named.mapInArrow(perhaps, named.schema).join(labelled.select("doc_id"), "doc_id", "left_anti"), "quality-rest")
-    return named.mapInArrow(sure, named.schema).unionByName(rest).drop("zero")
+    perhaps = keep(named.select("doc_id", "zero", "mark"), chosen).select("doc_id", "mark").distinct()
+    spared = materialize(perhaps.join(labelled.select("doc_id"), "doc_id", "left_anti").select("doc_id", "mark"), "quality-spared")
+    passed = may_hold(spared, spared.count())
+    rest = keep(named, lambda b: chosen(b) & passed(b)).join(spared, ["doc_id", "mark"], "left_semi").select(*named.columns)
+    return keep(named, lambda b: ~chosen(b)).unionByName(materialize(rest, "quality-rest")).drop("zero")
 
 
 def _scored(docs: DataFrame, labels: DataFrame, added: list[str]) -> DataFrame:
