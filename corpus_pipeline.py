@@ -43,7 +43,7 @@ STAGES = [
     ("SentencePiece encoding", sentencepiece_stage),
 ]
 
-#: The first stage is a trained classifier, so SQL cannot give the rows; tests compare every stage with brute force instead.
+#: The first stage is a trained classifier, so SQL cannot give the rows; tests/llm holds the stages' operators against brute force or held-out rows.
 ORACLE_SQL = None
 
 
