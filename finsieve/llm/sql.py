@@ -24,17 +24,17 @@ SQL = {
     "op1_benchmark_decontamination": """
         with d as (select row_number() over () as row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                           '[^\\x20\\x09-\\x0D]+') as ws from documents),
-             b as (select min(item_id) as item_id, ws, len(ws) as n, least(16, len(ws)) as width,
+             b as (select row_number() over (order by ws) as item, min(item_id) as item_id, ws, len(ws) as n, least(16, len(ws)) as width,
                           case when len(ws) >= 8 then 3 else least(2, len(ws)) end as k
                    from (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                           '[^\\x20\\x09-\\x0D]+') as ws from benchmark) where len(ws) > 0 group by ws),
-             ig as (select item_id, k, unnest(range(1, n - k + 2)) as pos, ws from b),
+             ig as (select item, k, unnest(range(1, n - k + 2)) as pos, ws from b),
              dg as (select row, k, ws, unnest(range(1, len(ws) - k + 2)) as pos, ws from d, (select distinct k from b)),
-             pairs as (select distinct row, item_id, x.pos - y.pos as shift from (select row, k, pos, array_to_string(ws[pos:pos + k - 1], ' ') as g from dg) x
-                       join (select item_id, k, pos, array_to_string(ws[pos:pos + k - 1], ' ') as g from ig) y on x.g = y.g and x.k = y.k),
-             same as (select p.row, p.item_id, p.shift, d.doc_id, b.width, len(d.ws) as m, b.n,
+             pairs as (select distinct row, item, x.pos - y.pos as shift from (select row, k, pos, array_to_string(ws[pos:pos + k - 1], ' ') as g from dg) x
+                       join (select item, k, pos, array_to_string(ws[pos:pos + k - 1], ' ') as g from ig) y on x.g = y.g and x.k = y.k),
+             same as (select p.row, b.item_id, p.shift, d.doc_id, b.width, len(d.ws) as m, b.n,
                              list_transform(range(1, b.n + 1), lambda i: case when i + p.shift between 1 and len(d.ws) and b.ws[i] = d.ws[i + p.shift] then 1 else 0 end) as hits
-                      from pairs p join d on p.row = d.row join b on p.item_id = b.item_id),
+                      from pairs p join d on p.row = d.row join b on p.item = b.item),
              wins as (select row, doc_id, item_id, shift, width, k, list_sum(hits[k + 1:k + width])::int as agreeing
                       from (select *, unnest(range(0, n - width + 1)) as k from same where list_sum(hits) * 10 >= 8 * width)
                       where k + shift >= 0 and k + shift + width <= m),
