@@ -16,9 +16,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from finsieve.llm.sequences import may_hold
 from finsieve.llm.shared import folded, ranged
 from finsieve.llm.tokens import mix
 from finsieve.session import materialize
@@ -198,13 +200,24 @@ def classes(docs: DataFrame) -> DataFrame:
 def keep_unique(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; of rows alike in id and text one stays.
 
-    Only groups of more than one row take part in the join back, by (doc_id, digest); the winner of a group is a single row.
+    Decided on (id, digest) rows. A bitmap over those that go, or occur more than once, lets all other rows stay in place; what
+    it passes is made single within each task before it moves, and moves once.
     """
-    named = docs.withColumn("__digest", F.unhex(F.sha2(folded().cast("binary"), 256)))
-    decided = classes(docs.select("doc_id", "text")).filter("kept").select(
-        F.col("doc_id").alias("__id"), F.unhex("text_sha256").alias("__digest")
-    ).distinct()
-    joined = named.join(
-        decided, named["doc_id"].eqNullSafe(decided["__id"]) & (named["__digest"] == decided["__digest"]), "left_semi"
+    key = ["__id", "__digest"]
+    changed = materialize(
+        classes(docs.select("doc_id", "text")).filter("group_size > 1").groupBy(
+            F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("__id"), F.unhex("text_sha256").alias("__digest")
+        ).agg(F.bool_or("kept").alias("kept"), F.count(F.lit(1)).alias("n")).filter("not kept or n > 1"), "dedup-changed",
     )
-    return joined.dropDuplicates(["doc_id", "__digest"]).drop("__digest")
+    chosen = may_hold(changed.select("__id", F.xxhash64("__digest").alias("__mark")), changed.count())
+
+    @F.pandas_udf("boolean")
+    def travels(ids: pd.Series, marks: pd.Series) -> pd.Series:
+        return pd.Series(chosen(pa.RecordBatch.from_arrays([pa.array(ids), pa.array(marks)], names=["__id", "__mark"])))
+
+    keyed = docs.withColumns({
+        "__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)), "__digest": F.unhex(F.sha2(folded().cast("binary"), 256))
+    })
+    perhaps = travels("__id", F.xxhash64("__digest"))
+    some = keyed.filter(perhaps).dropDuplicates(key).join(changed.filter("not kept").select(*key), key, "left_anti")
+    return keyed.filter(~perhaps).unionByName(some).drop(*key)

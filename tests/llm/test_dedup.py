@@ -54,6 +54,17 @@ def test_keep_unique_keeps_columns_and_one_row(spark):
     assert len(got) == len(set(got)) == len(_expected_exact(fx.texts()))
 
 
+def test_keep_unique_of_hot_rows(spark):
+    """A third of the rows are one row, a third copies under ids of their own, some without an id; single rows stay in place."""
+    rows = [(7, "the same row")] * 500 + [(k, "A Copy") for k in range(1000, 1500)] + [(None, "a copy"), (None, "nobody's"), (None, "NOBODY'S")]
+    rows += [(k, f"text {k}") for k in range(2000, 2500)] + [(2000, None), (2001, "")]
+    docs = fx.documents(spark, rows)
+    got = sorted(((r.doc_id or 0, fx.fold(r.text)) for r in exact_dedup.keep_unique(docs).collect()))
+    assert got == sorted([(7, "the same row"), (1499, "a copy"), (0, "nobody's"), (2001, "")] + [(k, f"text {k}") for k in range(2000, 2500)])
+    assert exact_dedup.keep_unique(fx.empty(spark)).columns == docs.columns and exact_dedup.keep_unique(fx.empty(spark)).count() == 0
+
+
+
 def test_banding():
     bands, rows = near.choose_banding(0.8, 0.9999, 192)
     assert bands * rows <= 192 and 1 - (1 - 0.8**rows) ** bands >= 0.9999
