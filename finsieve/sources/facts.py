@@ -151,17 +151,15 @@ def observations(
     Tags become rows next to their concept and preference, so the concept map
     needs no join; a tag serving two concepts gives rows for both.
     """
-    entries = F.array(*[
-        F.struct(
-            F.lit(concept).alias("concept"), F.lit(priority).alias("priority"), F.lit(tag).alias("tag"),
-            F.col("facts").getField(taxonomy).getField(tag).getField("units").getField(unit).alias("obs"),
-        )
-        for concept, tags in concepts.items() for priority, tag in enumerate(tags)
-    ])
-    # tags a document does not hold go before they become rows
-    held = F.filter(entries, lambda e: e["obs"].isNotNull())
+    def entry(concept: str, priority: int, tag: str) -> Column:
+        obs = F.col("facts").getField(taxonomy).getField(tag).getField("units").getField(unit)
+        return F.when(obs.isNotNull(), F.struct(F.lit(concept).alias("concept"), F.lit(priority).alias("priority"), F.lit(tag).alias("tag"), obs.alias("obs")))
+
+    entries = F.array(*[entry(concept, priority, tag) for concept, tags in concepts.items() for priority, tag in enumerate(tags)])
+    # tags a document does not hold go before they become rows; the array is a column of its own, as what a filter's lambda reads is not compiled
     return (
-        docs.select("cik", F.col("entityName").alias("company_name"), F.explode(held).alias("e"))
+        docs.select("cik", F.col("entityName").alias("company_name"), entries.alias("_entries"))
+        .select("cik", "company_name", F.explode(F.filter("_entries", lambda e: e.isNotNull())).alias("e"))
         .select("cik", "company_name", "e.concept", "e.priority", "e.tag", F.explode("e.obs").alias("o"))
         .select("cik", "company_name", "concept", "priority", "tag", "o.*")
     )
