@@ -44,12 +44,12 @@ def pick_tags(filed: DataFrame, tag_policy: str = "per_company") -> DataFrame:
 
 
 def min_years(long: DataFrame, years: int) -> DataFrame:
-    """Companies with at least ``years`` distinct years."""
-    enough = (
-        long.select("cik", "year").distinct().groupBy("cik").agg(F.count("year").alias("_years"))
-        .filter(F.col("_years") >= years)
-    )
-    return long.join(enough, "cik", "left_semi")
+    """Companies with at least ``years`` distinct years.
+
+    Counted over a company's own rows (concepts x years), so that ``long`` is worked out once.
+    """
+    seen = F.size(F.collect_set("year").over(Window.partitionBy("cik")))
+    return long.withColumn("_years", seen).filter((F.col("_years") >= years) & F.col("cik").isNotNull()).drop("_years")
 
 
 def lookup_cik(tickers: DataFrame, master: DataFrame) -> tuple[DataFrame, DataFrame]:

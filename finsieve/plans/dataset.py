@@ -34,11 +34,10 @@ def raw_table(
     docs: DataFrame, master: DataFrame, tickers: DataFrame | None = None, min_years: int = 3, **options
 ) -> DataFrame:
     """Long company-year table of the wanted tickers (all of the master by
-    default) with enough years on file."""
-    companies = master
-    if tickers is not None:
-        companies = ingest.restrict_to(master, tickers)
-        docs = docs.join(ingest.company_of(companies).select("cik"), "cik", "left_semi")
+    default) with enough years on file.
+
+    Other companies drop where the ticker joins, after documents have shrunk to one row per tag and year."""
+    companies = master if tickers is None else ingest.restrict_to(master, tickers)
     return ingest.min_years(ingest.with_ticker(long_facts(docs, **options), companies), min_years)
 
 

@@ -271,3 +271,17 @@ def test_seed_resolution(spark):
 def test_name_normalisation(spark):
     df = spark.createDataFrame([("The ACME Holdings, Inc.",), ("Ünïted-Cö Co",), ("Inc.",)], "n string")
     assert [r[0] for r in df.select(tx.normalise_name(F.col("n"))).collect()] == ["the acme", "ünïted cö", ""]
+
+
+def test_observations_are_compiled_and_companies_counted_once(spark):
+    """The tags of a document become a column before they are filtered; the years of a company need no second pass over its facts."""
+    body = '{"entityName": "A", "cik": 7, "facts": {"us-gaap": {"Assets": {"units": {"USD": [{"end": "%d-12-31", "val": 5, "form": "10-K", "filed": "%d-02-01"}]}}}}}'
+    docs = fx.parse_facts(spark.createDataFrame([(body % (y, y + 1),) for y in (2001, 2002, 2002, 2003)] + [("{}",)], "json string"))
+    obs = fx.observations(docs)
+    assert sorted((r.concept, r.priority, r.tag, r.end) for r in obs.collect())[0] == ("total_assets", 0, "Assets", "2001-12-31") and obs.count() == 4
+    held = [line for line in obs._jdf.queryExecution().optimizedPlan().toString().splitlines() if "filter(" in line]
+    assert held and not any("total_assets" in line for line in held)
+    master = spark.createDataFrame([("0000000007", "T", "A")], "cik string, ticker string, title string")
+    raw = dataset.raw_table(docs, master, spark.createDataFrame([("t",)], "ticker string"), 3)
+    assert raw.count() == 3 and dataset.raw_table(docs, master, None, 4).count() == 0
+    assert raw._jdf.queryExecution().optimizedPlan().toString().count("from_json") <= 1
