@@ -700,16 +700,24 @@ def stream_refresh(spark, d):
 
 # learning --------------------------------------------------------------------------------
 
-def _array_rows(spark: SparkSession, d: str) -> DataFrame:
-    """(cik, year, y, features): the features the models train on, missing ones at their median."""
-    table = materialize(_labelled(spark, d), "labelled")
-    medians = {f: v[0] if v[0] is not None else 0.0 for f, v in exact_quantiles(table, list(fea.TRAINED), [0.5], landed=True).items()}
+def _training_table(spark: SparkSession, d: str) -> tuple[DataFrame, dict[str, float]]:
+    """The labelled columns that the models read, landed, and the features' medians."""
+    table = materialize(_labelled(spark, d).select("cik", "year", "is_fraud", *fea.TRAINED), "labelled")
+    return table, {f: v[0] if v[0] is not None else 0.0 for f, v in exact_quantiles(table, list(fea.TRAINED), [0.5], landed=True).items()}
+
+
+def _filled_rows(table: DataFrame, medians: dict[str, float]) -> DataFrame:
     return materialize(
         table.select("cik", "year", F.col("is_fraud").alias("y"), models.feature_array(list(fea.TRAINED), medians).alias("features")),
         "rows",
     )
 
 
+def _array_rows(spark: SparkSession, d: str) -> DataFrame:
+    """(cik, year, y, features): the features the models train on, missing ones at their median."""
+    return _filled_rows(*_training_table(spark, d))
+
+
 def class_weight(spark, d):
     rows = materialize(_labelled(spark, d).select("is_fraud", "is_bankrupt"), "labels")
     counts = {t: smote.class_counts(rows, t) for t in ("is_fraud", "is_bankrupt")}
@@ -740,9 +748,8 @@ def iso_small(spark, d):
     return rows.select("cik", "year", F.round(isolation.anomaly(arrays, n, F.col("features"), sample=16), 6).alias("anomaly"))
 
 
-def _one_tree(spark: SparkSession, d: str) -> tuple[DataFrame, list[boosting.Tree]]:
-    """The rows and one tree over all of them, cut at eighths of each feature: small enough for SQL to find the same splits."""
-    rows = _array_rows(spark, d)
+def _one_tree(rows: DataFrame) -> list[boosting.Tree]:
+    """One tree over all rows, cut at eighths of each feature: small enough for SQL to find the same splits."""
     names = list(fea.TRAINED)
     wide = materialize(rows.select(*[F.get("features", F.lit(i)).alias(c) for i, c in enumerate(names)]), "tree-columns")
     eighths = exact_quantiles(wide, names, [k / 8 for k in range(1, 8)], landed=True)
@@ -753,11 +760,11 @@ def _one_tree(spark: SparkSession, d: str) -> tuple[DataFrame, list[boosting.Tre
         F.lit(0).alias("grp"), boosting.row_key(0, "cik", "year").alias("key"), F.col("y").cast("double").alias("y"), weight.alias("w"), "features"
     )
     settings = boosting.Settings(trees=1, depth=2, learning_rate=0.3, min_child=8, gamma=0.1, row_share=1.0, feature_share=1.0, bins=8)
-    return rows, boosting.fit(training, len(names), settings, cuts)[0]
+    return boosting.fit(training, len(names), settings, cuts)[0]
 
 
 def boost_tree(spark, d):
-    _, trees = _one_tree(spark, d)
+    trees = _one_tree(_array_rows(spark, d))
     names = F.array(*[F.lit(c) for c in fea.TRAINED])
     inner = F.col("feature") >= 0
     return boosting.to_table(spark, {0: trees}).select(
@@ -767,12 +774,14 @@ def boost_tree(spark, d):
 
 
 def boost_margins(spark, d):
-    rows, trees = _one_tree(spark, d)
+    rows = _array_rows(spark, d)
+    trees = _one_tree(rows)
     return rows.select("cik", "year", F.round(boosting.margin(trees, F.col("features")), 6).alias("margin"))
 
 
 def tree_attribution(spark, d):
-    rows, trees = _one_tree(spark, d)
+    rows = _array_rows(spark, d)
+    trees = _one_tree(rows)
     used = sorted({int(f) for tree in trees for f in tree.feature if f >= 0})
     phi = attribution.attributions(attribution.leaf_paths(trees), F.col("features"))
     shown = rows.select("cik", "year", phi.alias("phi")).select("cik", "year", *[F.get("phi", F.lit(f)).alias(fea.TRAINED[f]) for f in used])
@@ -781,14 +790,14 @@ def tree_attribution(spark, d):
 
 def model_scores(spark, d):
     """A model of one tree and three small isolation trees, saved, loaded, and applied to the labelled table with its gaps."""
-    rows, trees = _one_tree(spark, d)
+    table, medians = _training_table(spark, d)
+    rows = _filled_rows(table, medians)
+    trees = _one_tree(rows)
     n, _ = smote.class_counts(rows)
     forest = materialize(isolation.grow_forest(rows, n, trees=3, sample=16, seed=7), "small-forest")
     raw = rows.select(isolation.anomaly(isolation.forest_arrays(forest), n, F.col("features")).alias("a"))
     low, high = raw.agg(F.min("a"), F.max("a")).first()
-    table = materialize(_labelled(spark, d), "labelled")
     names = list(fea.TRAINED)
-    medians = {f: v[0] if v[0] is not None else 0.0 for f, v in exact_quantiles(table, names, [0.5], landed=True).items()}
     path = _folder(spark, "small-model")
     models.FittedRiskModel(models.fraud_model(max_depth=2), names, medians, trees, forest, n, low, high).save(path)
     scored = models.FittedRiskModel.load(spark, path).predict(table, explain=False)
@@ -797,20 +806,23 @@ def model_scores(spark, d):
 
 def stored_tree(spark, d):
     """The tree's margins after its node table was written and read back."""
-    rows, trees = _one_tree(spark, d)
+    rows = _array_rows(spark, d)
+    trees = _one_tree(rows)
     nodes = sinks.write_table(boosting.to_table(spark, {0: trees}), _folder(spark, "stored-tree"))
     again = boosting.from_table(nodes, 2)[0]
     return rows.select("cik", "year", F.round(boosting.margin(again, F.col("features")), 6).alias("margin"))
 
 
 def tree_importance(spark, d):
-    rows, trees = _one_tree(spark, d)
+    rows = _array_rows(spark, d)
+    trees = _one_tree(rows)
     phi = rows.select(attribution.attributions(attribution.leaf_paths(trees), F.col("features")).alias("phi"))
     return attribution.importance(phi, list(fea.TRAINED), models.FEATURE_LABELS)
 
 
 def tree_top3(spark, d):
-    rows, trees = _one_tree(spark, d)
+    rows = _array_rows(spark, d)
+    trees = _one_tree(rows)
     told = rows.withColumn("phi", attribution.attributions(attribution.leaf_paths(trees), F.col("features")))
     top = attribution.top_features(F.col("phi"), F.col("features"), list(fea.TRAINED), models.FEATURE_LABELS)
     return told.select("cik", "year", F.inline(top))

@@ -162,3 +162,19 @@ def test_queries_fit_the_models_own_settings(monkeypatch, prefix, model):
             getattr(queries, prefix + name)(None, "")
         assert seen.value.args == (model,)
     assert (model.trees, model.learning_rate) == ((400, 0.05) if prefix else (500, 0.04))
+
+
+def test_model_scores_work_the_labelled_table_out_once(spark, monkeypatch):
+    calls = []
+    labelled = queries._labelled
+    monkeypatch.setattr(queries, "_labelled", lambda *given: calls.append(1) or labelled(*given))
+    monkeypatch.setattr(queries, "_one_tree", lambda rows: [])
+    monkeypatch.setattr(models.FittedRiskModel, "save", lambda self, path: None)
+    monkeypatch.setattr(models.FittedRiskModel, "load", staticmethod(lambda session, path: Unscored()))
+    assert queries.model_scores(spark, "/root/testdata/sf0.001").columns == ["cik", "year", "score", "xgb_prob", "iso_score"]
+    assert len(calls) == 1
+
+
+class Unscored:
+    def predict(self, table, explain):
+        return table.select("*", *[F.lit(0.0).alias(c) for c in ("score", "xgb_prob", "iso_score")])
