@@ -71,18 +71,21 @@ def previous(name: str, rows: int = 1) -> str:
     return f"lag({name}, {rows}) over ({COMPANY})"
 
 
-def growth(name: str, pad: bool = True, inf_mode: str = "null") -> Column:
+def reported_before(name: str, pad: bool = True) -> str:
+    """What :func:`growth` compares with: the last reported value before the row, or without ``pad`` that of the row before."""
+    return f"last_value({name}, true) over ({COMPANY} rows between unbounded preceding and 1 preceding)" if pad else previous(name)
+
+
+def growth(name: str, pad: bool = True, inf_mode: str = "null", prev: str | None = None) -> Column:
     """Year-over-year change.
 
     ``pad`` carries the last reported value over gaps first, on both sides of
     the comparison. ``inf_mode='null'`` yields NULL on a zero base, ``'ieee'``
-    yields signed infinity (and NULL for 0/0).
+    yields signed infinity (and NULL for 0/0). ``prev`` names a column that
+    holds :func:`reported_before`: Spark works every mention of a window out anew.
     """
-    if pad:
-        prev = f"last_value({name}, true) over ({COMPANY} rows between unbounded preceding and 1 preceding)"
-        curr = f"coalesce({name}, {prev})"
-    else:
-        prev, curr = previous(name), name
+    prev = prev or reported_before(name, pad)
+    curr = f"coalesce({name}, {prev})" if pad else name
     change = f"{div(curr, prev)} - 1"
     if inf_mode == "null":
         return F.expr(change)
@@ -92,14 +95,15 @@ def growth(name: str, pad: bool = True, inf_mode: str = "null") -> Column:
     )
 
 
-def rolling_slope(name: str) -> Column:
+def rolling_slope(name: str, before: str | None = None, oldest: str | None = None) -> Column:
     """OLS slope over the last three rows, divided by their mean magnitude.
 
     Missing values drop out and the rest are re-indexed 0..n-1, so for two or
     three points the slope is (last - first) / (n - 1). Needs two points; a
-    zero mean magnitude divides by one.
+    zero mean magnitude divides by one. ``before`` and ``oldest`` name columns
+    that hold the values of the two rows before.
     """
-    before, oldest = previous(name, 1), previous(name, 2)
+    before, oldest = before or previous(name, 1), oldest or previous(name, 2)
     n = " + ".join(f"int({p} is not null)" for p in (oldest, before, name))
     rise = f"(coalesce({name}, {before}) - coalesce({oldest}, {before})) / ({n} - 1)"
     mean = "(" + " + ".join(f"coalesce(abs({p}), 0)" for p in (oldest, before, name)) + f") / ({n})"

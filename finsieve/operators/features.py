@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from finsieve.functions.numeric import clip, div, growth, previous, ratio, rolling_slope
+from finsieve.functions.numeric import clip, div, growth, previous, ratio, reported_before, rolling_slope
 from finsieve.operators.panel import with_columns_or_null
 from finsieve.operators.quantiles import exact_quantiles
 from finsieve.sources.sample import CONCEPTS
@@ -49,7 +49,7 @@ _PRIOR = ("receivables", "revenue", "gross_profit", "current_assets", "total_ass
 
 
 def feature_table(wide: DataFrame, pad: bool = True, inf_mode: str = "null") -> DataFrame:
-    """All 53 features, not winsorised. Two layers over one sort by
+    """All 53 features, not winsorised. Three layers over one sort by
     (cik, year); interactions read the unclipped values of the same row."""
     base = with_columns_or_null(wide, CONCEPTS).select(
         *IDS, *CONCEPTS,
@@ -72,12 +72,18 @@ def feature_table(wide: DataFrame, pad: bool = True, inf_mode: str = "null") ->
         ratio("abs(capex)", "revenue").alias("f_capex_revenue"),
         ratio("coalesce(goodwill, 0) + coalesce(intangibles, 0)", "total_assets").alias("f_goodwill_assets"),
     )
-    moved = base.select(
+    # each window once, under a name of its own
+    seen = base.select(
         "*",
-        *[growth(source, pad, inf_mode).alias(name) for name, source in _YOY_OF.items()],
-        *[rolling_slope(source).alias(name) for name, source in _TREND_OF.items()],
+        *[F.expr(reported_before(source, pad)).alias(f"r_{source}") for source in _YOY_OF.values()],
+        *[F.expr(previous(source, k)).alias(f"p{k}_{source}") for source in _TREND_OF.values() for k in (1, 2)],
         *[F.expr(previous(name)).alias(f"p_{name}") for name in _PRIOR],
     )
+    moved = seen.select(
+        "*",
+        *[growth(source, pad, inf_mode, f"r_{source}").alias(name) for name, source in _YOY_OF.items()],
+        *[rolling_slope(source, f"p1_{source}", f"p2_{source}").alias(name) for name, source in _TREND_OF.items()],
+    )
     accruals = ratio("net_income - cfo", "total_assets")
     return moved.select(
         *IDS, *RATIO, *_YOY_OF,

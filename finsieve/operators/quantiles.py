@@ -17,13 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from finsieve.session import materialize
+from finsieve.session import compiled_methods, materialize
 
 FIRST_BITS = 16
 NEXT_BITS = 12
 #: Rows under the open prefixes that one last pass may list by value.
 FEW_ROWS = 100_000
-#: Batches whose counts a task keeps side by side; then it adds them up, so it holds distinct prefixes and never a column.
+#: Batches whose listed values a task keeps side by side; then it adds them up, so it holds distinct prefixes and never a column.
 MERGED = 16
 _SIGN = np.uint64(1 << 63)
 
@@ -53,25 +53,50 @@ def _counted(df: DataFrame, columns: list[str], open_prefixes: dict[int, list[in
     """Per (column, open prefix of ``known`` bits): the next ``bits`` bits that occur, ascending, and their counts."""
     shift = np.uint64(64 - known - bits)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def values_of(b: pa.RecordBatch, c: int) -> np.ndarray:
+        return ordered_bits(b.column(c).drop_null().to_numpy(zero_copy_only=False))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Few bits: an array of counts per open prefix, nothing is sorted."""
+        tally = {(c, p): np.zeros(1 << bits, np.int64) for c, prefixes in open_prefixes.items() for p in prefixes}
+        low = np.uint64((1 << bits) - 1)
+        for b in batches:
+            for c, prefixes in open_prefixes.items():
+                x = values_of(b, c) >> shift
+                above = x >> np.uint64(bits)
+                for p in prefixes:
+                    some = x[above == np.uint64(p)] if known else x
+                    tally[c, p] += np.bincount((some & low).view(np.int64), minlength=1 << bits)
+        for (c, p), counts in tally.items():
+            found = np.flatnonzero(counts)
+            yield c, found.astype(np.uint64) | np.uint64(p << bits), counts[found]
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Many bits, few rows: the values themselves."""
         held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {c: [] for c in open_prefixes}
         for k, b in enumerate(batches, 1):
             for c, prefixes in open_prefixes.items():
-                x = ordered_bits(b.column(c).drop_null().to_numpy(zero_copy_only=False))
+                x = values_of(b, c)
                 if known:
-                    x = x[np.isin(x >> np.uint64(64 - known), np.array(prefixes, np.uint64))]
+                    above = x >> np.uint64(64 - known)
+                    x = x[np.logical_or.reduce([above == np.uint64(p) for p in prefixes])]
                 held[c].append(np.unique(x >> shift, return_counts=True))
                 if k % MERGED == 0:
                     held[c] = [_merged(held[c])]
         for c, parts in held.items():
-            found, counts = _merged(parts)
+            yield c, *_merged(parts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c, found, counts in (counted if bits <= FIRST_BITS else listed)(batches):
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(len(found), c, np.int32)), pa.array(found.view(np.int64)), pa.array(counts)], names=["c", "bits", "n"]
             )
 
-    got = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(columns)]).mapInArrow(
+    counts_of = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(columns)]).mapInArrow(
         run, "c int, bits long, n long"
-    ).groupBy("c", "bits").agg(F.sum("n").alias("n")).toArrow()
+    ).groupBy("c", "bits").agg(F.sum("n").alias("n"))
+    with compiled_methods(df.sparkSession):
+        got = counts_of.toArrow()
     column, found, counts = (got.column(k).to_numpy() for k in ("c", "bits", "n"))
     found = found.view(np.uint64)
     out = {}
