@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from finsieve.operators import boosting
 from finsieve.operators import features as fea
 from finsieve.operators import isolation as iso
 from finsieve.session import compiled_methods, materialize
@@ -69,3 +70,21 @@ def test_anomaly_equals_a_plain_walk(spark):
     feature, _, child, _, steps = iso._stepped(*arrays[0])
     leaves = np.flatnonzero(arrays[0][0] < 0)
     assert (child[2 * leaves] == leaves).all() and (child[2 * leaves + 1] == leaves).all() and 0 < steps <= 6
+
+
+def test_bringing_margins_up_to_date_is_no_job_of_its_own(spark):
+    rng = np.random.default_rng(8)
+    data = [(0, int(k), float(rng.random() < 0.4), 1.0, [float(v) for v in rng.normal(size=3)]) for k in range(400)]
+    rows = spark.createDataFrame(data, "grp int, key long, y double, w double, features array<double>").repartition(3)
+    cuts, sc = boosting.quantile_cuts(rows, 3, 16), spark.sparkContext
+
+    def jobs(trees: int) -> int:
+        sc.setJobGroup(f"fit-{trees}", "")
+        try:
+            settings = boosting.Settings(trees=trees, depth=1, bins=16, min_child=1.0)
+            assert len(boosting.fit(rows, 3, settings, cuts)[0]) == trees
+            return len(sc.statusTracker().getJobIdsForGroup(f"fit-{trees}"))
+        finally:
+            sc.setLocalProperty("spark.jobGroup.id", None)
+
+    assert jobs(boosting.REFRESH + 1) - jobs(boosting.REFRESH) == 1
