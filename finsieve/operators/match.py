@@ -201,9 +201,9 @@ def _score_group(t: float):
             fits = (least <= np.minimum(n, group.lengths)) & (np.bitwise_count(own & ~group.present) <= n - least) & (
                 np.bitwise_count(group.present & ~own) <= group.lengths - least)
             before = np.array([r for r in prefix if r < rank], np.int64)
-            if width and len(before):
-                fits &= ~np.isin(met, before).any(axis=1)
             rows = np.flatnonzero(fits)
+            if len(rows) and width and len(before):  # runs are compared only where the bounds leave a pair open
+                rows = rows[~np.isin(met[rows], before).any(axis=1)]
             if len(rows) == 0:
                 continue
             ratios = 200.0 * group.common(a, rows) / (n + group.lengths[rows])
