@@ -27,6 +27,11 @@ SCORE_WINDOW = 96
 TRAIN_LANES = 64
 SCORE_LANES = 512
 RATE = 0.004
+#: Tokens of one class that go through a batched product together.
+TRAIN_CHUNK = 16
+#: Tokens whose classes are scored at once.
+_ROWS = 1 << 12
+_ONE = np.float32(1)
 _NAMES = ("inputs", "recurrent", "classes", "class_bias", "members", "member_bias")
 
 
@@ -97,50 +102,105 @@ class Stream:
     sizes: np.ndarray
 
 
+@dataclass
+class _Window:
+    """A stretch of steps over all lanes, step by step: token positions, inputs, where each step begins, and what the steps computed."""
+
+    at: np.ndarray
+    inputs: np.ndarray
+    first: np.ndarray
+    over: np.ndarray
+    ended: np.ndarray    # whether a document ends in the step
+    before: np.ndarray
+    gates: np.ndarray
+    candidates: np.ndarray
+    proposed: np.ndarray
+
+
+class _Members:
+    """Tokens of classes with members, dealt to chunks of ``TRAIN_CHUNK`` tokens of one class: one batched product serves all classes."""
+
+    def __init__(self, p: Parameters, h: np.ndarray, c: np.ndarray, m: np.ndarray):
+        rows = TRAIN_CHUNK
+        order = np.argsort(c, kind="stable")
+        self.tokens = order[:np.searchsorted(c[order], HEAD_CLASSES)]
+        own = c[self.tokens]
+        sizes = np.bincount(own, minlength=HEAD_CLASSES)
+        chunks = -(-sizes // rows)
+        self.classes = np.flatnonzero(sizes)
+        self.begin = (np.cumsum(chunks) - chunks)[self.classes]
+        slot = (np.cumsum(chunks) - chunks) * rows - (np.cumsum(sizes) - sizes)
+        self.slot = slot[own] + np.arange(len(own))
+        of = np.repeat(np.arange(HEAD_CLASSES), chunks)
+        self.weights = p.members[of]
+        states = np.zeros((len(of) * rows, HIDDEN), np.float32)
+        states[self.slot] = h[self.tokens]
+        self.states = states.reshape(len(of), rows, HIDDEN)
+        logits = np.matmul(self.states, self.weights)
+        logits += p.member_bias[of][:, None, :]
+        self.chances = logits.reshape(-1, MEMBERS)
+        self.place = m[self.tokens]
+        np.exp(self.chances, out=self.chances)
+
+    def gradients(self, grads: dict[str, np.ndarray], dh: np.ndarray, share: np.float32) -> None:
+        """Fills in what the members' parameters get, and adds to ``dh`` what the states get."""
+        if len(self.tokens) == 0:
+            return
+        e = self.chances
+        scale = np.zeros(len(e), np.float32)
+        scale[self.slot] = _ONE / e.sum(axis=1)[self.slot]
+        e *= scale[:, None]
+        e[self.slot, self.place] -= 1
+        e = e.reshape(len(self.states), -1, MEMBERS)
+        weights = np.matmul(self.states.transpose(0, 2, 1), e).reshape(len(e), -1)
+        grads["members"][self.classes] = np.add.reduceat(weights, self.begin, axis=0).reshape(-1, HIDDEN, MEMBERS) * share
+        grads["member_bias"][self.classes] = np.add.reduceat(e.sum(axis=1), self.begin, axis=0) * share
+        dh[self.tokens] += np.matmul(e, self.weights.transpose(0, 2, 1)).reshape(-1, HIDDEN)[self.slot]
+
+
 class Network:
     def __init__(self, p: Parameters):
         self.p = p
 
-    def _step(self, h: np.ndarray, x: np.ndarray, keep: list | None) -> np.ndarray:
-        g = h @ self.p.recurrent
-        a = self.p.inputs.take(x, axis=0)
-        gates = a[:, :2 * HIDDEN] + g[:, :2 * HIDDEN]
-        np.negative(gates, out=gates)
-        np.exp(gates, out=gates)  # overflows to infinity, whose reciprocal is the right 0
-        gates += np.float32(1)
-        np.reciprocal(gates, out=gates)
-        r, z = gates[:, :HIDDEN], gates[:, HIDDEN:]
-        n = r * g[:, 2 * HIDDEN:]
-        n += a[:, 2 * HIDDEN:]
-        np.tanh(n, out=n)
-        new = h - n
-        new *= z
-        new += n
-        if keep is not None:
-            keep.append((h, r, z, n, g[:, 2 * HIDDEN:]))
-        return new
-
-    def _windows(self, s: Stream, most: int, length: int, keep: bool) -> Iterator[tuple[np.ndarray, np.ndarray, list, list]]:
-        """(positions, states before them, kept step values, lanes per step) window by window; states carry over."""
+    def _windows(self, s: Stream, most: int, length: int) -> Iterator[_Window]:
+        """The stream window by window; states carry over."""
         places = lanes(s.sizes, most)
         running = (places >= 0).sum(axis=1)
         h = np.zeros((places.shape[1], HIDDEN), np.float32)
         for lo in range(0, len(places), length):
-            at, before, kept, alive = [], [], [], []
-            for step, row in enumerate(places[lo:lo + length], lo):
-                row = row[:running[step]]
-                h = h[:running[step]]
-                at.append(row)
-                before.append(h)
-                x = s.inputs[row]
-                with np.errstate(over="ignore"):
-                    new = self._step(h, x, kept if keep else None)
-                over = x == END
-                if over.any():
-                    new[over] = 0
-                alive.append(~over)
-                h = new
-            yield np.concatenate(at), np.concatenate(before), kept, alive
+            block, counts = places[lo:lo + length], running[lo:lo + length]
+            at = block[block >= 0]
+            n = len(at)
+            x = s.inputs[at]
+            first = np.concatenate([[0], np.cumsum(counts)])
+            over = x == END
+            ended = np.logical_or.reduceat(over, first[:-1])
+            given = self.p.inputs.take(x, axis=0)
+            # gates are reciprocals of 1 + exp(-x)
+            gates, offered = -given[:, :2 * HIDDEN], given[:, 2 * HIDDEN:].copy()
+            recurrent = self.p.recurrent.copy()
+            recurrent[:, :2 * HIDDEN] *= -1
+            before = np.empty((n, HIDDEN), np.float32)
+            candidates, products = np.empty((n, HIDDEN), np.float32), np.empty((n, 3 * HIDDEN), np.float32)
+            with np.errstate(over="ignore"):  # infinity, whose reciprocal is the right 0
+                for t, m in enumerate(counts.tolist()):
+                    i, j = first[t], first[t + 1]
+                    state, gate, new = h[:m], gates[i:j], candidates[i:j]
+                    before[i:j] = state
+                    g = np.matmul(state, recurrent, out=products[i:j])
+                    gate += g[:, :2 * HIDDEN]
+                    np.exp(gate, out=gate)
+                    gate += _ONE
+                    np.reciprocal(gate, out=gate)
+                    np.multiply(gate[:, :HIDDEN], g[:, 2 * HIDDEN:], out=new)
+                    new += offered[i:j]
+                    np.tanh(new, out=new)
+                    state -= new
+                    state *= gate[:, HIDDEN:]
+                    state += new
+                    if ended[t]:
+                        state[over[i:j]] = 0
+            yield _Window(at, x, first, over, ended, before, gates, candidates, products[:, 2 * HIDDEN:])
 
     def _classes(self, h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(unscaled chances of all classes, their sums, logits of ``c``); logits stay far below overflow."""
@@ -169,22 +229,24 @@ class Network:
     def log_chances(self, s: Stream) -> np.ndarray:
         """Natural log probability per token: of its class, and within the class for shortlisted words."""
         out = np.zeros(len(s.inputs), np.float32)
-        for at, h, _, _ in self._windows(s, SCORE_LANES, SCORE_WINDOW, keep=False):
-            c = s.classes[at]
-            _, total, chosen = self._classes(h, c)
-            found = chosen - np.log(total)
+        for w in self._windows(s, SCORE_LANES, SCORE_WINDOW):
+            c = s.classes[w.at]
+            found = np.empty(len(c), np.float32)
+            for lo in range(0, len(c), _ROWS):
+                _, total, chosen = self._classes(w.before[lo:lo + _ROWS], c[lo:lo + _ROWS])
+                found[lo:lo + _ROWS] = chosen - np.log(total)
             for k, rows in self._by_class(c):
-                _, total, chosen = self._members(h[rows], k, s.members[at[rows]])
+                _, total, chosen = self._members(w.before[rows], k, s.members[w.at[rows]])
                 found[rows] += chosen - np.log(total)
-            out[at] = found
+            out[w.at] = found
         return out
 
     def train(self, s: Stream, adam: Adam) -> None:
         """One pass over the stream; a step per window, gradients cut at its start."""
         p = self.p
-        for at, h, kept, alive in self._windows(s, TRAIN_LANES, WINDOW, keep=True):
-            n = len(at)
-            c = s.classes[at]
+        for w in self._windows(s, TRAIN_LANES, WINDOW):
+            n = len(w.at)
+            h, c = w.before, s.classes[w.at]
             grads = {k: np.zeros_like(getattr(p, k)) for k in _NAMES}
             share = np.float32(1 / n)
             d, total, _ = self._classes(h, c)
@@ -193,42 +255,40 @@ class Network:
             grads["classes"][:] = (h.T @ d) * share
             grads["class_bias"][:] = d.sum(axis=0) * share
             dh = d @ p.classes.T
-            for k, rows in self._by_class(c):
-                own, m = h[rows], s.members[at[rows]]
-                e, total, _ = self._members(own, k, m)
-                e /= total[:, None]
-                e[np.arange(len(rows)), m] -= 1
-                grads["members"][k] = (own.T @ e) * share
-                grads["member_bias"][k] = e.sum(axis=0) * share
-                dh[rows] += e @ p.members[k].T
+            _Members(p, h, c, s.members[w.at]).gradients(grads, dh, share)
             dh *= share
-            carried = None
-            end = n
-            d_inputs = np.zeros((n, 3 * HIDDEN), np.float32)
-            for t in range(len(kept) - 1, -1, -1):
-                h0, r, z, cand, gn = kept[t]
-                m = len(h0)
-                lo = end - m
-                # what reaches the state after this step: from the next step's state, unless the document ended here
-                after = np.zeros((m, HIDDEN), np.float32)
-                if carried is not None:
-                    after[:len(carried)] = carried
-                    after[~alive[t]] = 0
-                dz = after * (h0 - cand) * z * (1 - z)
-                dn = after * (1 - z) * (1 - cand * cand)
-                dr = dn * gn * r * (1 - r)
-                da = np.concatenate([dr, dz, dn], axis=1)
-                dg = np.concatenate([dr, dz, dn * r], axis=1)
-                d_inputs[lo:end] = da
-                grads["recurrent"] += h0.T @ dg
-                carried = after * z + dg @ p.recurrent.T + dh[lo:end]
-                end = lo
-            x = s.inputs[at]
-            order = np.argsort(x, kind="stable")
-            rows, first = np.unique(x[order], return_index=True)
-            grads["inputs"][rows] = np.add.reduceat(d_inputs[order], first, axis=0)
+            self._back(w, dh, grads)
             adam.step(p, grads)
 
+    def _back(self, w: _Window, dh: np.ndarray, grads: dict[str, np.ndarray]) -> None:
+        """Gradients of the recurrent part from those of the states before each token."""
+        n = len(w.at)
+        h, r, z = w.before, w.gates[:, :HIDDEN].copy(), w.gates[:, HIDDEN:].copy()
+        # all that does not depend on later steps, for the whole window at once
+        rest = _ONE - z
+        to_n = rest * (_ONE - w.candidates * w.candidates)
+        factors = np.stack([to_n * w.proposed * r * (_ONE - r), (h - w.candidates) * z * rest, to_n * r], axis=1)
+        back = np.ascontiguousarray(self.p.recurrent.T)
+        dg, reached = np.empty((n, 3, HIDDEN), np.float32), np.empty((n, HIDDEN), np.float32)
+        # what reaches the states after a step: from the next step's states, unless a document ended here
+        carried = np.zeros((w.first[1], HIDDEN), np.float32)
+        for t in range(len(w.first) - 2, -1, -1):
+            i, j = w.first[t], w.first[t + 1]
+            after, part = carried[:j - i], dg[i:j]
+            if w.ended[t]:
+                after[w.over[i:j]] = 0
+            reached[i:j] = after
+            np.multiply(after[:, None, :], factors[i:j], out=part)
+            after *= z[i:j]
+            after += part.reshape(j - i, -1) @ back
+            after += dh[i:j]
+        dg = dg.reshape(n, -1)
+        grads["recurrent"][:] = h.T @ dg
+        order = np.argsort(w.inputs, kind="stable")
+        rows, first = np.unique(w.inputs[order], return_index=True)
+        np.multiply(reached, to_n, out=dg[:, 2 * HIDDEN:])
+        grads["inputs"][rows] = np.add.reduceat(dg[order], first, axis=0)
+
 
 class Adam:
     def __init__(self):
@@ -238,13 +298,23 @@ class Adam:
 
     def step(self, p: Parameters, grads: dict[str, np.ndarray]) -> None:
         self.t += 1
-        norm = float(np.sqrt(sum(float((g * g).sum()) for g in grads.values())))
+        norm = float(np.sqrt(sum(float(np.vdot(g, g)) for g in grads.values())))
         clip = min(1.0, 1.0 / max(norm, 1e-9))
         scale = np.float32(RATE * np.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t))
         for k, g in grads.items():
-            g *= np.float32(clip)
             m = self.m.setdefault(k, np.zeros_like(g))
             v = self.v.setdefault(k, np.zeros_like(g))
-            m += np.float32(0.1) * (g - m)
-            v += np.float32(0.001) * (g * g - v)
-            getattr(p, k)[...] -= scale * m / (np.sqrt(v) + np.float32(1e-8))
+            g *= np.float32(clip)
+            m *= np.float32(0.9)
+            v *= np.float32(0.999)
+            part = g * np.float32(0.1)
+            m += part
+            part *= g
+            part *= np.float32(0.01)
+            v += part
+            np.sqrt(v, out=part)
+            part += np.float32(1e-8)
+            np.divide(m, part, out=part)
+            part *= scale
+            values = getattr(p, k)
+            values -= part

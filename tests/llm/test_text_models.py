@@ -349,6 +349,23 @@ def test_gradients(monkeypatch):
         assert (loss[0] - loss[1]) / 0.02 == pytest.approx(g.reshape(-1)[at], rel=0.02)
 
 
+def test_members_of_all_classes_at_once_equal_those_class_by_class():
+    rng = np.random.default_rng(4)
+    c = np.concatenate([rng.integers(0, 3, 70), [7], rng.integers(recurrent.HEAD_CLASSES, recurrent.CLASSES, 20)])
+    h, m = rng.normal(size=(91, recurrent.HIDDEN)).astype(np.float32), rng.integers(0, recurrent.MEMBERS, 91)
+    p = recurrent.Parameters.start(rng.integers(1, 50, recurrent.SHORTLIST), np.ones(recurrent.TAIL))
+    grads, dh = {k: np.zeros_like(getattr(p, k)) for k in ("members", "member_bias")}, np.zeros_like(h)
+    recurrent._Members(p, h, c, m).gradients(grads, dh, np.float32(0.5))
+    network, plain, reached = recurrent.Network(p), {k: np.zeros_like(v) for k, v in grads.items()}, np.zeros_like(h)
+    for k, rows in network._by_class(c):
+        e, total, _ = network._members(h[rows], k, m[rows])
+        e /= total[:, None]
+        e[np.arange(len(rows)), m[rows]] -= 1
+        plain["members"][k], plain["member_bias"][k] = h[rows].T @ e * 0.5, e.sum(axis=0) * 0.5
+        reached[rows] = e @ p.members[k].T
+    assert all(np.allclose(grads[k], plain[k], atol=1e-5) for k in plain) and np.allclose(dh, reached, atol=1e-5)
+
+
 def test_windows_carry_the_state(monkeypatch):
     rng = np.random.default_rng(1)
     s = recurrent.Stream(rng.integers(1, 900, 100).astype(np.int16), rng.integers(0, recurrent.CLASSES, 100).astype(np.int16),
