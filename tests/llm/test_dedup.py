@@ -222,3 +222,15 @@ def test_signatures_do_not_depend_on_neighbours():
     together = near.bucket_keys(values, first, 4, 3)
     alone = near.bucket_keys(values[100:350], np.array([0, 250]), 4, 3)
     assert (together[2] == alone[0]).all() and (together[1] == 0).all()
+
+
+def test_bucket_keys_are_mixed_once_for_all_sets(monkeypatch):
+    rng = np.random.default_rng(6)
+    sizes = np.array([40, 0, 1, 300, 7, 90, 0])
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    values = rng.integers(0, 1 << 63, first[-1]).astype(np.uint64)
+    whole, calls, mix = near.bucket_keys(values, first, 4, 3), [], near.mix
+    monkeypatch.setattr(near, "_CACHE", 50)
+    monkeypatch.setattr(near, "mix", lambda x: calls.append(len(x)) or mix(x))
+    assert (near.bucket_keys(values, first, 4, 3) == whole).all() and (whole[sizes == 0] == 0).all()
+    assert calls == [5] * 12
