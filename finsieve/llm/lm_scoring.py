@@ -7,7 +7,7 @@ the most frequent words travel to the tasks as a table of fixed size, all other
 Training is data-parallel: documents are dealt to ``ROUNDS`` rounds and to replicas by hashes of id and text. A replica takes the
 round's parameters and runs over its documents; the parameters are averaged by tokens on the executors, chunk by chunk, in the
 order of the replicas. The number of replicas follows from the tokens of the corpus (about ``REPLICA_TOKENS`` each a round), not from
-the cluster, so scores do not depend on it and a replica's task does not grow with the input. Words are known by 64-bit hashes;
+the cluster, so training does not depend on it and a replica's task does not grow with the input. Words are known by 64-bit hashes;
 among n distinct words one clash is expected at n**2 / 2**65.
 
 A missing or empty text has the end as its only token. Rows that share an id are scored one by one. Without learning rows the
