@@ -204,10 +204,11 @@ def co_train(x: dict[str, np.ndarray], y: np.ndarray, held: np.ndarray, ranked:
                 np.array([*weights, last.bias - float((weights * last.center).sum())]))
 
 
-def _ranker(unlabelled: DataFrame) -> Ranked:
-    """Ranks all rows of ``unlabelled`` (doc_id, mark, and the features' columns) anew whenever it is asked.
+def _ranker(unlabelled: DataFrame, wanted: Callable[[pa.RecordBatch], np.ndarray] | None = None) -> Ranked:
+    """Ranks all rows of ``unlabelled`` (doc_id, mark, and the features' columns), or those ``wanted``, anew whenever it is asked.
 
     A task keeps the ``TAUGHT`` surest rows of its own per view and class, with their features; the surest of all are found among them.
+    Rows are picked where they are ranked: a pass of its own for that would hold a second Python worker per task.
     """
     spark = unlabelled.sparkSession
     views = ("text", "page")
@@ -219,6 +220,8 @@ def _ranker(unlabelled: DataFrame) -> Ranked:
             models, calibrations, taken = shipped.value
             held: dict[tuple[str, int], list[tuple]] = {(v, label): [] for v in views for label in (1, 0)}
             for b in batches:
+                if wanted is not None:
+                    b = b.filter(pa.array(wanted(b)))
                 page = metadata_features(b.column("source"), b.column("lang"), b.column("n_chars"))
                 ids, marks = (b.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "mark"))
                 for lo, hi, text in text_features(b.column("text")):
@@ -304,11 +307,11 @@ def train(docs: DataFrame, labels: DataFrame) -> Pair:
     held = tokens.mix(labelled.column("doc_id").to_numpy().astype(np.uint64)) % np.uint64(4) == 0
     if len(y) == 0 or not 0 < y[held].sum() < held.sum() or not 0 < y[~held].sum() < (~held).sum():
         return Pair(None, None, [], np.zeros(3), float(y.mean()) if len(y) else 1.0)
-    return co_train({v: matrix(v) for v in ("text", "page")}, y, held, _ranker(_unlabelled(rows, usable)))
+    return co_train({v: matrix(v) for v in ("text", "page")}, y, held, _ranker(*_unlabelled(rows, usable)))
 
 
-def _unlabelled(rows: DataFrame, labelled: DataFrame) -> DataFrame:
-    """The rows whose id has no label, read in place.
+def _unlabelled(rows: DataFrame, labelled: DataFrame) -> tuple[DataFrame, Callable[[pa.RecordBatch], np.ndarray]]:
+    """Rows read in place, and which of a batch of them have an id without a label.
 
     A bitmap over the labelled ids tells most of them. Of rows that may have a label the keys are joined, and only the texts of those
     that turn out to have none move, once.
@@ -327,7 +330,8 @@ def _unlabelled(rows: DataFrame, labelled: DataFrame) -> DataFrame:
     spared = materialize(perhaps.join(labelled.select("doc_id"), "doc_id", "left_anti").select("doc_id", "mark"), "quality-spared")
     passed = may_hold(spared, spared.count())
     rest = keep(named, lambda b: chosen(b) & passed(b)).join(spared, ["doc_id", "mark"], "left_semi").select(*named.columns)
-    return keep(named, lambda b: ~chosen(b)).unionByName(materialize(rest, "quality-rest")).drop("zero")
+    every = named.withColumn("joined", F.lit(False)).unionByName(materialize(rest, "quality-rest").withColumn("joined", F.lit(True)))
+    return every, lambda b: b.column("joined").to_numpy(zero_copy_only=False) | ~chosen(b)
 
 
 def _scored(docs: DataFrame, labels: DataFrame, added: list[str]) -> DataFrame:

@@ -305,6 +305,17 @@ def test_model_scores_do_not_depend_on_partitions(spark, monkeypatch):
     assert a == b and lm_scoring.replicas(10_000) > 1
 
 
+def test_quality_picks_unlabelled_rows_where_they_are_ranked(spark):
+    """Rows without a label are told in the task that ranks them, so a task holds one Python worker."""
+    rows = [(k, f"text {k}") for k in range(400)] + [(None, "no id"), (9, "other text"), (10, "other text")]
+    labelled = spark.createDataFrame([(k,) for k in range(0, 400, 2)], "doc_id long")
+    every, wanted = quality._unlabelled(quality._read(fx.documents(spark, rows).repartition(5)), labelled)
+    assert "MapInArrow" not in every._jdf.queryExecution().executedPlan().toString()
+    found = [row for b in every.toArrow().to_batches() for row in b.filter(pa.array(wanted(b))).select(["doc_id", "text"]).to_pylist()]
+    got = sorted((r["doc_id"], r["text"]) for r in found)
+    assert got == sorted([(k, f"text {k}") for k in range(1, 400, 2)] + [(quality._NO_ID, "no id"), (9, "other text")])
+
+
 def test_quality_without_both_labels(spark):
     docs = fx.documents(spark, [(1, "a"), (2, None)])
     assert quality.keep_good(docs, spark.createDataFrame([], LABELS)).count() == 2
