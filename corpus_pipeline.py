@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from finsieve.llm import decontaminate, exact_dedup, ngram_join, pieces, quality
 from finsieve.llm.shared import table
-from finsieve.session import materialize
+from finsieve.session import bounded_batches, materialize
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,12 +37,23 @@ def sentencepiece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return pieces.encode(docs, pieces.read_vocabulary(), restored="restored").withColumn("n_pieces", F.size("ids"))
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _bounded(stage: Stage) -> Stage:
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        bounded_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES = [
-    ("quality classifier", quality_stage),
-    ("exact dedup", exact_dedup_stage),
-    ("n-gram Jaccard join", near_dedup_stage),
-    ("benchmark decontamination", decontamination_stage),
-    ("SentencePiece encoding", sentencepiece_stage),
+    ("quality classifier", _bounded(quality_stage)),
+    ("exact dedup", _bounded(exact_dedup_stage)),
+    ("n-gram Jaccard join", _bounded(near_dedup_stage)),
+    ("benchmark decontamination", _bounded(decontamination_stage)),
+    ("SentencePiece encoding", _bounded(sentencepiece_stage)),
 ]
 
 #: The first stage is a trained classifier, so SQL cannot give the rows; tests/llm holds the stages' operators against brute force or held-out rows.

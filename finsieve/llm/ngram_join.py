@@ -68,8 +68,8 @@ def _mark() -> Column:
 
 
 def _sets(docs: DataFrame, candidates: DataFrame, width: int) -> DataFrame:
-    """(node, elements) for the representative document of every candidate node."""
-    bitmap = mark(candidates, "pick")
+    """(node, elements) for the representative document of every candidate (node, rep)."""
+    bitmap = mark(candidates, _picks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -91,10 +91,8 @@ def pick_of(node: np.ndarray, doc_id: np.ndarray) -> np.ndarray:
     return (tokens.mix(doc_id.view(np.uint64)) ^ node.view(np.uint64)).view(np.int64)
 
 
-def _with_pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        node = b.column("node").to_numpy(zero_copy_only=False)
-        yield pa.RecordBatch.from_arrays([pa.array(pick_of(node, b.column("rep").to_numpy(zero_copy_only=False)))], names=["pick"])
+def _picks(b: pa.RecordBatch) -> np.ndarray:
+    return pick_of(*(b.column(c).to_numpy(zero_copy_only=False) for c in ("node", "rep")))
 
 
 def classes(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
@@ -113,7 +111,7 @@ def classes(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, r
 
     def sets_of(candidates: DataFrame) -> DataFrame:
         reps = candidates.select("node").join(nodes.select("node", F.col("first.id").alias("rep")), "node")
-        return _sets(docs, reps.mapInArrow(_with_pick, "pick long"), width)
+        return _sets(docs, reps, width)
 
     linked = materialize(near.near_classes(items.select("node", "buckets"), iter, bands, nodes, sets_of, threshold), "ngram-linked")
     known = materialize(nodes.join(linked, "node", "left").select(

@@ -7,7 +7,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from finsieve.llm import components, exact_dedup, line_dedup, near, ngram_join
+from finsieve.llm import components, exact_dedup, line_dedup, marks, near, ngram_join
 from tests.llm import fixtures as fx
 
 
@@ -234,3 +234,26 @@ def test_bucket_keys_are_mixed_once_for_all_sets(monkeypatch):
     monkeypatch.setattr(near, "mix", lambda x: calls.append(len(x)) or mix(x))
     assert (near.bucket_keys(values, first, 4, 3) == whole).all() and (whole[sizes == 0] == 0).all()
     assert calls == [5] * 12
+
+
+def test_bitmap_keys_are_found_in_the_task_that_sets_them(spark):
+    """A key made of several columns needs no Python step of its own: a task that fills a bitmap holds one Python worker."""
+    plans = []
+
+    class Watched:
+        def __init__(self, df):
+            self.df = df
+
+        def mapInArrow(self, run, schema):
+            out = self.df.mapInArrow(run, schema)
+            plans.append(out._jdf.queryExecution().executedPlan().toString())
+            return out
+
+        def __getattr__(self, name):
+            return getattr(self.df, name)
+
+    keys = spark.range(500).selectExpr("id as node", "id * 7 as rep")
+    bitmap = marks.mark(Watched(keys), ngram_join._picks)
+    own = ngram_join.pick_of(np.arange(500), np.arange(500) * 7)
+    assert marks.marked(bitmap.value, own).all() and marks.marked(bitmap.value, ngram_join.pick_of(np.arange(500), np.arange(500) * 7 + 1)).sum() < 5
+    assert len(plans) == 1 and plans[0].count("MapInArrow") == 1
