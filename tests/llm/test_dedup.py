@@ -1,12 +1,16 @@
 """Exact, n-gram and line deduplication against brute force."""
 
 import hashlib
+import os
 import random
+import time
 from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from finsieve import session
 from finsieve.llm import components, exact_dedup, line_dedup, marks, near, ngram_join
 from tests.llm import fixtures as fx
 
@@ -257,3 +261,61 @@ def test_bitmap_keys_are_found_in_the_task_that_sets_them(spark):
     own = ngram_join.pick_of(np.arange(500), np.arange(500) * 7)
     assert marks.marked(bitmap.value, own).all() and marks.marked(bitmap.value, ngram_join.pick_of(np.arange(500), np.arange(500) * 7 + 1)).sum() < 5
     assert len(plans) == 1 and plans[0].count("MapInArrow") == 1
+
+
+def test_line_dedup_leaves_only_what_it_returns(spark):
+    docs = fx.documents(spark)
+    before = set(session._landed)
+    out = line_dedup.dedup(docs)
+    left = [path for path in session._landed if path not in before]
+    assert len(left) == 1 and "/line-gone-" in left[0] and os.path.isdir(left[0])
+    assert out.count() == len(fx.texts())
+
+
+def test_landing_leaves_no_shuffle_files(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        files = disk.getAllFiles().iterator()
+        names = set()
+        while files.hasNext():
+            names.add(files.next().getName())
+        return {name for name in names if name.startswith("shuffle_")}
+
+    before = shuffled()
+    table = session.materialize(spark.range(20_000).groupBy((F.col("id") % 500).alias("k")).agg(F.sum("id").alias("s")), "probe")
+    for _ in range(50):  # removed in the background
+        if shuffled() <= before:
+            break
+        time.sleep(0.1)
+    assert shuffled() <= before and table.count() == 500
+
+
+def test_scratch_keeps_what_is_wanted_and_what_an_outer_one_landed(spark):
+    with session.scratch(spark) as keep:
+        a = session.materialize(spark.range(3), "probe")
+        with session.scratch(spark) as keep_inner:
+            session.materialize(spark.range(4), "probe")
+            b = keep_inner(session.materialize(spark.range(5), "probe"))
+        assert a.count() == 3 and b.count() == 5
+        keep(a)
+    assert a.count() == 3 and not os.path.exists(b._landed_at)
+
+
+def test_nodes_alike_in_their_short_bits_are_told_apart(spark):
+    """Bucket entries carry 40 bits of a node; nodes that share them are verified like any others."""
+    high = 1 << near.SHORT_BITS
+    sets = {5: range(20), 5 + high: range(100, 120), 5 + 2 * high - (1 << 63): range(21), 9: range(100, 119), 11: range(500, 520)}
+    keys = {5: [1, 2], 5 + high: [3, 4], 5 + 2 * high - (1 << 63): [1, 6], 9: [3, 7], 11: [8, 9]}
+    items = spark.createDataFrame([(node, [k << 40 for k in own]) for node, own in keys.items()], "node long, buckets array<long>")
+    nodes = spark.createDataFrame([(k, 1) for k in keys], "node long, copies long")
+
+    def sets_of(candidates):
+        rows = [(k, bytearray(np.array(list(v), np.uint64).tobytes())) for k, v in sets.items()]
+        return spark.createDataFrame(rows, "node long, elements binary").join(candidates.select("node"), "node", "left_semi")
+
+    got = {r.node: (r.root, r.links) for r in near.near_classes(items, iter, 2, nodes, sets_of, 0.8).collect()}
+    least = 5 + 2 * high - (1 << 63)
+    assert got == {5: (least, 1), least: (least, 1), 5 + high: (9, 1), 9: (9, 1)}
+    x = np.array([0, 5, (1 << 40) - 1, 1 << 32], np.uint64)
+    assert len(near._five_bytes(x)) == 20 and (near._from_five_bytes(near._five_bytes(x), 4) == x).all()
