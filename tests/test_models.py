@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from finsieve import session
 from finsieve.operators import attribution, isolation, models, smote
 from finsieve.plans import evaluation as ev
 from finsieve.registry import queries
@@ -178,3 +179,18 @@ def test_model_scores_work_the_labelled_table_out_once(spark, monkeypatch):
 class Unscored:
     def predict(self, table, explain):
         return table.select("*", *[F.lit(0.0).alias(c) for c in ("score", "xgb_prob", "iso_score")])
+
+
+def test_a_fit_leaves_its_forest_only(spark, labelled):
+    before = set(session._landed)
+    fitted = small().fit(labelled.filter("year < 2004"))
+    left = [path for path in session._landed if path not in before]
+    assert left == [fitted.forest._landed_at]
+
+
+def test_features_move_with_pairs_not_with_new_rows(spark):
+    rows = [(f"{i:04d}", 2000, 1, [float(i % 7), float(i), float(i * i % 11)]) for i in range(30)]
+    minority = spark.createDataFrame(rows, "cik string, year int, y int, features array<double>")
+    plan = smote.synthetic_rows(minority, 3000, 30)._jdf.queryExecution().optimizedPlan().toString()
+    # both joins that bring features lie under the generator of new rows
+    assert plan.index("Generate inline") < min(plan.index("AS x#"), plan.index("AS z#"))
