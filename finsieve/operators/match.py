@@ -2,7 +2,9 @@
 
 Similarity is the token-sort ratio: tokens sorted and joined, then
 200 * LCS / (len a + len b). Names that agree after sorting are joined by
-equality. The others are searched in rounds of falling thresholds: an entry
+equality, those that differ by one character too many or missing by what is
+left without it; no other name is as alike. The others are searched in rounds
+of falling thresholds: an entry
 whose best name reaches a round's threshold is done, and high thresholds need
 few index entries. A round is a prefix-filtered join on numbered bigrams: two
 names of ratio t share so many of them that they meet on one of the rarest few
@@ -34,6 +36,8 @@ WORD = 64
 ROUNDS = (0.9, 0.8)
 #: Names whose lengths differ by less than this share a bucket.
 LENGTHS = 4
+#: From this length on a name that differs by one character is more alike than any that differs by more.
+_ONE_OFF = 3
 #: Below this ratio shared bigrams are no longer certain.
 _LEAST_BIGRAM = 0.72
 
@@ -241,6 +245,35 @@ def _round(prefixes: DataFrame, t: float) -> DataFrame:
     return top.select("name", (-F.col("b.r")).alias("ratio"), "b.match", "scored")
 
 
+def _without_one(name: str) -> Column:
+    """The different names that are left when one character of ``name`` is taken out."""
+    rest = f"transform(sequence(1, length({name})), i -> concat(substring({name}, 1, i - 1), substring({name}, i + 1)))"
+    return F.expr(f"array_distinct({rest})")
+
+
+def _one_off(wanted: DataFrame, offered: DataFrame, t: float) -> DataFrame:
+    """(name, ratio, match, scored) of the entries with an offered name that has one character more or less, if that reaches ``t``.
+
+    With D characters that are not common, the ratio is 1 - D / (sum of lengths): for a name of n > 2 characters at least
+    1 - 1 / (2 n - 1) where D is 1, and at most 1 - 1 / (n + 1) where it is more.
+    """
+    wanted = wanted.filter(F.length("name") >= _ONE_OFF).select("name")
+    offered = offered.select(F.col("name").alias("match"))
+
+    def by_hash(names: DataFrame, whole: str) -> DataFrame:
+        return names.select(whole, F.xxhash64(whole).alias("h"))
+
+    def shortened(names: DataFrame, whole: str) -> DataFrame:
+        return names.select(whole, F.explode(_without_one(whole)).alias("rest")).select(whole, F.xxhash64("rest").alias("h"))
+
+    more = by_hash(wanted, "name").join(shortened(offered, "match"), "h").filter(F.array_contains(_without_one("match"), F.col("name")))
+    fewer = shortened(wanted, "name").join(by_hash(offered, "match"), "h").filter(F.array_contains(_without_one("name"), F.col("match")))
+    n, m = F.length("name"), F.length("match")
+    pairs = more.unionByName(fewer).select("name", "match", (F.lit(200.0) * F.least(n, m) / (n + m)).alias("ratio"))
+    best = pairs.groupBy("name").agg(F.min(F.struct((-F.col("ratio")).alias("r"), "match")).alias("b"), F.count(F.lit(1)).alias("scored"))
+    return best.select("name", (-F.col("b.r")).alias("ratio"), "b.match", "scored").filter(F.col("ratio") >= 100 * t)
+
+
 def searched_names(entries: DataFrame, choices: DataFrame, threshold: float) -> DataFrame:
     """(name, ratio, match, scored) of all rounds: found names have a ratio; ``scored`` counts the pairs looked at closely."""
     last = threshold / 100.0
@@ -252,6 +285,9 @@ def searched_names(entries: DataFrame, choices: DataFrame, threshold: float) ->
     equal = wanted.join(offered.select("name"), "name", "left_semi").select("name", F.lit(100.0).alias("ratio"), F.col("name").alias("match"), F.lit(0).cast("long").alias("scored"))
     found = materialize(equal, "match-found")
     open_names = materialize(wanted.join(found.select("name"), "name", "left_anti").select("name"), "match-open")
+    near = materialize(_one_off(open_names, offered, last), "match-one-off")
+    found = found.unionByName(near)
+    open_names = materialize(open_names.join(near, "name", "left_anti"), "match-open")
     ranked = {}
     for t in [*(x for x in ROUNDS if x > last), last]:
         if open_names.isEmpty():

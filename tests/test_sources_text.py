@@ -285,3 +285,30 @@ def test_observations_are_compiled_and_companies_counted_once(spark):
     raw = dataset.raw_table(docs, master, spark.createDataFrame([("t",)], "ticker string"), 3)
     assert raw.count() == 3 and dataset.raw_table(docs, master, None, 4).count() == 0
     assert raw._jdf.queryExecution().optimizedPlan().toString().count("from_json") <= 1
+
+
+def test_names_one_character_off_are_joined(spark, monkeypatch):
+    """Short names over few letters, where ties and better matches of other lengths abound, equal brute force; where one character
+    tells every name, no bigram is looked at."""
+    import random
+    from itertools import product
+
+    rng = random.Random(23)
+    every = ["".join(x) for n in (1, 2, 3, 4, 5) for x in product("abé", repeat=n)]
+    names, wanted = rng.sample(every, 90), rng.sample(every, 120)
+    offered = spark.createDataFrame([(n,) for n in names], "name string")
+    for threshold in (40.0, 82.0):
+        found = {r["name"]: (round(r["ratio"], 9), r["match"]) for r in match.best_names(
+            spark.createDataFrame([(n,) for n in wanted], "name string"), offered, threshold).collect()}
+        expected = {}
+        for a in wanted:
+            top, best = min((-round(200 * lcs(a, b) / (len(a) + len(b)), 9), b) for b in names)
+            if -top >= threshold:
+                expected[a] = (-top, best)
+        assert found == expected
+    monkeypatch.setattr(match, "_ranked", None)
+    master = [f"company {k:06d}" for k in range(300)]
+    asked = {m[:3] + m[4:]: m for m in master[:100]} | {m[:5] + "x" + m[5:]: m for m in master[100:200]}
+    out = match.best_names(
+        spark.createDataFrame([(a,) for a in asked], "name string"), spark.createDataFrame([(m,) for m in master], "name string"), 82.0)
+    assert {r["name"]: r["match"] for r in out.collect()} == asked
